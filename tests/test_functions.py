@@ -1,0 +1,127 @@
+"""Column expressions, one value at a time."""
+
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+
+from voxloom.functions import json_text, labels, measures
+
+
+def value(spark, text, expression, kind="string"):
+    row = spark.createDataFrame([(text,)], f"x {kind}").select(expression(F.col("x")).alias("y"))
+    return row.collect()[0]["y"]
+
+
+@pytest.mark.parametrize(
+    ("text", "wanted"),
+    [
+        ('["a","b"]', ["a", "b"]),
+        ('["a", "a"]', ["a", "a"]),
+        (' [ "a" ] ', ["a"]),
+        ("[]", []),
+        (None, []),
+        ("", []),
+        ("not json", None),
+        ('{"a":1}', None),
+        ('"a"', None),
+        ("null", None),
+        ('["a"] junk', None),
+        ('["a"],["b"]', None),
+        ('["a",]', None),
+        ("[NaN]", None),
+        ("['a']", None),
+        (" ", None),
+        ('["a"', None),
+        ('["a", null, 1]', ["a", None, "1"]),
+        ('["ü\\u00e9\\n"]', ["üé\n"]),
+    ],
+)
+def test_label_arrays(spark, text, wanted):
+    assert value(spark, text, json_text.parse_label_array) == wanted
+
+
+@pytest.mark.parametrize(
+    ("text", "wanted"),
+    [("a {b} c {d} e", "{b} c {d}"), ("{\n}", "{\n}"), ("} {", None), ("none", None), (None, None)],
+)
+def test_braces_span_is_greedy(spark, text, wanted):
+    assert value(spark, text, json_text.braces_span) == wanted
+
+
+def test_labels_round_trip(spark):
+    text = value(spark, ["a", 'b"c', None], json_text.encode_label_array, "array<string>")
+    assert text == '["a","b\\"c",null]'
+
+
+@pytest.mark.parametrize(
+    ("theme", "wanted"),
+    [("feature-request", "Feature Request"), ("API-docs", "API Docs"), ("", ""), (None, None),
+     ("-x", " X"), ("one", "One")],
+)
+def test_display_names(spark, theme, wanted):
+    assert value(spark, theme, labels.theme_display_name) == wanted
+
+
+def test_other_names(spark):
+    assert value(spark, "a-b-c", labels.theme_upper_name) == "A B C"
+    assert value(spark, "high", labels.capitalize_label) == "High"
+    assert value(spark, "high", labels.upper_label) == "HIGH"
+    assert value(spark, "", labels.title_or_null) is None
+
+
+@pytest.mark.parametrize(
+    ("text", "term", "wanted"),
+    [
+        ('["Documentation"]', "doc", True),
+        ('["documentation"]', "DOC", True),
+        ('["pricing"]', "doc", False),
+        ('["a_b"]', "a%b", True),
+        ('["axb"]', "a_b", True),
+        ('["a\\\\b"]', "a\\\\b", True),
+        ('["É"]', "é", False),
+        (None, "doc", None),
+    ],
+)
+def test_substring_match(spark, text, term, wanted):
+    assert value(spark, text, lambda x: labels.contains_label(x, term)) is wanted
+
+
+@pytest.mark.parametrize(
+    ("text", "wanted"),
+    [("a", True), (" \t\n", False), ("  　﻿", False), ("", False), (None, False),
+     ("​", True), (" . ", True)],
+)
+def test_nonblank(spark, text, wanted):
+    assert value(spark, text, labels.is_nonblank) is wanted
+
+
+@pytest.mark.parametrize(
+    ("given", "wanted"), [(None, 0.5), (0.0, 0.5), (float("nan"), 0.5), (0.3, 0.3), (-0.1, -0.1)]
+)
+def test_zero_defaults(spark, given, wanted):
+    assert value(spark, given, lambda x: labels.default_if_zero(x, 0.5), "double") == wanted
+
+
+def test_empty_defaults(spark):
+    assert value(spark, "", lambda x: labels.default_if_empty(x, "d")) == "d"
+    assert value(spark, None, lambda x: labels.default_if_empty(x, "d")) == "d"
+    assert value(spark, " ", lambda x: labels.default_if_empty(x, "d")) == " "
+
+
+def test_days(spark):
+    assert value(spark, "2024-01-05 23:59:59", measures.to_day) == dt.date(2024, 1, 5)
+    assert value(spark, "yesterday", measures.to_day) is None
+    assert value(spark, dt.date(2024, 1, 5), measures.short_date, "date") == "Jan 5"
+
+
+@pytest.mark.parametrize(
+    ("urgency", "rank"), [("critical", 1), ("high", 2), ("medium", 3), ("low", 4), ("x", 4), (None, 4)]
+)
+def test_urgency_rank(spark, urgency, rank):
+    assert value(spark, urgency, labels.urgency_rank) == rank
+
+
+@pytest.mark.parametrize(("mean", "wanted"), [(-1.0, 0.0), (1.0, 100.0), (0.0, 50.0), (0.01, 51.0)])
+def test_sentiment_percent(spark, mean, wanted):
+    assert value(spark, mean, measures.sentiment_percent, "double") == wanted

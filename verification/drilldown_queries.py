@@ -3,7 +3,7 @@
 from verification import views
 from verification.registry import registered
 from voxloom.operators import derive, drilldown
-
+from voxloom.session import stored
 
 DETAIL = """
     SELECT {key} count(*) AS total, round(round(avg(sentiment_score), 9), 6) AS avg_sentiment,
@@ -106,7 +106,7 @@ def theme_trend_shares(spark, sf_dir):
 )
 def samples_per_theme(spark, sf_dir):
     chosen = drilldown.samples_per_theme(views.feedback(spark, sf_dir))
-    return views.with_content(chosen, spark, sf_dir)
+    return views.with_content(stored(chosen, "samples"), spark, sf_dir)
 
 
 @registered(
@@ -118,12 +118,13 @@ def samples_per_theme(spark, sf_dir):
 )
 def urgency_ordered_samples(spark, sf_dir):
     chosen = drilldown.urgency_ordered_samples(views.feedback(spark, sf_dir), "performance")
-    return views.with_content(chosen, spark, sf_dir)
+    return views.with_content(stored(chosen, "samples"), spark, sf_dir)
 
 
 def recent_texts(spark, sf_dir):
     chosen = drilldown.recent_per_theme(views.feedback(spark, sf_dir))
-    return views.with_content(chosen.select("theme", "rank", "id"), spark, sf_dir)
+    narrow = chosen.select("theme", "rank", "id")
+    return views.with_content(stored(narrow, "recent"), spark, sf_dir)
 
 
 @registered("SELECT * FROM recent_texts")

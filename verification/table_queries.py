@@ -7,7 +7,7 @@ from verification.registry import registered
 from voxloom.operators import rollup
 from voxloom.operators.enrich import classify_sentiment, ingest_enriched
 from voxloom.plans import documents
-from voxloom.session import scratch_path
+from voxloom.session import scratch_path, stored
 from voxloom.sources import ingest, tables
 from voxloom.streaming import jobs
 
@@ -212,9 +212,10 @@ def distributions_document(spark, sf_dir):
     """
 )
 def theme_documents(spark, sf_dir):
-    nested = documents.theme_documents(
-        views.feedback(spark, sf_dir), fetch=lambda rows: views.with_content(rows, spark, sf_dir)
-    )
+    def fetch(chosen):
+        return views.with_content(stored(chosen, "chosen"), spark, sf_dir)
+
+    nested = documents.theme_documents(views.feedback(spark, sf_dir), fetch=fetch)
     return documents.as_json(nested, plain=["theme"])
 
 

@@ -8,8 +8,6 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import functions as F
 
-from voxloom.functions.labels import ascii_lower
-
 
 @dataclass(frozen=True)
 class WordLists:
@@ -43,9 +41,9 @@ class WordLists:
 
 
 def listed_words(text, lists):
-    """Every listed word in the whole text, in any case, as an array."""
-    pattern = "(?<![a-z])(?:" + "|".join(lists.all_words()) + ")(?![a-z])"
-    return F.regexp_extract_all(ascii_lower(text), F.lit(pattern), F.lit(0))
+    """Every listed word in the whole text, in any case, as a lower-case array."""
+    pattern = "(?i)(?<![a-z])(?:" + "|".join(lists.all_words()) + ")(?![a-z])"
+    return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.lower)
 
 
 def hits(found, words):

@@ -44,3 +44,15 @@ def scratch_root(spark):
 def scratch_path(spark, name):
     """A new path below the scratch folder, unique to this call."""
     return f"{scratch_root(spark)}/voxloom/{name}-{uuid.uuid4().hex}"
+
+
+def stored(rows, name):
+    """Write rows that should be few and read them back from the scratch folder.
+
+    Catalyst takes a top-k per group for as large as its input. The stored
+    file tells it the true size, so that a join broadcasts the rows if, and
+    only if, they are small, and leaves the large side unshuffled.
+    """
+    path = scratch_path(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
