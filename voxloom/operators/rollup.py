@@ -58,13 +58,29 @@ def touched_dates(new_rows):
     return new_rows.select(feedback_day(new_rows).alias("metric_date")).distinct()
 
 
+def within_days(feedback, dates):
+    """Rows from the first to the last of the days, found by the scan itself.
+
+    The bounds are scalar subqueries on the bare column, so they prune the
+    folders of a table laid out by day and the row groups of any other.
+    """
+    by_day = "created_date" in feedback.columns
+    column = F.col("created_date" if by_day else "created_at")
+    kind = feedback.schema["created_date" if by_day else "created_at"].dataType
+    start = dates.agg(F.min("metric_date").cast(kind))
+    # Not another aggregate: Spark would merge the two, and a merged subquery is not pushed down.
+    latest = dates.orderBy(F.desc("metric_date")).limit(1)
+    end = latest.select(F.date_add("metric_date", 1).cast(kind))
+    return feedback.filter((column >= start.scalar()) & (column < end.scalar()))
+
+
 def rollup_of_dates(feedback, dates):
     """The rollup of the given days, recomputed from all their rows.
 
     ``dates`` holds distinct days. The calendar bounds them at 3.7 million
-    values of 4 bytes, so they may be broadcast; on a table laid out by day
-    they also prune its partitions.
+    values of 4 bytes, so they may be broadcast.
     """
     days = F.broadcast(dates.select(F.col("metric_date").alias("touched")).distinct())
-    of_dates = feedback.join(days, feedback_day(feedback) == F.col("touched"), "left_semi")
+    candidates = within_days(feedback, dates)
+    of_dates = candidates.join(days, feedback_day(feedback) == F.col("touched"), "left_semi")
     return daily_rollup(of_dates)

@@ -26,7 +26,7 @@ def with_label_array(multilabel):
 
 
 def scan_daily_metrics(spark, path):
-    return spark.read.schema(DAILY_METRICS).parquet(path)
+    return spark.read.schema(DAILY_METRICS).parquet(path).select(*DAILY_METRICS.names)
 
 
 def select_all(feedback):
