@@ -46,11 +46,18 @@ def test_newest_rows_find_their_time_before_reading_texts(spark, small, tmp_path
     tables.append_table(small, str(tmp_path / "t"))
     rows = tables.scan_feedback(spark, str(tmp_path / "t"))
     text = plan(topk.newest_n(rows.filter("theme = 'pricing'"), 5))
-    assert "GreaterThanOrEqual(created_at,ScalarSubquery" in text
     first_pass = [s for s in re.findall(r"ReadSchema: struct<([^>]*)>", text) if "content" not in s]
     assert first_pass and set(first_pass) == {"created_at:timestamp_ntz,theme:string"}
 
 
+def test_newest_rows_of_a_table_by_day_open_the_newest_folders(spark, small, tmp_path):
+    tables.write_by_day(small, str(tmp_path / "t"))
+    rows = tables.scan_feedback(spark, str(tmp_path / "t"), by_day=True)
+    newest = topk.newest_n(rows, 3)
+    assert [r["id"] for r in newest.collect()] == [8, 4, 3]
+    assert re.search(r"PartitionFilters: [^\n]*created_date#\d+ >= [^\n]*ubquery", plan(newest))
+
+
 def test_top_k_cuts_groups_before_each_shuffle(spark):
     text = plan(drilldown.samples_per_theme(views.feedback(spark, SF_DIR)))
     assert text.count("WindowGroupLimit") == 4
@@ -66,8 +73,13 @@ def test_aggregates_combine_before_the_shuffle(spark):
 
 
 def test_stored_rows_are_broadcast_when_small(spark):
-    chosen = drilldown.samples_per_theme(views.feedback(spark, SF_DIR))
-    joined = views.with_content(stored(chosen, "t"), spark, SF_DIR)
+    feedback = views.feedback(spark, SF_DIR)
+    chosen = stored(drilldown.samples_and_recent(feedback), "t")
+    fetched = topk.fetch_rows(feedback, chosen)
+    semi_join, scan = plan(fetched).index("LeftSemi"), plan(fetched).index("FileScan")
+    computed = plan(fetched).index("get_json_object")
+    assert computed < semi_join < scan and "SortMergeJoin" not in plan(fetched)
+    joined = views.with_content(stored(fetched, "t"), spark, SF_DIR)
     assert "BroadcastHashJoin" in plan(joined) and "BuildLeft" in plan(joined)
     assert "SortMergeJoin" not in plan(joined)
 

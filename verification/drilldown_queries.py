@@ -3,6 +3,7 @@
 from verification import views
 from verification.registry import registered
 from voxloom.operators import derive, drilldown
+from voxloom.operators.topk import fetch_rows
 from voxloom.session import stored
 
 DETAIL = """
@@ -105,8 +106,10 @@ def theme_trend_shares(spark, sf_dir):
     """
 )
 def samples_per_theme(spark, sf_dir):
-    chosen = drilldown.samples_per_theme(views.feedback(spark, sf_dir))
-    return views.with_content(stored(chosen, "samples"), spark, sf_dir)
+    feedback = views.feedback(spark, sf_dir)
+    chosen = drilldown.samples_per_theme(feedback.select(*drilldown.LIST_COLUMNS))
+    rows = fetch_rows(feedback, stored(chosen.select("id", "rank"), "samples"))
+    return views.with_content(stored(rows, "fetched"), spark, sf_dir)
 
 
 @registered(

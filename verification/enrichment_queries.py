@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from verification import views
 from verification.drilldown_queries import recent_texts
 from verification.registry import registered
+from verification.views import LISTS
 from voxloom.functions.labels import UPPER
 from voxloom.operators import enrich, metrics
 from voxloom.schema import RECORD_PAYLOAD
@@ -64,7 +65,7 @@ def load_word_model():
 
     It wraps the JSON in chatter, and raises for texts without any listed word.
     """
-    lists = views.LISTS
+    lists = LISTS
     pattern = re.compile("(?<![a-z])(?:" + "|".join(lists.all_words()) + ")(?![a-z])")
     fold = str.maketrans(UPPER, UPPER.lower())
 

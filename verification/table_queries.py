@@ -6,6 +6,7 @@ from verification import views
 from verification.registry import registered
 from voxloom.operators import rollup
 from voxloom.operators.enrich import classify_sentiment, ingest_enriched
+from voxloom.operators.topk import fetch_rows
 from voxloom.plans import documents
 from voxloom.session import scratch_path, stored
 from voxloom.sources import ingest, tables
@@ -50,7 +51,7 @@ def upsert_daily(spark, sf_dir):
     late = F.col("event_type") == "error"
     early_rows, late_rows = (views.feedback_of(events.filter(c)) for c in [~late, late])
     tables.load_rollup(rollup.daily_rollup(early_rows), path)
-    dates = rollup.touched_dates(late_rows)
+    dates = stored(rollup.touched_dates(late_rows), "touched_dates")
     everything = views.feedback_of(events)
     tables.overwrite_dates(rollup.rollup_of_dates(everything, dates), path)
     return tables.scan_daily_metrics(spark, path)
@@ -212,10 +213,13 @@ def distributions_document(spark, sf_dir):
     """
 )
 def theme_documents(spark, sf_dir):
+    feedback = views.feedback(spark, sf_dir)
+
     def fetch(chosen):
-        return views.with_content(stored(chosen, "chosen"), spark, sf_dir)
+        rows = fetch_rows(feedback, stored(chosen, "listed"))
+        return views.with_content(stored(rows, "fetched"), spark, sf_dir)
 
-    nested = documents.theme_documents(views.feedback(spark, sf_dir), fetch=fetch)
+    nested = documents.theme_documents(feedback, fetch=fetch)
     return documents.as_json(nested, plain=["theme"])
 
 
@@ -244,8 +248,7 @@ def insights_document(spark, sf_dir):
 
 def read_stream(spark, sf_dir, name):
     """A given table as a stream of its files."""
-    schema = views.table(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
+    return spark.readStream.schema(views.SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
 @registered("SELECT * FROM rollup_rows")

@@ -27,20 +27,29 @@ LISTS = WordLists(
 )
 
 
+SCHEMAS = {
+    "events": (
+        "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, "
+        "props string"
+    ),
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+}
+
+
 def table(spark, sf_dir, name):
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def feedback_of(events):
     """``events`` as single-label feedback, without the text."""
     event, user, value = F.col("event_id"), F.col("user_id"), F.col("value")
-    pending = event % 10 == 7
-    k = F.get_json_object("props", "$.k").cast("int")
+    pending, k = event % 10 == 7, F.col("k")
     channels = ["support", "github", "discord", "twitter", "forum"]
     channel = F.when(user % 6 == 0, channels[0])
     for place, name in enumerate(channels[1:], 1):
         channel = channel.when(user % 6 == place, name)
-    return events.select(
+    parsed = events.withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    return parsed.select(
         event.alias("id"),
         F.col("ts").alias("created_at"),
         channel.otherwise("email").alias("channel"),

@@ -8,11 +8,22 @@ error, and an array size other than one gives away empty text and ``a, b``.
 from pyspark.sql import functions as F
 
 
+def bound(value, use):
+    """``use(value)`` with the value computed once, however often it is used.
+
+    Common subexpressions are not shared inside a filter, and parsing is dear.
+    """
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def strict_variant(text):
     """The text as a one-element variant array, NULL unless it is one JSON value."""
     wrapped = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    one = F.array_size(F.try_variant_get(wrapped, "$", "array<variant>")) == 1
-    return F.when(one, wrapped)
+
+    def if_one(array):
+        return F.when(F.array_size(F.try_variant_get(array, "$", "array<variant>")) == 1, array)
+
+    return bound(wrapped, if_one)
 
 
 def parse_label_array(text):

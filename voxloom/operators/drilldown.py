@@ -105,6 +105,24 @@ def recent_texts_per_theme(feedback, k=10):
     return recent_per_theme(feedback, k).select("theme", "rank", "id", "content")
 
 
+LIST_COLUMNS = ["id", "created_at", "theme", "urgency", "analyzed"]
+
+
+def samples_and_recent(feedback, k=10):
+    """Ids of both lists of each theme: (theme, kind, rank, id).
+
+    Only the columns that decide the order are read and sorted; the rows
+    themselves are for ``fetch_rows`` to get.
+    """
+    narrow = feedback.select(*LIST_COLUMNS)
+    lists = {"samples": samples_per_theme(narrow, k), "recent": recent_per_theme(narrow, k)}
+    samples, recent = (
+        chosen.select("theme", F.lit(kind).alias("kind"), "rank", "id")
+        for kind, chosen in lists.items()
+    )
+    return samples.unionByName(recent)
+
+
 def texts_by_theme(recent):
     """The texts of ``recent_texts_per_theme`` as one array per theme, newest first."""
     gathered = F.sort_array(F.collect_list(F.struct("rank", "content")))

@@ -59,19 +59,18 @@ def touched_dates(new_rows):
 
 
 def within_days(feedback, dates):
-    """Rows from the first to the last of the days, found by the scan itself.
+    """Rows from the first to the last of the days.
 
-    The bounds are scalar subqueries on the bare column, so they prune the
-    folders of a table laid out by day and the row groups of any other.
+    On a table laid out by day the bounds prune its folders before the scan.
     """
     by_day = "created_date" in feedback.columns
     column = F.col("created_date" if by_day else "created_at")
     kind = feedback.schema["created_date" if by_day else "created_at"].dataType
-    start = dates.agg(F.min("metric_date").cast(kind))
-    # Not another aggregate: Spark would merge the two, and a merged subquery is not pushed down.
-    latest = dates.orderBy(F.desc("metric_date")).limit(1)
-    end = latest.select(F.date_add("metric_date", 1).cast(kind))
-    return feedback.filter((column >= start.scalar()) & (column < end.scalar()))
+    start, end = F.min("metric_date"), F.date_add(F.max("metric_date"), 1)
+    return feedback.filter(
+        (column >= dates.agg(start.cast(kind)).scalar())
+        & (column < dates.agg(end.cast(kind)).scalar())
+    )
 
 
 def rollup_of_dates(feedback, dates):
@@ -80,7 +79,6 @@ def rollup_of_dates(feedback, dates):
     ``dates`` holds distinct days. The calendar bounds them at 3.7 million
     values of 4 bytes, so they may be broadcast.
     """
-    days = F.broadcast(dates.select(F.col("metric_date").alias("touched")).distinct())
+    days = F.broadcast(dates.select("metric_date"))
     candidates = within_days(feedback, dates)
-    of_dates = candidates.join(days, feedback_day(feedback) == F.col("touched"), "left_semi")
-    return daily_rollup(of_dates)
+    return daily_rollup(candidates.filter(feedback_day(feedback).isin(days)))

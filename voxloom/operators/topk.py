@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from voxloom.functions.labels import urgency_rank
+from voxloom.functions.measures import day_of
 
 SALTS = 256
 
@@ -32,18 +33,45 @@ def checked_limit(limit):
 
 
 def newest_n(rows, n=50):
-    """The ``n`` newest rows, newest first.
+    """The ``n`` newest rows, newest first."""
+    n = checked_limit(n)
+    if is_wide(rows):
+        rows = since_nth_newest(rows, n)
+    return rows.orderBy(*newest_first()).limit(n)
+
+
+def is_wide(rows):
+    """True for tables with texts, and for those that can skip folders by day."""
+    return bool({"content", "text", "created_date"} & set(rows.columns))
+
+
+def since_nth_newest(rows, n):
+    """The rows that are no older than the n-th newest one, and those without a time.
 
-    A first pass reads the time column and the filtered ones only and finds
-    the time of the n-th newest row. The second pass pushes that time into the
-    scan, so the wide columns are read from the newest row groups alone.
+    The first pass reads the time and the filtered columns only. The second
+    one then hands on hardly more than n wide rows instead of n per task; on a
+    table laid out by day it opens the newest folders alone.
     """
-    n = checked_limit(n)
     times = rows.select("created_at").orderBy(F.desc_nulls_last("created_at")).limit(n)
-    oldest_kept = times.agg(F.min("created_at")).scalar()
+    oldest = F.min("created_at")
     created_at = F.col("created_at")
-    recent = rows.filter((created_at >= oldest_kept) | created_at.isNull())
-    return recent.orderBy(*newest_first()).limit(n)
+    recent = rows.filter((created_at >= times.agg(oldest).scalar()) | created_at.isNull())
+    if "created_date" not in rows.columns:
+        return recent
+    day = F.col("created_date")
+    return recent.filter((day >= times.agg(day_of(oldest)).scalar()) | day.isNull())
+
+
+def fetch_rows(table, chosen):
+    """The whole rows of a table for chosen ids, with what ``chosen`` adds to them.
+
+    ``chosen`` should be ``stored``: its true size then decides on a broadcast.
+    The IN comes first because Spark moves it down to the scan, below whatever
+    the table's columns are computed from; a join would stay above.
+    """
+    added = [c for c in chosen.columns if c not in table.columns]
+    rows = table.filter(F.col("id").isin(chosen.select("id")))
+    return rows.join(chosen.select("id", *added), "id")
 
 
 def top_k_per_group(rows, keys, order, k, rank="rank"):

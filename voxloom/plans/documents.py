@@ -8,15 +8,12 @@ aggregates and lists of at most k rows end up in an array.
 from pyspark.sql import functions as F
 
 from voxloom.functions.measures import day_of, or_zero, rounded_mean, rows
-from voxloom.operators.drilldown import (
-    analyzed_themes,
-    recent_per_theme,
-    samples_per_theme,
-)
+from voxloom.operators.drilldown import analyzed_themes, samples_and_recent
 from voxloom.operators.filters import high_priority
 from voxloom.operators.metrics import all_distributions
-from voxloom.operators.topk import newest_first, ranked
+from voxloom.operators.topk import fetch_rows, newest_first, ranked
 from voxloom.schema import FEEDBACK, MULTILABEL, UNCATEGORIZED
+from voxloom.session import stored
 
 SCORE = "sentiment_score"
 
@@ -57,9 +54,12 @@ def list_item(frame, schema):
     return F.struct(*[as_text if c == "created_at" else F.col(c) for c in names])
 
 
-def in_rank_order(item):
-    """Items gathered by the rank of their rows."""
-    ordered = F.sort_array(F.collect_list(F.struct("rank", item.alias("item"))))
+def in_rank_order(item, condition=None):
+    """Items gathered by the rank of their rows, of those rows that meet the condition."""
+    ranked_item = F.struct("rank", item.alias("item"))
+    if condition is not None:
+        ranked_item = F.when(condition, ranked_item)
+    ordered = F.sort_array(F.collect_list(ranked_item))
     return F.transform(ordered, lambda entry: entry["item"])
 
 
@@ -176,22 +176,19 @@ def theme_sections(feedback, days=14):
 def theme_documents(feedback, k=10, fetch=None):
     """{theme, stats, channels[], samples[], trend[], recentFeedbackTexts[]} per theme.
 
-    ``fetch`` may add columns, such as the texts, to the few rows chosen per
-    theme when ``feedback`` itself does not hold them.
+    ``fetch`` gets the ids of the rows listed per theme and returns these rows
+    with all their columns; by default they come from ``feedback`` itself.
     """
-    fetch = fetch or (lambda chosen: chosen)
-    sampled = fetch(samples_per_theme(feedback, k))
-    samples = sampled.groupBy("theme").agg(
-        in_rank_order(list_item(sampled, FEEDBACK)).alias("samples")
-    )
-    recent = fetch(recent_per_theme(feedback, k))
-    texts = recent.groupBy("theme").agg(
-        in_rank_order(F.col("content")).alias("recentFeedbackTexts")
+    fetch = fetch or (lambda chosen: fetch_rows(feedback, stored(chosen, "listed")))
+    listed = fetch(samples_and_recent(feedback, k))
+    kind = F.col("kind")
+    lists = listed.groupBy("theme").agg(
+        in_rank_order(list_item(listed, FEEDBACK), kind == "samples").alias("samples"),
+        in_rank_order(F.col("content"), kind == "recent").alias("recentFeedbackTexts"),
     )
     return (
         theme_sections(feedback)
-        .join(samples, "theme")
-        .join(texts, "theme")
+        .join(lists, "theme")
         .select("theme", "stats", "channels", "samples", "trend", "recentFeedbackTexts")
     )
 
