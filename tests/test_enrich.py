@@ -43,6 +43,11 @@ def test_values_are_not_corrected_but_flagged(spark):
                    "summary": None, "raw_response": None, "in_domain": False}
 
 
+def test_a_repeated_field_counts_with_its_last_value(spark):
+    (row,) = parsed(spark, '{"urgency":"low","urgency":"high"}')
+    assert row["urgency"] == "high" and row["raw_response"] is None
+
+
 def load_picky_model():
     """Answers with the text itself, refuses 'boom' and takes no batch that holds it."""
 

@@ -6,6 +6,7 @@ import pytest
 
 from tests.conftest import rows_of
 from voxloom.operators import filters, multilabel, unify
+from voxloom.plans import documents
 from voxloom.schema import MULTILABEL
 
 THEMES = [
@@ -77,3 +78,21 @@ def test_both_models_as_one(table, small):
     assert multi[0]["theme"] == "pricing" and multi[5]["theme"] is None
     assert multi[6]["theme"] is None and multi[0]["sentiment"] == "positive"
     assert multi[0]["channel"] == "web" and multi[1]["urgency"] == "high"
+
+
+def test_match_document_tells_zero_when_nothing_matches(table):
+    (found,) = rows_of(documents.theme_match_document(table, "nowhere"))
+    assert found == {"theme": "nowhere", "totalCount": 0, "feedback": []}
+    (found,) = rows_of(documents.theme_match_document(table, "doc", limit=2))
+    assert found["totalCount"] == 3 and [r["id"] for r in found["feedback"]] == [9, 3]
+    assert list(found["feedback"][0]) == MULTILABEL.names
+
+
+def test_insights_document(table):
+    (found,) = rows_of(documents.insights_document(table, limit=2))
+    assert found["totalFeedback"] == 10
+    assert found["sentiment"] == [{"sentiment_label": "POSITIVE", "count": 10}]
+    assert found["priority"] == [{"priority": "high", "count": 5}, {"priority": "low", "count": 5}]
+    assert [r["id"] for r in found["urgent"]] == [9, 7]
+    (nothing,) = rows_of(documents.insights_document(table.limit(0)))
+    assert nothing == {"totalFeedback": 0, "sentiment": [], "priority": [], "urgent": []}

@@ -246,6 +246,27 @@ def insights_document(spark, sf_dir):
     return documents.as_json(nested, plain=["totalFeedback"])
 
 
+@registered(
+    """
+    WITH hit AS (SELECT * FROM multilabel_text WHERE themes ILIKE '%docum%'),
+    newest AS (FROM hit ORDER BY created_at DESC, id DESC LIMIT 20)
+    SELECT 'docum' AS theme, (SELECT count(*) FROM hit) AS "totalCount",
+      (SELECT CAST(to_json(list({'id': id,
+          'created_at': strftime(created_at, '%Y-%m-%d %H:%M:%S'), 'text': text,
+          'source': source, 'user_id': user_id, 'sentiment_score': sentiment_score,
+          'sentiment_label': sentiment_label, 'themes': themes, 'priority': priority}
+          ORDER BY created_at DESC, id DESC)) AS VARCHAR) FROM newest) AS feedback
+    """
+)
+def theme_match_document(spark, sf_dir):
+    nested = documents.theme_match_document(
+        views.multilabel(spark, sf_dir),
+        "docum",
+        fetch=lambda rows: views.with_text(rows, spark, sf_dir),
+    )
+    return documents.as_json(nested, plain=["theme", "totalCount"])
+
+
 def read_stream(spark, sf_dir, name):
     """A given table as a stream of its files."""
     return spark.readStream.schema(views.SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parque[t]")

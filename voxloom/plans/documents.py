@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from voxloom.functions.measures import day_of, or_zero, rounded_mean, rows
 from voxloom.operators.drilldown import analyzed_themes, samples_and_recent
-from voxloom.operators.filters import high_priority
+from voxloom.operators.filters import high_priority, theme_substring
 from voxloom.operators.metrics import all_distributions
-from voxloom.operators.topk import fetch_rows, newest_first, ranked
+from voxloom.operators.topk import fetch_rows, newest_first, newest_n, ranked
 from voxloom.schema import FEEDBACK, MULTILABEL, UNCATEGORIZED
 from voxloom.session import stored
 
@@ -211,6 +211,17 @@ def insights_document(multilabel, limit=10, fetch=None):
     ).withColumn("urgent", listed.scalar())
 
 
+def theme_match_document(multilabel, term, limit=20, fetch=None):
+    """{theme, totalCount, feedback[]} of a label search as one row, also without a match."""
+    fetch = fetch or (lambda chosen: chosen)
+    matches = theme_substring(multilabel, term)
+    newest = fetch(ranked(newest_n(matches, limit), *newest_first()))
+    listed = newest.agg(in_rank_order(list_item(newest, MULTILABEL)))
+    return matches.agg(F.lit(term).alias("theme"), rows().alias("totalCount")).withColumn(
+        "feedback", listed.scalar()
+    )
+
+
 def as_json(documents, plain=()):
     """Each section of a document as JSON text; ``plain`` columns stay as they are."""
     return documents.select(

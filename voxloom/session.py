@@ -11,7 +11,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    "spark.sql.parquet.filterPushdown": "true",
+    # A repeated key in a JSON object counts once, with its last value.
+    "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
 
@@ -35,9 +36,7 @@ def scratch_root(spark):
     if root:
         return root.rstrip("/")
     if spark.sparkContext.master.startswith("local"):
-        root = tempfile.mkdtemp(prefix="voxloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
-        return root
+        return tempfile.mkdtemp(prefix="voxloom-")
     raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
 
 
