@@ -68,6 +68,16 @@ def test_only_the_failing_text_gets_an_error(spark):
     assert failed == FALLBACK
 
 
+def test_missing_texts_and_missing_replies(spark):
+    def load():
+        return lambda texts: [json.dumps(GOOD)] if texts != ["short"] else []
+
+    rows = spark.createDataFrame([(None,), ("a",), ("b",), ("short",)], "t string").coalesce(1)
+    found = rows_of(enrich.ask_model(rows, "t", load))
+    assert [r["raw_response"] is not None for r in found] == [False, True, True, False]
+    assert found[0]["error"] == "no text" and found[3]["error"]
+
+
 def test_model_is_loaded_once_per_task(spark, tmp_path):
     log = str(tmp_path / "loads")
 

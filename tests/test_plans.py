@@ -84,8 +84,23 @@ def test_stored_rows_are_broadcast_when_small(spark):
     assert "SortMergeJoin" not in plan(joined)
 
 
+class ClusterSession:
+    """Just what ``scratch_root`` asks of a session on a cluster."""
+
+    class sparkContext:
+        master = "yarn"
+
+    class conf:
+        @staticmethod
+        def get(key, default):
+            return default
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    with pytest.raises(ValueError):
+        scratch_root(ClusterSession)
+
+
 def test_scratch_folder_is_the_one_the_session_names(spark):
     assert scratch_root(spark) == spark.conf.get("spark.checkpoint.dir")
     assert scratch_path(spark, "a") != scratch_path(spark, "a")
-
-

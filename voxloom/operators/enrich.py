@@ -60,6 +60,9 @@ def build_analysis_prompt(feedback, column="content"):
     return feedback.withColumn("prompt", analysis_prompt(F.col(column)))
 
 
+NO_TEXT = (None, "no text")
+
+
 def reply_of(model, text):
     """One model reply, or the error it raised."""
     try:
@@ -69,11 +72,19 @@ def reply_of(model, text):
 
 
 def replies_of(model, texts):
-    """Replies of a batch; if the batch fails, each text is tried alone."""
+    """(reply, error) per text; if the batch fails, each text is tried alone.
+
+    Missing texts are not put to the model.
+    """
+    asked = [text for text in texts if text is not None]
     try:
-        return [(reply, None) for reply in model(texts)]
+        replies = [(reply, None) for reply in model(asked)] if asked else []
+        if len(replies) != len(asked):
+            raise ValueError("the model must reply to each text")
     except Exception:
-        return [reply_of(model, text) for text in texts]
+        replies = [reply_of(model, text) for text in asked]
+    given = iter(replies)
+    return [NO_TEXT if text is None else next(given) for text in texts]
 
 
 def ask_model(rows, column, load_model: Callable):
@@ -91,6 +102,7 @@ def ask_model(rows, column, load_model: Callable):
                 replies_of(model, list(texts)), columns=REPLY.names, dtype=object
             )
 
+    # Nondeterministic, so that Spark never asks twice about one row.
     asked = rows.withColumn("_reply", reply.asNondeterministic()(F.col(column)))
     return asked.select(*rows.columns, "_reply.*")
 
