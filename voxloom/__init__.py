@@ -1 +1 @@
-"""Customer-feedback analytics as Spark DataFrame jobs."""
+"""Customer voice insights as Spark DataFrame jobs."""

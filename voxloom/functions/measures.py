@@ -67,8 +67,8 @@ def label_percentage(count, total):
 
 
 def to_day(created_at):
-    """The calendar day; text that is no timestamp gives NULL."""
-    return F.to_date(F.try_to_timestamp(created_at.cast("string")))
+    """The calendar day of a time held as text; NULL for text that is no time."""
+    return F.to_date(created_at.try_cast("timestamp_ntz"))
 
 
 def day_of(created_at):

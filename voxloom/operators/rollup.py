@@ -76,9 +76,9 @@ def within_days(feedback, dates):
 def rollup_of_dates(feedback, dates):
     """The rollup of the given days, recomputed from all their rows.
 
-    ``dates`` holds distinct days. The calendar bounds them at 3.7 million
-    values of 4 bytes, so they may be broadcast.
+    The calendar bounds distinct days at 3.7 million values of 4 bytes, so
+    they may be broadcast.
     """
-    days = F.broadcast(dates.select("metric_date"))
+    days = F.broadcast(dates.select("metric_date").distinct())
     candidates = within_days(feedback, dates)
     return daily_rollup(candidates.filter(feedback_day(feedback).isin(days)))

@@ -50,7 +50,8 @@ def without(array, *names):
 def list_item(frame, schema):
     """A feedback row as a list item: columns in table order, the time as text."""
     names = [c for c in schema.names if c in frame.columns]
-    as_text = F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created_at")
+    to_the_second = F.substring(F.col("created_at").cast("string"), 1, 19)
+    as_text = to_the_second.alias("created_at")
     return F.struct(*[as_text if c == "created_at" else F.col(c) for c in names])
 
 
