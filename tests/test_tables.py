@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from tests.conftest import feedback_row, moment, rows_of
 from voxloom.operators import drilldown, metrics, rollup
+from voxloom.operators.topk import fetch_rows
 from voxloom.plans import documents
 from voxloom.schema import CONTENT_PAYLOAD, FEEDBACK, RECORD_PAYLOAD, SUMMARY_PAYLOAD
+from voxloom import session
 from voxloom.sources import ingest, tables
 
 
@@ -19,6 +21,27 @@ def plan_of(frame):
     return frame._jdf.queryExecution().executedPlan().toString()
 
 
+def files_read(frame):
+    """The number of files each scan opens when a query first runs."""
+    frame.collect()
+    names = []
+
+    def visit(node):
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            return visit(node.executedPlan())
+        if "QueryStage" in name:
+            return visit(node.plan())
+        if name.startswith("Scan parquet"):
+            names.append(node.metrics().apply("numFiles").value())
+        children = node.children()
+        for place in range(children.size()):
+            visit(children.apply(place))
+
+    visit(frame._jdf.queryExecution().executedPlan())
+    return names
+
+
 def test_defaults_fill_omitted_columns_not_nulls(spark):
     batch = spark.createDataFrame([("web", "hi", None)], "channel string, content string, theme string")
     (row,) = rows_of(ingest.apply_defaults(batch))
@@ -124,7 +147,8 @@ def test_table_by_day_prunes_partitions(spark, small, tmp_path):
     late = small.filter("id = 8")
     recomputed = rollup.rollup_of_dates(stored, rollup.touched_dates(late))
     assert [r["theme"] for r in rows_of(recomputed)] == ["API-docs"]
-    assert re.search(r"PartitionFilters: [^\n]*created_date#\d+ >= [^\n]*ubquery", plan_of(recomputed))
+    assert re.search(r"PartitionFilters: [^\n]*array_contains\([^\n]*ubquery", plan_of(recomputed))
+    assert files_read(rollup.rollup_of_dates(stored, rollup.touched_dates(late))) == [1]
 
 
 def test_dates_of_a_plain_table(spark, small, tmp_path):
@@ -182,6 +206,26 @@ def test_theme_documents_hold_what_the_parts_hold(small):
     assert list(found["pricing"]["samples"][0]) == FEEDBACK.names
 
 
+def test_theme_documents_of_a_table_by_day_open_the_listed_days_only(spark, make_feedback, tmp_path):
+    """The 2 newest rows of both themes are on 2 of 20 days, one file each."""
+    path = str(tmp_path / "by_day")
+    rows = [feedback_row(n, theme="ab"[n % 2], created_at=moment(n // 2 + 1)) for n in range(40)]
+    tables.write_by_day(make_feedback(rows), path)
+    stored_rows = tables.scan_feedback(spark, path, by_day=True)
+    chosen = session.stored(drilldown.samples_and_recent(stored_rows, 2), "t")
+    fetched = fetch_rows(stored_rows, chosen)
+    assert {(r["theme"], r["kind"], r["rank"], r["id"]) for r in rows_of(fetched)} == {
+        (theme, kind, rank, id)
+        for kind in ["samples", "recent"]
+        for theme, ids in [("a", [38, 36]), ("b", [39, 37])]
+        for rank, id in enumerate(ids, 1)
+    }
+    assert max(files_read(fetch_rows(stored_rows, chosen))) == 2
+    (a, b) = sorted(rows_of(documents.theme_documents(stored_rows, 2)), key=lambda d: d["theme"])
+    assert a["recentFeedbackTexts"] == ["text 38", "text 36"]
+    assert b["samples"][0]["id"] == 39
+
+
 def test_documents_are_written_with_their_nulls(empty, tmp_path):
     path = str(tmp_path / "documents")
     tables.write_documents(documents.overview_document(empty), path)

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from voxloom.functions.measures import day_of, mean_score, rows, tally_label
+from voxloom.operators.by_day import is_by_day
 from voxloom.operators.filters import analyzed_only, theme_equals
 from voxloom.operators.topk import (
     first_k_of_groups,
@@ -109,15 +110,16 @@ LIST_COLUMNS = ["id", "created_at", "theme", "urgency", "analyzed"]
 
 
 def samples_and_recent(feedback, k=10):
-    """Ids of both lists of each theme: (theme, kind, rank, id).
+    """Ids of both lists of each theme: (theme, kind, rank, id), by day also their day.
 
     Only the columns that decide the order are read and sorted; the rows
     themselves are for ``fetch_rows`` to get.
     """
-    narrow = feedback.select(*LIST_COLUMNS)
+    day = ["created_date"] if is_by_day(feedback) else []
+    narrow = feedback.select(*LIST_COLUMNS, *day)
     lists = {"samples": samples_per_theme(narrow, k), "recent": recent_per_theme(narrow, k)}
     samples, recent = (
-        chosen.select("theme", F.lit(kind).alias("kind"), "rank", "id")
+        chosen.select("theme", F.lit(kind).alias("kind"), "rank", "id", *day)
         for kind, chosen in lists.items()
     )
     return samples.unionByName(recent)

@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from voxloom.functions.measures import day_of, mean_score, rows, tally_label
+from voxloom.functions.measures import mean_score, rows, tally_label
+from voxloom.operators.by_day import feedback_day, is_by_day, on_days
 from voxloom.operators.filters import analyzed_only
 from voxloom.schema import DAILY_METRICS_KEY, UNCATEGORIZED
 
@@ -26,13 +27,6 @@ def rollup_theme():
     return F.coalesce("theme", F.lit(UNCATEGORIZED)).alias("theme")
 
 
-def feedback_day(feedback):
-    """The partition column of a table laid out by day, else the day of the timestamp."""
-    if "created_date" in feedback.columns:
-        return F.col("created_date")
-    return day_of(F.col("created_at"))
-
-
 def daily_rollup(feedback):
     """Metrics per date and theme, computed from analyzed feedback."""
     return (
@@ -58,27 +52,14 @@ def touched_dates(new_rows):
     return new_rows.select(feedback_day(new_rows).alias("metric_date")).distinct()
 
 
-def within_days(feedback, dates):
-    """Rows from the first to the last of the days.
-
-    On a table laid out by day the bounds prune its folders before the scan.
-    """
-    by_day = "created_date" in feedback.columns
-    column = F.col("created_date" if by_day else "created_at")
-    kind = feedback.schema["created_date" if by_day else "created_at"].dataType
-    start, end = F.min("metric_date"), F.date_add(F.max("metric_date"), 1)
-    return feedback.filter(
-        (column >= dates.agg(start.cast(kind)).scalar())
-        & (column < dates.agg(end.cast(kind)).scalar())
-    )
-
-
 def rollup_of_dates(feedback, dates):
     """The rollup of the given days, recomputed from all their rows.
 
-    The calendar bounds distinct days at 3.7 million values of 4 bytes, so
-    they may be broadcast.
+    A table laid out by day opens the folders of these days only. In any other
+    table the days are broadcast; the calendar bounds distinct days at 3.7
+    million values of 4 bytes.
     """
-    days = F.broadcast(dates.select("metric_date").distinct())
-    candidates = within_days(feedback, dates)
-    return daily_rollup(candidates.filter(feedback_day(feedback).isin(days)))
+    days = dates.select("metric_date").distinct()
+    if is_by_day(feedback):
+        return daily_rollup(on_days(feedback, days, "metric_date").filter("created_date IS NOT NULL"))
+    return daily_rollup(feedback.filter(feedback_day(feedback).isin(F.broadcast(days))))

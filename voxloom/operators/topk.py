@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from voxloom.functions.labels import urgency_rank
 from voxloom.functions.measures import day_of
+from voxloom.operators.by_day import is_by_day, on_days
 
 SALTS = 256
 
@@ -42,7 +43,7 @@ def newest_n(rows, n=50):
 
 def is_wide(rows):
     """True for tables with texts, and for those that can skip folders by day."""
-    return bool({"content", "text", "created_date"} & set(rows.columns))
+    return is_by_day(rows) or bool({"content", "text"} & set(rows.columns))
 
 
 def since_nth_newest(rows, n):
@@ -56,7 +57,7 @@ def since_nth_newest(rows, n):
     oldest = F.min("created_at")
     created_at = F.col("created_at")
     recent = rows.filter((created_at >= times.agg(oldest).scalar()) | created_at.isNull())
-    if "created_date" not in rows.columns:
+    if not is_by_day(rows):
         return recent
     day = F.col("created_date")
     return recent.filter((day >= times.agg(day_of(oldest)).scalar()) | day.isNull())
@@ -67,9 +68,12 @@ def fetch_rows(table, chosen):
 
     ``chosen`` should be ``stored``: its true size then decides on a broadcast.
     The IN comes first because Spark moves it down to the scan, below whatever
-    the table's columns are computed from; a join would stay above.
+    the table's columns are computed from; a join would stay above. A table
+    laid out by day opens the folders of the chosen rows only.
     """
     added = [c for c in chosen.columns if c not in table.columns]
+    if is_by_day(table) and is_by_day(chosen):
+        table = on_days(table, chosen, "created_date")
     rows = table.filter(F.col("id").isin(chosen.select("id")))
     return rows.join(chosen.select("id", *added), "id")
 
