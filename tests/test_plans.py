@@ -13,7 +13,7 @@ from voxloom.sources import tables
 SF_DIR = "/root/testdata/sf0.001"
 STORING = {
     "scan_daily_metrics", "load_rollup", "upsert_daily", "append_batches",
-    "date_partitioned_layout", "stream_daily_rollup", "stream_ingest",
+    "date_partitioned_layout", "stream_daily_rollup", "stream_rollup_updates", "stream_ingest",
 }
 WITH_PYTHON = {"model_unavailable_fallback", "summary_or_default"}
 

@@ -1,7 +1,5 @@
 """Streams against the batch operators, over several batches, reruns and restarts."""
 
-import shutil
-
 import pytest
 from pyspark.sql import functions as F
 
@@ -31,48 +29,81 @@ def event_files(spark, tmp_path):
     return events, path
 
 
-def start_rollup(spark, events, path, tmp_path):
-    stream = (
-        spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    )
-    return jobs.stream_daily_rollup(
-        views.feedback_of(stream), str(tmp_path / "log"), str(tmp_path / "state"), delay="40 days"
-    )
+STREAMS = {
+    "parts": (jobs.stream_daily_rollup, jobs.current_rollup, {}),
+    "updates": (jobs.stream_rollup_updates, jobs.latest_updates, {"delay": "40 days"}),
+}
 
 
-def test_rollup_stream_equals_batch(spark, event_files, tmp_path):
+@pytest.fixture(params=STREAMS)
+def rollup_stream(request, spark, event_files, tmp_path):
+    """(run, read, events, path): run a rollup stream to its end, read its result."""
+    start, read, options = STREAMS[request.param]
     events, path = event_files
-    start_rollup(spark, events, path, tmp_path).awaitTermination()
-    wanted = texts(rollup.daily_rollup(views.feedback_of(events)))
-    current = jobs.current_rollup(spark, str(tmp_path / "log"))
-    assert texts(current) == wanted
-    table = str(tmp_path / "daily")
-    for _ in range(2):
-        jobs.publish_rollup(spark, str(tmp_path / "log"), table)
-        assert texts(tables.scan_daily_metrics(spark, table)) == wanted
 
+    def run():
+        stream = (
+            spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        )
+        feedback = views.feedback_of(stream)
+        start(feedback, str(tmp_path / "log"), str(tmp_path / "state"), **options).awaitTermination()
 
-def test_late_rows_update_their_day_after_a_restart(spark, event_files, tmp_path):
-    events, path = event_files
-    start_rollup(spark, events, path, tmp_path).awaitTermination()
+    return run, lambda: texts(read(spark, str(tmp_path / "log"))), events, path
+
+
+def test_rollup_stream_equals_batch(rollup_stream):
+    run, read, events, _ = rollup_stream
+    run()
+    assert read() == texts(rollup.daily_rollup(views.feedback_of(events)))
+
+
+def test_late_rows_update_their_day_after_a_restart(rollup_stream):
+    run, read, events, path = rollup_stream
+    run()
     late = events.filter("event_type = 'error'").withColumn("event_id", F.col("event_id") + 10000)
     late.coalesce(1).write.mode("append").parquet(path)
-    start_rollup(spark, events, path, tmp_path).awaitTermination()
-    wanted = rollup.daily_rollup(views.feedback_of(events.unionByName(late)))
-    assert texts(jobs.current_rollup(spark, str(tmp_path / "log"))) == texts(wanted)
+    run()
+    assert read() == texts(rollup.daily_rollup(views.feedback_of(events.unionByName(late))))
 
 
-def test_a_batch_that_runs_again_changes_nothing(spark, event_files, tmp_path):
-    events, path = event_files
-    start_rollup(spark, events, path, tmp_path).awaitTermination()
-    before = texts(jobs.current_rollup(spark, str(tmp_path / "log")))
-    commits = sorted((tmp_path / "state" / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
-    last = commits[-1]
-    shutil.copy(last, tmp_path / "kept")
+def test_a_batch_that_runs_again_changes_nothing(rollup_stream, tmp_path):
+    run, read, _, _ = rollup_stream
+    run()
+    before = read()
+    commits = tmp_path / "state" / "commits"
+    last = max(commits.glob("[0-9]*"), key=lambda commit: int(commit.name))
     last.unlink()
-    (last.parent / f".{last.name}.crc").unlink(missing_ok=True)
-    start_rollup(spark, events, path, tmp_path).awaitTermination()
-    assert texts(jobs.current_rollup(spark, str(tmp_path / "log"))) == before
+    (commits / f".{last.name}.crc").unlink(missing_ok=True)
+    run()
+    assert read() == before
+
+
+def test_published_rollup(spark, event_files, tmp_path):
+    events, path = event_files
+    stream = spark.readStream.schema(events.schema).parquet(path)
+    log, table = str(tmp_path / "log"), str(tmp_path / "daily")
+    jobs.stream_daily_rollup(
+        views.feedback_of(stream), log, str(tmp_path / "state")
+    ).awaitTermination()
+    for _ in range(2):
+        jobs.publish_rollup(spark, log, table)
+        stored = tables.scan_daily_metrics(spark, table)
+        assert texts(stored) == texts(rollup.daily_rollup(views.feedback_of(events)))
+
+
+def test_no_row_is_too_late_for_the_parts(spark, tmp_path):
+    """The newest day comes first, in a batch of its own."""
+    events = views.table(spark, SF_DIR, "events")
+    path = str(tmp_path / "events")
+    newest = F.to_date("ts") == F.lit("2024-01-30")
+    for part in [newest, ~newest]:
+        events.filter(part).coalesce(1).write.mode("append").parquet(path)
+        stream = spark.readStream.schema(events.schema).parquet(path)
+        jobs.stream_daily_rollup(
+            views.feedback_of(stream), str(tmp_path / "log"), str(tmp_path / "state")
+        ).awaitTermination()
+    wanted = texts(rollup.daily_rollup(views.feedback_of(events)))
+    assert texts(jobs.current_rollup(spark, str(tmp_path / "log"))) == wanted
 
 
 def test_ingest_stream_equals_batch(spark, tmp_path):

@@ -280,6 +280,14 @@ def stream_daily_rollup(spark, sf_dir):
     return jobs.current_rollup(spark, f"{path}/log")
 
 
+@registered("SELECT * FROM rollup_rows")
+def stream_rollup_updates(spark, sf_dir):
+    path = scratch_path(spark, "rollup_updates")
+    feedback = views.feedback_of(read_stream(spark, sf_dir, "events"))
+    jobs.stream_rollup_updates(feedback, f"{path}/log", f"{path}/state").awaitTermination()
+    return jobs.latest_updates(spark, f"{path}/log")
+
+
 @registered(
     """
     SELECT *, TIMESTAMP '2024-01-31 00:00:00' AS created_at, '' AS missing FROM classified

@@ -2,15 +2,15 @@
 
 from pyspark.sql import functions as F
 
-from voxloom.functions.measures import mean_score, rows, tally_label
+from voxloom.functions.measures import mean_score, rounded_mean, rows, tally_label
 from voxloom.operators.by_day import feedback_day, is_by_day, on_days
 from voxloom.operators.filters import analyzed_only
-from voxloom.schema import DAILY_METRICS_KEY, UNCATEGORIZED
+from voxloom.schema import DAILY_METRICS, DAILY_METRICS_KEY, UNCATEGORIZED
 
 ROLLUP_URGENCIES = ["low", "medium", "high", "critical"]
 
 
-def rollup_measures():
+def rollup_counters():
     return [
         rows().alias("total_count"),
         *[
@@ -18,21 +18,43 @@ def rollup_measures():
             for name in ["positive", "neutral", "negative"]
         ],
         *[tally_label("urgency", name).alias(f"urgency_{name}") for name in ROLLUP_URGENCIES],
-        mean_score().alias("avg_sentiment_score"),
     ]
 
 
+def rollup_measures():
+    return [*rollup_counters(), mean_score().alias("avg_sentiment_score")]
+
+
 def rollup_theme():
     """The theme of a rollup row, which is never NULL."""
     return F.coalesce("theme", F.lit(UNCATEGORIZED)).alias("theme")
 
 
+def by_date_and_theme(feedback):
+    day = feedback_day(feedback).alias("metric_date")
+    return analyzed_only(feedback).groupBy(day, rollup_theme())
+
+
 def daily_rollup(feedback):
     """Metrics per date and theme, computed from analyzed feedback."""
-    return (
-        analyzed_only(feedback)
-        .groupBy(feedback_day(feedback).alias("metric_date"), rollup_theme())
-        .agg(*rollup_measures())
+    return by_date_and_theme(feedback).agg(*rollup_measures())
+
+
+def rollup_parts(feedback):
+    """What some of the rows add to the rollup: counters, score sum and score count."""
+    return by_date_and_theme(feedback).agg(
+        *rollup_counters(),
+        F.sum("sentiment_score").alias("score_sum"),
+        F.count("sentiment_score").alias("score_count"),
+    )
+
+
+def sum_of_parts(parts):
+    """The rollup that parts of the rows add up to."""
+    counters = [c for c in DAILY_METRICS.names if c.endswith("_count") or c.startswith("urgency")]
+    mean = F.try_divide(F.sum("score_sum"), F.sum("score_count"))
+    return parts.groupBy(*DAILY_METRICS_KEY).agg(
+        *[F.sum(c).alias(c) for c in counters], rounded_mean(mean).alias("avg_sentiment_score")
     )
 
 

@@ -5,13 +5,68 @@ from pyspark.sql import types as T
 
 from voxloom.operators.enrich import ingest_enriched
 from voxloom.operators.filters import analyzed_only
-from voxloom.operators.rollup import dedupe_daily, rollup_measures, rollup_theme
-from voxloom.schema import DAILY_METRICS
+from voxloom.operators.rollup import (
+    dedupe_daily,
+    rollup_measures,
+    rollup_parts,
+    rollup_theme,
+    sum_of_parts,
+)
+from voxloom.schema import DAILY_METRICS, DAILY_METRICS_KEY
 from voxloom.sources.ingest import split_required
 from voxloom.sources.tables import overwrite_dates
 
 SECONDS_PER_DAY = 86400
-ROLLUP_LOG = T.StructType([*DAILY_METRICS, T.StructField("batch_id", T.LongType())])
+BATCH_ID = T.StructField("batch_id", T.LongType())
+COUNTERS = [f for f in DAILY_METRICS if f.dataType == T.LongType()]
+KEY = [f for f in DAILY_METRICS if f.name in DAILY_METRICS_KEY]
+PARTS_LOG = T.StructType(
+    [
+        *KEY,
+        *COUNTERS,
+        T.StructField("score_sum", T.DoubleType()),
+        T.StructField("score_count", T.LongType()),
+        BATCH_ID,
+    ]
+)
+UPDATES_LOG = T.StructType([*DAILY_METRICS, BATCH_ID])
+
+
+def log_batches(stream, log_path, checkpoint, prepare, trigger):
+    """Write what ``prepare`` makes of each batch to the batch's own folder of a log.
+
+    A batch that runs again after a failure rewrites its folder with the same
+    rows, and no batch touches what others wrote, so losing an executor or the
+    driver half-way leaves the log right.
+    """
+
+    def write_batch(batch, batch_id):
+        prepare(batch).write.mode("overwrite").parquet(f"{log_path}/batch_id={batch_id}")
+
+    return (
+        stream.foreachBatch(write_batch)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
+    )
+
+
+def stream_daily_rollup(feedback, log_path, checkpoint, **trigger):
+    """Log what each batch adds to the daily rollup; ``current_rollup`` sums it up.
+
+    Batches only add, so there is no state to keep and no row comes too late.
+    """
+    return log_batches(feedback.writeStream, log_path, checkpoint, rollup_parts, trigger)
+
+
+def current_rollup(spark, log_path):
+    """The daily rollup of all batches logged so far."""
+    return sum_of_parts(spark.read.schema(PARTS_LOG).parquet(log_path))
+
+
+def publish_rollup(spark, log_path, table_path):
+    """Bring the daily metrics table up to the log."""
+    overwrite_dates(current_rollup(spark, log_path), table_path)
 
 
 def as_utc(created_at):
@@ -36,36 +91,20 @@ def rollup_updates(feedback, delay="1 day"):
     )
 
 
-def stream_daily_rollup(feedback, log_path, checkpoint, delay="1 day", **trigger):
-    """Write each batch's changed rollup rows to its own folder of a log.
+def stream_rollup_updates(feedback, log_path, checkpoint, delay="1 day", **trigger):
+    """Log the whole new row of each date and theme a batch changed.
 
-    A batch that runs again after a failure rewrites its folder with the same
-    rows, and no batch touches what others wrote, so losing an executor or the
-    driver half-way leaves the log right. ``current_rollup`` reads the log.
+    For consumers that want finished rows as they change. The watermark bounds
+    the state: rows more than ``delay`` behind the newest one are not counted,
+    which ``stream_daily_rollup`` or a batch upsert has to make up for.
     """
-
-    def write_batch(changed, batch_id):
-        changed.write.mode("overwrite").parquet(f"{log_path}/batch_id={batch_id}")
-
-    return (
-        rollup_updates(feedback, delay)
-        .writeStream.outputMode("update")
-        .foreachBatch(write_batch)
-        .option("checkpointLocation", checkpoint)
-        .trigger(**(trigger or {"availableNow": True}))
-        .start()
-    )
-
-
-def current_rollup(spark, log_path):
-    """The newest row per date and theme of a rollup log."""
-    log = spark.read.schema(ROLLUP_LOG).parquet(log_path)
-    return dedupe_daily(log, "batch_id")
+    updates = rollup_updates(feedback, delay).writeStream.outputMode("update")
+    return log_batches(updates, log_path, checkpoint, lambda changed: changed, trigger)
 
 
-def publish_rollup(spark, log_path, table_path):
-    """Bring the daily metrics table up to the log."""
-    overwrite_dates(current_rollup(spark, log_path), table_path)
+def latest_updates(spark, log_path):
+    """The newest logged row of each date and theme."""
+    return dedupe_daily(spark.read.schema(UPDATES_LOG).parquet(log_path), "batch_id")
 
 
 def append_stream(rows, path, checkpoint, trigger):
