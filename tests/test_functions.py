@@ -1,6 +1,8 @@
 """Column expressions, one value at a time."""
 
 import datetime as dt
+import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -27,6 +29,10 @@ def value(spark, text, expression, kind="string"):
         ('"a"', None),
         ("null", None),
         ('["a"] junk', None),
+        ('["a"]]', None),
+        ('["a"],0]', None),
+        ('["a"]],[["b"]', None),
+        ('["a"],"b"],["c"', None),
         ('["a"],["b"]', None),
         ('["a",]', None),
         ("[NaN]", None),
@@ -125,3 +131,39 @@ def test_urgency_rank(spark, urgency, rank):
 @pytest.mark.parametrize(("mean", "wanted"), [(-1.0, 0.0), (1.0, 100.0), (0.0, 50.0), (0.01, 51.0)])
 def test_sentiment_percent(spark, mean, wanted):
     assert value(spark, mean, measures.sentiment_percent, "double") == wanted
+
+
+def reject_constant(name):
+    raise ValueError(name)
+
+
+def expected_labels(text):
+    """Labels by the standard library's parser, made as strict as JSON itself."""
+    try:
+        parsed = json.loads(text or "[]", parse_constant=reject_constant)
+    except ValueError:
+        return None
+    return parsed if isinstance(parsed, list) else None
+
+
+def test_label_arrays_agree_with_another_strict_parser(spark):
+    """Arrays of labels with up to three characters dropped, doubled or put in."""
+    draw = random.Random(5)
+    labels_seen = ["a", "docs", "b-c", "", 'q"q', "ü", "back\\slash", "new\nline", None]
+    texts = []
+    for _ in range(3000):
+        given = draw.choices(labels_seen, k=draw.randint(0, 3))
+        text = json.dumps(given, ensure_ascii=draw.random() < 0.5)
+        for _ in range(draw.choice([0, 0, 1, 1, 2, 3])):
+            place = draw.randint(0, len(text))
+            text = text[:place] + draw.choice(["", *'[]{},:" \\\'', text[place : place + 1] * 2]) + (
+                text[place + 1 :] if draw.random() < 0.6 else text[place:]
+            )
+        texts.append(text)
+    frame = spark.createDataFrame(list(enumerate(texts)), "n int, x string")
+    parsed = frame.select("n", json_text.parse_label_array(F.col("x")).alias("y")).collect()
+    strings = (str, type(None))
+    for row in parsed:
+        wanted = expected_labels(texts[row["n"]])
+        if wanted is None or all(isinstance(label, strings) for label in wanted):
+            assert row["y"] == wanted, texts[row["n"]]

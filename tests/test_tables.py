@@ -91,14 +91,19 @@ def test_ids_are_unique_increasing_and_above_the_table(spark, small, empty, stor
 
 def test_payloads(spark, tmp_path):
     bodies = spark.createDataFrame(
-        [('{"text":"a","source":"web"}',), ('{"text":"a"} junk',), ("",), (None,), ('{"text":5}',)],
+        [('{"text":"a","source":"web"}',), ('{"text":"a"} junk',), ("",), (None,), ('{"text":5}',),
+         ('[{"text":"a"}]',)],
         "body string",
     )
     found = rows_of(tables.parse_payload(bodies, "body", RECORD_PAYLOAD).drop("body"))
     nothing = {"text": None, "source": None, "user_id": None}
     assert found == [
         {"text": "a", "source": "web", "user_id": None}, nothing, nothing, nothing,
-        {**nothing, "text": "5"},
+        {**nothing, "text": "5"}, nothing,
+    ]
+    bodies = spark.createDataFrame([('{"theme":"docs","feedbackTexts":["a",null]}',)], "body string")
+    assert rows_of(tables.parse_payload(bodies, "body", SUMMARY_PAYLOAD).drop("body")) == [
+        {"feedbackTexts": ["a", None], "theme": "docs"},
     ]
     path = tmp_path / "payloads.json"
     path.write_text('{"feedbackTexts":["a","b"],"theme":"pricing"}\n{"theme":"docs"}\n')

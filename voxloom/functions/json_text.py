@@ -1,12 +1,17 @@
 """Strict JSON held in text columns.
 
-Spark's JSON readers accept junk behind the first value (``["a"] junk``).
-Wrapping the text as the only element of an array makes such junk a syntax
-error, and an array size other than one gives away empty text and ``a, b``.
+Spark's JSON readers stop after the first value and accept junk behind it
+(``["a"] junk``, ``["a"]]``). Here the text is parsed as the first of two array
+elements; the second is a mark that no stored text can know. Only if the text is
+exactly one JSON value does the mark come second.
 """
 
+import uuid
+
 from pyspark.sql import functions as F
 
+MARK = uuid.uuid4().hex
+
 
 def bound(value, use):
     """``use(value)`` with the value computed once, however often it is used.
@@ -17,13 +22,13 @@ def bound(value, use):
 
 
 def strict_variant(text):
-    """The text as a one-element variant array, NULL unless it is one JSON value."""
-    wrapped = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    """A variant array that starts with the text's value; NULL unless it is one value."""
+    marked = F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{MARK}"]')))
 
-    def if_one(array):
-        return F.when(F.array_size(F.try_variant_get(array, "$", "array<variant>")) == 1, array)
+    def if_marked(array):
+        return F.when(F.try_variant_get(array, "$[1]", "string") == MARK, array)
 
-    return bound(wrapped, if_one)
+    return bound(marked, if_marked)
 
 
 def parse_label_array(text):

@@ -86,7 +86,10 @@ def read_payloads(spark, path, schema):
 
 
 def parse_payload(rows, column, schema):
-    """Add the fields of a JSON payload column; all NULL where it is no valid JSON."""
-    strict = F.when(strict_variant(F.col(column)).isNotNull(), F.col(column))
-    parsed = rows.withColumn("_payload", F.from_json(strict, schema))
-    return parsed.select(*rows.columns, "_payload.*")
+    """Add the fields of a JSON payload column; all NULL where it is no valid JSON object."""
+    parsed = rows.withColumn("_payload", strict_variant(F.col(column)))
+    fields = [
+        F.try_variant_get("_payload", f"$[0].{f.name}", f.dataType.simpleString()).alias(f.name)
+        for f in schema
+    ]
+    return parsed.select(*rows.columns, *fields)
