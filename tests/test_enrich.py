@@ -1,6 +1,7 @@
 """Labelling through a model that answers, chatters, fails or is down."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -37,6 +38,35 @@ def test_bad_responses_fall_back_and_are_kept(spark, response):
     assert parsed(spark, response) == [wanted]
 
 
+def is_object(response):
+    """Whether another strict parser reads the span from first to last brace."""
+    start, end = response.find("{"), response.rfind("}")
+    if start < 0 or end < start:
+        return False
+    try:
+        json.loads(response[start : end + 1], parse_constant=lambda name: {}[name])
+    except (ValueError, KeyError):
+        return False
+    return True
+
+
+def test_responses_agree_with_another_strict_parser(spark):
+    """Good responses with chatter around them and a few characters changed."""
+    draw = random.Random(11)
+    texts = []
+    for _ in range(2000):
+        text = draw.choice(["", "Sure! ", "{", "```"]) + json.dumps(GOOD) + draw.choice(
+            ["", " done", "}", "\n"]
+        )
+        for _ in range(draw.choice([0, 1, 1, 2])):
+            place = draw.randint(0, len(text))
+            text = text[:place] + draw.choice(["", *'{}[],:" \\']) + text[place + 1 :]
+        texts.append(text)
+    frame = spark.createDataFrame(list(enumerate(texts)), "n int, raw_response string")
+    for row in enrich.parse_model_response(frame).collect():
+        assert (row["raw_response"] is None) == is_object(texts[row["n"]]), texts[row["n"]]
+
+
 def test_values_are_not_corrected_but_flagged(spark):
     (row,) = parsed(spark, '{"sentiment":"furious","sentiment_score":7}')
     assert row == {"sentiment": "furious", "sentiment_score": 7.0, "theme": None, "urgency": None,
