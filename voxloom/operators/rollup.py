@@ -83,5 +83,6 @@ def rollup_of_dates(feedback, dates):
     """
     days = dates.select("metric_date").distinct()
     if is_by_day(feedback):
-        return daily_rollup(on_days(feedback, days, "metric_date").filter("created_date IS NOT NULL"))
+        dated = feedback.filter(F.col("created_date").isNotNull())
+        return daily_rollup(on_days(dated, days, "metric_date"))
     return daily_rollup(feedback.filter(feedback_day(feedback).isin(F.broadcast(days))))

@@ -118,7 +118,9 @@ def append_stream(rows, path, checkpoint, trigger):
     )
 
 
-def stream_ingest(records, accepted_path, rejected_path, checkpoint, enrich=ingest_enriched, **trigger):
+def stream_ingest(
+    records, accepted_path, rejected_path, checkpoint, enrich=ingest_enriched, **trigger
+):
     """Label and store records as they arrive; rows without text or source are set aside.
 
     Two appending queries, each with its own checkpoint: the file sink commits
