@@ -29,7 +29,7 @@ WIDTH, FILTERS, EMBEDDED, HIDDEN = 4, 16, 8, 16
 #: a row, and the next chunk begins before it ends.
 BLOCK, CHUNK_BLOCKS, CHUNK_STEP = 64, 8, 7
 SAMPLE_TEXTS, SAMPLE_BYTES = 2400, 1 << 14
-EPOCHS, BATCH_TEXTS, RATE, SEED = 8, 32, 0.01, 7
+STEPS, BATCH_TEXTS, RATE, SEED = 900, 32, 0.01, 7
 BYTES_AT_ONCE = 1 << 18
 
 
@@ -189,7 +189,7 @@ class Network:
             d_bytes += d_tap @ w["filters"][tap].T
         return found | {"bytes": d_bytes, "filters": d_filters}
 
-    def fit(self, texts, labels, epochs=EPOCHS, batch=BATCH_TEXTS, rate=RATE, seed=SEED):
+    def fit(self, texts, labels, steps=STEPS, batch=BATCH_TEXTS, rate=RATE, seed=SEED):
         """Adam over shuffled batches, with a falling rate."""
         import numpy as np
 
@@ -197,13 +197,13 @@ class Network:
         order = np.random.default_rng(seed)
         first = {k: np.zeros_like(v) for k, v in self.weights.items()}
         second = {k: np.zeros_like(v) for k, v in self.weights.items()}
-        step, steps = 0, epochs * -(-len(texts) // batch)
-        for _ in range(epochs):
+        step = 0
+        while step < steps:
             shuffled = order.permutation(len(texts))
             for start in range(0, len(texts), batch):
                 chosen = shuffled[start : start + batch]
                 found = self.gradients([texts[i] for i in chosen], labels[chosen])
-                now = rate * (1 - step / steps)
+                now = rate * max(0.0, 1 - step / steps)
                 step += 1
                 for name, value in found.items():
                     first[name] = 0.9 * first[name] + 0.1 * value
@@ -214,17 +214,30 @@ class Network:
         return self
 
 
-def training_sample(docs, labels, training, texts=SAMPLE_TEXTS, most_bytes=SAMPLE_BYTES):
-    """(text, label) of at most ``texts`` labelled documents, half of each label if there are."""
-    marked = labels.select("doc_id", F.col("quality").alias("__label")).filter(
-        F.col("__label").isin(0, 1)
+    def with_shares(self, sampled, real):
+        """The network for data in which label 1 has the share ``real``, not ``sampled``."""
+        import numpy as np
+
+        shift = np.log(real / (1 - real)) - np.log(sampled / (1 - sampled))
+        return Network(self.weights | {"out_bias": self.weights["out_bias"] + shift})
+
+
+def labelled(docs, labels, training):
+    """``text`` and ``__label`` (0 or 1) of the documents that may be learned from."""
+    marked = labels.select("doc_id", F.col("quality").alias("__label"))
+    return (
+        docs.select("doc_id", "text")
+        .filter(training)
+        .join(marked.filter(F.col("__label").isin(0, 1)), "doc_id")
     )
-    hashed = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+
+
+def training_sample(known, texts=SAMPLE_TEXTS, most_bytes=SAMPLE_BYTES):
+    """At most ``texts`` rows of ``labelled``, half of each label if there are as many."""
+    hashed = F.md5(F.col("doc_id").cast("string"))
     order = Window.partitionBy("__label").orderBy(hashed, "doc_id", "text")
     return (
-        docs.select("doc_id", "text")
-        .filter(training & (F.octet_length("text") <= most_bytes))
-        .join(marked, "doc_id")
+        known.filter(F.octet_length("text") <= most_bytes)
         .withColumn("__turn", F.row_number().over(order))
         .filter(F.col("__turn") <= texts // 2)
         .select("text", "__label")
@@ -233,14 +246,17 @@ def training_sample(docs, labels, training, texts=SAMPLE_TEXTS, most_bytes=SAMPL
 
 def learn(docs, labels, training, **given):
     """A trained network, or the share of label 1 where only one label was seen."""
-    sample = training_sample(docs, labels, training, **given).toArrow().combine_chunks()
+    known = labelled(docs, labels, training)
+    sample = training_sample(known, **given).toArrow().combine_chunks()
     texts = [t for chunk in sample.column("text").chunks for t in byte_list(chunk)]
     marks = sample.column("__label").to_pylist()
     if len(set(marks)) < 2:
         return sum(marks) / len(marks) if marks else 0.5
     # Rows come in any order; training must not depend on it.
     pairs = sorted(zip(texts, marks, strict=True))
-    return Network.initial().fit([t for t, _ in pairs], [m for _, m in pairs])
+    network = Network.initial().fit([t for t, _ in pairs], [m for _, m in pairs])
+    real = known.select("doc_id", "__label").agg(F.avg("__label")).first()[0]
+    return network.with_shares(sum(marks) / len(marks), real)
 
 
 def score(docs, labels, training, keep=("doc_id",), **given):

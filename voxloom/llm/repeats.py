@@ -21,7 +21,7 @@ from voxloom.llm.shared import byte_list
 MIN_REPEAT = 8
 #: A text fails if repeated passages cover more of its words than this, or if
 #: the longest one is longer than this many words and this part of the text.
-MOST_COVERED, LONGEST_REPEAT, LONGEST_SHARE = 0.30, 100, 0.15
+MOST_COVERED, LONGEST_REPEAT, LONGEST_SHARE = 0.40, 100, 0.15
 #: Base rules: fewest words, and the largest percentage of words in repeated windows.
 MIN_WORDS, WINDOW, MOST_WINDOW_PERCENT = 50, 3, 50
 #: Words whose suffixes are sorted at once; a longer text is sorted alone.
