@@ -1,0 +1,113 @@
+import math
+import zlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from voxloom.llm import language_id
+from voxloom.llm.shared import id_remainder
+
+
+class SlowTree:
+    """The same code lengths, one byte at a time, over all 256 bytes."""
+
+    def __init__(self, texts, order):
+        self.order, self.counts = order, {}
+        for text in texts:
+            for i, byte in enumerate(text):
+                for n in range(order + 1):
+                    if n <= i:
+                        self.counts.setdefault(text[i - n : i], {}).setdefault(byte, 0)
+                        self.counts[text[i - n : i]][byte] += 1
+
+    def probabilities(self, context):
+        while context and context not in self.counts:
+            context = context[1:]
+        shorter = self.probabilities(context[1:]) if context else [1 / 256] * 256
+        seen = self.counts.get(context, {})
+        if not seen:
+            return shorter
+        whole = sum(seen.values()) + len(seen)
+        left = sum(p for byte, p in enumerate(shorter) if byte not in seen)
+        escape = len(seen) / whole
+        return [
+            seen[byte] / whole if byte in seen else escape * shorter[byte] / left for byte in range(256)
+        ]
+
+    def bits(self, text):
+        total = 0.0
+        for i, byte in enumerate(text):
+            total -= math.log2(self.probabilities(text[max(0, i - self.order) : i])[byte])
+        return total
+
+
+SAMPLES = {
+    "en": [b"the cat sat on the mat", b"other things that matter"],
+    "fr": ["le chat était là".encode(), "où est la clé".encode()],
+    "xx": [b"zzzz"],
+}
+
+
+@pytest.fixture(scope="module")
+def identifier():
+    return language_id.Identifier.learned(
+        {name: language_id.follower_counts(texts) for name, texts in SAMPLES.items()}
+    )
+
+
+def test_code_lengths_equal_one_byte_at_a_time(identifier, monkeypatch):
+    texts = [b"", b"t", b"the", b"that cat", "l'été là-bas".encode(), b"zzzzzz", b"\0\1\xff", b"qqq the"]
+    trees = [SlowTree(SAMPLES[name], language_id.ORDER) for name in sorted(SAMPLES)]
+    expected = [[tree.bits(text) for tree in trees] for text in texts]
+    for at_once in (1 << 18, 4, 9):
+        monkeypatch.setattr(language_id, "BYTES_AT_ONCE", at_once)
+        for row, bits in zip(identifier.total_lengths(texts), expected):
+            assert row == pytest.approx(bits, rel=1e-4, abs=1e-3)
+
+
+def test_every_context_is_a_distribution():
+    tree = SlowTree(SAMPLES["en"], 3)
+    for context in (b"", b"t", b"th", b"the", b"qqq", b"at "):
+        assert sum(tree.probabilities(context)) == pytest.approx(1)
+
+
+def test_held_out_accuracy(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = language_id.identify(docs, id_remainder("doc_id", 5) != 0, ("doc_id", "lang")).collect()
+    tested = [r for r in rows if zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
+    assert sum(r["__lang_pred"] == r.lang for r in tested) >= 0.98 * len(tested) > 100
+    assert all(0 <= r["__score"] <= 1 for r in rows)
+
+
+def test_other_columns_and_held_out_rows_have_no_part(given_docs):
+    training = id_remainder("doc_id", 5) != 0
+    plain = {r.doc_id: r["__lang_pred"] for r in language_id.identify(given_docs, training).collect()}
+    changed = given_docs.withColumn("lang", F.when(training, F.col("lang")).otherwise("zz"))
+    other = {r.doc_id: r["__lang_pred"] for r in language_id.identify(changed, training).collect()}
+    assert plain == other and set(plain.values()) <= {"en", "fr", "de", "es"}
+
+
+def test_edge_rows(make_docs):
+    docs = make_docs(
+        (1, "the cat and the dog", "en"), (2, "le chien est là", "fr"), (3, None, "en"), (4, "", None),
+        (5, "12 34 !!", "fr"), (6, "the the", None), (6, "the the", None), (None, "là là là", None),
+        (7, "the dog " * 50_000, "en"), score="s", lang_pred="p",
+    )
+    found = {}
+    for row in language_id.identify(docs, F.lit(True)).collect():
+        found.setdefault(row.doc_id, []).append((row["__lang_pred"], row["__score"]))
+    assert [found[d][0] for d in (3, 4, 5)] == [("und", 0.0)] * 3
+    assert [found[d][0][0] for d in (1, 2, 6, None, 7)] == ["en", "fr", "en", "fr", "en"]
+    assert len(found[6]) == 2
+    kept = language_id.with_language(docs, F.lit(True))
+    assert kept.columns == docs.columns and kept.count() == 6
+    nothing = language_id.identify(docs, F.lit(False)).collect()
+    assert {(r["__lang_pred"], r["__score"]) for r in nothing} == {("und", 0.0)}
+    assert language_id.identify(docs.limit(0), F.lit(True)).count() == 0
+
+
+def test_the_sample_is_bounded(given_docs):
+    sample = language_id.training_sample(given_docs, F.lit(True), 5, 2000)
+    counts = {r.lang: r["count"] for r in sample.groupBy("lang").count().collect()}
+    assert max(counts.values()) <= 5
+    assert sample.agg(F.max(F.octet_length("text"))).first()[0] <= 2000

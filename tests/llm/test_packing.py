@@ -1,0 +1,134 @@
+import random
+import zlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from voxloom.llm import packing, tokens
+
+PATH = tokens.vocabulary_path()
+
+
+def one_by_one(lengths, capacity):
+    """Remaining room of every sequence after packing best-fit, longest first."""
+    rooms = []
+    for length in sorted(lengths, reverse=True):
+        fitting = [(room, i) for i, room in enumerate(rooms) if room >= length]
+        if fitting:
+            rooms[min(fitting)[1]] -= length
+        else:
+            rooms.append(capacity - length)
+    return rooms
+
+
+def placed(runs):
+    """{sequence: sorted (offset, length)} of planned runs."""
+    found = {}
+    for length, low, high, first, used, each in runs:
+        for i in range(high - low):
+            found.setdefault(first + i // each, []).append((used + i % each * length, length))
+    return {k: sorted(v) for k, v in found.items()}
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_plan_equals_packing_one_by_one(seed):
+    draw = random.Random(seed)
+    capacity = draw.choice([1, 7, 16, 50, 100])
+    lengths = [
+        draw.choice([draw.randint(1, capacity), draw.randint(1, max(1, capacity // 4))])
+        for _ in range(draw.randint(0, 400))
+    ]
+    histogram = {x: lengths.count(x) for x in set(lengths)}
+    runs = packing.plan_packing(histogram, capacity)
+    sequences = placed(runs)
+    rooms = one_by_one(lengths, capacity)
+    assert len(sequences) == len(rooms)
+    left = []
+    for parts in sequences.values():
+        at = 0
+        for offset, length in parts:
+            assert offset == at
+            at += length
+        left.append(capacity - at)
+    assert sorted(left) == sorted(rooms)
+    for length, count in histogram.items():
+        numbers = sorted(n for x, low, high, *_ in runs if x == length for n in range(low, high))
+        assert numbers == list(range(count))
+
+
+def test_plan_is_bounded_by_the_capacity():
+    small = {x: 3 + x % 5 for x in range(1, 2049)}
+    large = {x: n * 100_000 for x, n in small.items()}
+    assert len(packing.plan_packing(large)) < 3 * len(packing.plan_packing(small))
+
+
+def test_tightest_room():
+    rooms = packing.OpenSequences(10)
+    for room in (2, 5, 5, 9):
+        rooms.push(room, room, 1)
+    assert [rooms.tightest(x) for x in range(1, 11)] == [2, 2, 5, 5, 5, 9, 9, 9, 9, None]
+    rooms.pop(5)
+    rooms.pop(5)
+    assert rooms.tightest(3) == 9
+
+
+def test_documents_round_trip(given_docs, texts):
+    plain = tokens.load_tokenizer(PATH)
+    capacity = 300
+    pieces = packing.cut_pieces(given_docs, PATH, capacity)
+    packed = packing.pack(pieces, capacity).collect()
+    whole, sequences = {}, {}
+    for row in packed:
+        whole.setdefault(row.doc_id, []).append((row.piece, row.start, row.length, bytes(row.ids)))
+        sequences.setdefault(row.sequence_id, []).append((row.offset, row.length))
+    for doc_id, text in texts.items():
+        parts = sorted(whole[doc_id])
+        ids = [*plain.encode(text, add_special_tokens=False).ids, 0]
+        assert b"".join(p[3] for p in parts) == b"".join(i.to_bytes(4, "little") for i in ids)
+        assert [p[0] for p in parts] == list(range(len(parts)))
+        assert [p[1] for p in parts] == [sum(q[2] for q in parts[:n]) for n in range(len(parts))]
+        assert all(p[2] == capacity for p in parts[1:])
+    for parts in sequences.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= capacity
+    lengths = [row.length for row in packed]
+    assert len(sequences) == len(one_by_one(lengths, capacity))
+    again = {(r.doc_id, r.piece): bytes(r.ids) for r in packed}
+    joined = packing.sequences(packing.pack(pieces, capacity))
+    assert joined.agg(F.sum("length")).first()[0] == sum(lengths)
+    row = joined.orderBy("sequence_id").first()
+    assert len(row.ids) == 4 * row.length
+    assert again
+
+
+def test_registered_columns(spark):
+    from voxloom.llm.queries import QUERIES
+
+    rows = QUERIES["op5_packing"](spark, "/root/testdata/sf0.001")
+    assert set(rows.columns) == {
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
+    }
+    plain = tokens.load_tokenizer(PATH)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    row = rows.filter("piece = 0 and start + length < 2048").orderBy("doc_id").first()
+    text = docs.filter(F.col("doc_id") == row.doc_id).first().text
+    ids = [*plain.encode(text, add_special_tokens=False).ids, 0][: row.length]
+    assert row.ids_crc32 == zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids))
+
+
+def test_edge_rows(make_docs):
+    docs = make_docs(
+        (1, None), (1, None), (2, ""), (None, "x"), (3, "word " * 50_000), offset="o", sequence_id="s"
+    )
+    packed = packing.pack(packing.cut_pieces(docs, PATH)).collect()
+    small = [r for r in packed if r.doc_id != 3]
+    assert sorted((r.doc_id or 0, r.length) for r in small) == [(0, 2), (1, 1), (1, 1), (2, 1)]
+    long = sorted((r.piece, r.length) for r in packed if r.doc_id == 3)
+    assert sum(length for _, length in long) == 50_002
+    assert len({(r.sequence_id, r.offset) for r in packed}) == len(packed)
+    assert packing.pack(packing.cut_pieces(docs.limit(0), PATH)).count() == 0
+    with pytest.raises(ValueError):
+        packing.pack(packing.cut_pieces(docs, PATH), 100)

@@ -1,0 +1,106 @@
+import random
+import re
+
+import numpy as np
+import pytest
+
+from voxloom.llm import repeats
+
+
+def slow_longest(words, i):
+    """Longest prefix of words[i:] that also starts somewhere else."""
+    best = 0
+    for j in range(len(words)):
+        n = 0
+        while j != i and max(i, j) + n < len(words) and words[i + n] == words[j + n]:
+            n += 1
+        best = max(best, n)
+    return best
+
+
+def slow_measure(text, least):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    longest = [slow_longest(words, i) for i in range(len(words))]
+    window, passage = set(), set()
+    for i, n in enumerate(longest):
+        if n >= 3:
+            window |= set(range(i, i + 3))
+        if n >= least:
+            passage |= set(range(i, i + n))
+    lines, seen, repeated = text.split("\n"), set(), 0
+    for line in lines:
+        if re.search(r"[^\x20\x09-\x0D]", line):
+            repeated += line in seen
+            seen.add(line)
+    return {
+        "n_words": len(words), "word_chars": sum(map(len, words)), "n_repeat_words": len(window),
+        "n_symbols": sum(c in "#*$%&|<>" for c in text), "n_dup_lines": repeated,
+        "covered_words": len(passage), "longest_repeat": max(longest, default=0),
+    }
+
+
+def random_text(draw):
+    words = draw.choices(["a", "b", "cé", "d#", "EE", "<|", "x\x1cy"], k=draw.randint(0, 60))
+    for _ in range(draw.randint(0, 3)):
+        if words:
+            at, size = draw.randrange(len(words)), draw.randint(1, 12)
+            words += words[at : at + size]
+    return "".join(word + draw.choice([" ", " ", "\n", "\n\n", "\t", "\r\n"]) for word in words)
+
+
+@pytest.mark.parametrize("seed", range(25))
+def test_counts_equal_comparing_all_suffixes(seed):
+    draw = random.Random(seed)
+    texts = [random_text(draw) for _ in range(12)] + ["", " ", "one", "a a a a a a a a a a"]
+    found = repeats.measure([t.encode() for t in texts], 4)
+    for text, row in zip(texts, found):
+        expected = slow_measure(text, 4)
+        assert {name: row[name] for name in expected} == expected
+        assert sum(high - low for low, high in row["repeat_spans"]) == row["covered_words"]
+
+
+def test_batches_do_not_matter(texts, monkeypatch):
+    given = [t.encode() for t in texts.values()]
+    whole = repeats.measure(given)
+    monkeypatch.setattr(repeats, "WORDS_AT_ONCE", 500)
+    assert repeats.measure(given) == whole
+
+
+def test_one_word_over_and_over():
+    n = 5000
+    found = repeats.longest_elsewhere(np.zeros(n, np.int64), np.full(n, n))
+    assert found[:4].tolist() == [n - 1, n - 1, n - 2, n - 3] and found[-1] == 1
+
+
+def test_verdicts(make_docs):
+    clean = " ".join(f"word{i}" for i in range(120))
+    passage = " ".join(f"again{i}" for i in range(60))
+    docs = make_docs(
+        (1, clean), (2, clean[:50]), (3, f"{passage} {passage}"), (4, None), (5, ""),
+        (6, f"{clean} {passage} {passage}"), (7, f"{clean} {passage[:40]} {passage[:40]}"), (1, clean),
+        (None, clean), (8, "spam " * 100_000), kept="k", n_words="w",
+    )
+    rows = {}
+    for row in repeats.judge(docs).collect():
+        rows.setdefault(row.doc_id, []).append(row)
+    assert len(rows[1]) == 2
+    verdicts = {d: (r[0]["__base_failed"], r[0]["__kept"]) for d, r in rows.items()}
+    assert verdicts == {
+        1: (False, True), 2: (True, False), 3: (True, False), 4: (True, False), 5: (True, False),
+        6: (False, False), 7: (False, True), None: (False, True), 8: (True, False),
+    }
+    kept = repeats.clean(docs)
+    assert kept.columns == docs.columns
+    assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "1", "7", "None"]
+    spans = repeats.judge(docs.filter("doc_id = 6"), spans=True).first()["__repeat_spans"]
+    assert spans == [[120, 240]]
+    assert repeats.judge(docs.limit(0)).count() == 0
+    assert repeats.clean(docs.limit(0)).count() == 0
+
+
+def test_given_documents(given_docs, texts):
+    short = [d for d, t in texts.items() if len(t) < 1500][:60]
+    for row in repeats.judge(given_docs).collect():
+        if row.doc_id in short:
+            expected = slow_measure(texts[row.doc_id], repeats.MIN_REPEAT)
+            assert {name: row[f"__{name}"] for name in expected} == expected

@@ -1,0 +1,140 @@
+import random
+import re
+
+import xxhash
+from pyspark.sql import functions as F
+
+from voxloom.llm import simhash
+from voxloom.session import stored
+
+
+def slow_fingerprint(text, shingle=4):
+    folded = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    words = re.findall(r"[^\x20\x09-\x0D]+", folded)
+    if not words:
+        return 0
+    parts = [" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))]
+    hashes = [xxhash.xxh64_intdigest(p.encode(), 42) for p in parts]
+    return sum(
+        1 << bit for bit in range(64) if 2 * sum(h >> bit & 1 for h in hashes) > len(hashes)
+    )
+
+
+def unsigned(value):
+    return value & (2**64 - 1)
+
+
+def slow_components(prints, radius):
+    """{print: smallest print that links lead to}, by comparing all pairs."""
+    label = {p: p for p in prints}
+    changed = True
+    while changed:
+        changed = False
+        for a in prints:
+            for b in prints:
+                if (unsigned(a) ^ unsigned(b)).bit_count() <= radius and label[a] < label[b]:
+                    label[b], changed = label[a], True
+    return label
+
+
+def test_fingerprints(texts, monkeypatch):
+    given = [*texts.values(), "", " \n", "One", "one two THREE", "É É é Ä a b", "a\x0bb\x1cc d e f g"]
+    for text in given:
+        assert unsigned(simhash.fingerprint(text.encode())) == slow_fingerprint(text)
+    assert simhash.fingerprint(b"") == 0
+    monkeypatch.setattr(simhash, "HASHES_AT_ONCE", 7)
+    small_blocks = simhash.whole_words
+    monkeypatch.setattr(simhash, "whole_words", lambda data: small_blocks(data, 11))
+    for text in given[:40]:
+        assert unsigned(simhash.fingerprint(text.encode())) == slow_fingerprint(text)
+
+
+def planted(radius, seed):
+    draw = random.Random(seed)
+    prints = {draw.getrandbits(64) for _ in range(60)}
+    for base in list(prints)[:25]:
+        chain = base
+        for _ in range(4):
+            for bit in draw.sample(range(64), draw.choice([1, radius, radius, radius + 1])):
+                chain ^= 1 << bit
+            prints.add(chain)
+    # One dense cluster: many values around one.
+    centre = draw.getrandbits(64)
+    prints |= {centre ^ (1 << a) ^ (1 << b) for a in range(0, 16) for b in range(16, 24)}
+    return sorted(p - 2**64 if p >> 63 else p for p in prints)
+
+
+def test_components_equal_all_pairs(spark):
+    for radius in (4, 3):
+        prints = planted(radius, radius)
+        table = stored(spark.createDataFrame([(p, p) for p in prints], "fingerprint long, first_id long"), "p")
+        got = {r.fingerprint: r.component_id for r in simhash.components(table, radius).collect()}
+        assert got == slow_components(prints, radius)
+
+
+def test_many_groups_find_the_same(spark, monkeypatch):
+    prints = planted(4, 9)
+    table = stored(spark.createDataFrame([(p, p) for p in prints], "fingerprint long, first_id long"), "p")
+    few = {r.fingerprint: r.component_id for r in simhash.components(table, 4).collect()}
+    many = {r.fingerprint: r.component_id for r in simhash.components(table, 4, 700).collect()}
+    assert few == many
+
+
+def test_long_chain(spark):
+    chain = [0]
+    for step in range(15):
+        chain.append(chain[-1] ^ (0b1111 << (4 * step)))
+    draw = random.Random(3)
+    ids = draw.sample(range(1000), len(chain))
+    table = stored(spark.createDataFrame(list(zip(chain, ids)), "fingerprint long, first_id long"), "p")
+    got = simhash.components(table, 4).collect()
+    assert {r.component_id for r in got} == {min(ids)}
+    apart = stored(table.filter("fingerprint != 15"), "p")
+    assert len({r.component_id for r in simhash.components(apart, 4).collect()}) == 2
+
+
+def test_documents(given_docs, texts):
+    got = {r.doc_id: r for r in simhash.near_duplicates(given_docs).collect()}
+    prints = {d: slow_fingerprint(t) for d, t in texts.items()}
+    signed = {d: p - 2**64 if p >> 63 else p for d, p in prints.items()}
+    label = slow_components(sorted(set(signed.values())), 4)
+    least = {}
+    for d, p in signed.items():
+        least[label[p]] = min(d, least.get(label[p], d))
+    for d, row in got.items():
+        assert unsigned(row["__fingerprint"]) == prints[d]
+        assert row.component_id == least[label[signed[d]]]
+    kept = simhash.one_of_each(given_docs)
+    assert kept.columns == given_docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(least.values())
+
+
+def test_edge_rows(make_docs):
+    long = "alpha beta gamma delta epsilon " * 20_000
+    docs = make_docs(
+        (5, None), (3, ""), (9, " \n"), (7, "One two three"), (8, "one TWO three"), (None, "one two three"),
+        (None, "quite another text of five words"), (None, "quite another text of five words"),
+        (2, long), (4, long), (4, long), component="x", component_id="y", fingerprint="z",
+    )
+    rows = simhash.near_duplicates(docs).collect()
+    assert len(rows) == 11
+    found = {(r.doc_id, r.component_id) for r in rows}
+    assert {(5, 3), (3, 3), (9, 3), (7, 7), (8, 7), (None, 7), (None, None), (2, 2), (4, 2)} == found
+    kept = simhash.one_of_each(docs)
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == [
+        (False, 2), (False, 3), (False, 7), (True, 0)
+    ]
+    assert kept.columns == docs.columns
+    assert simhash.near_duplicates(docs.limit(0)).count() == 0
+    assert simhash.one_of_each(docs.limit(0)).count() == 0
+
+
+def test_large_groups_of_copies_make_few_links(spark):
+    # Values around one centre all share its variant: links stay fewer than values per group.
+    centre = 0x123456789ABCDEF
+    prints = {centre ^ (1 << a) ^ (1 << b) for a in range(63) for b in range(a)}
+    table = stored(spark.createDataFrame([(p,) for p in prints], "fingerprint long"), "p")
+    links = simhash.near_links(table)
+    per_group = links.groupBy("root").count().agg(F.sum("count")).first()[0]
+    assert per_group < len(prints) * simhash.FEWEST_GROUPS
+    assert simhash.connected(links).select("root").distinct().count() == 1

@@ -1,0 +1,97 @@
+from voxloom.llm import url_rules
+from voxloom.llm.url_rules import Rule, judge_urls, site_rule
+
+
+def slow_judge(url):
+    """(host, path, rule, verdict) by trying every rule of the contract."""
+    host = path = ""
+    if url is not None and "://" in url:
+        rest = url.split("://", 1)[1]
+        cut = min([rest.index(c) for c in "/?#" if c in rest], default=len(rest))
+        host = "".join(c.lower() if "A" <= c <= "Z" else c for c in rest[:cut])
+        path = rest[cut:]
+        path = path[: min([path.index(c) for c in "?#" if c in path], default=len(path))]
+    best = None
+    for verdict, rule_host, rule_path in url_rules.SITE_RULES:
+        if host == rule_host or host.endswith("." + rule_host):
+            if path.startswith(rule_path) and (best is None or len(rule_host + rule_path) > len(best[0])):
+                best = (rule_host + rule_path, verdict)
+    return host, path, best and best[0], best and best[1]
+
+
+URLS = [
+    None, "", "no scheme", "http://", "http://example.org", "http://example.org/", "HTTP://Example.ORG/es/",
+    "http://example.org/es", "https://a.b.example.org/en/1", "https://example.org/en/12?x=/es/",
+    "https://notexample.org/es/", "https://example.org/en/2", "http://x.com/fr/1", "http://com/fr/",
+    "http://x.com/de/#top", "http://x.com/FR/", "http://x.com?p=/de/", "a://b://com/de/", "http://org/",
+    "http://example.org.net/es/", "http://www.adult-x.example.net/en/1", "http://adult-x.example.org/x",
+    "http://cheap-pills.net/", "http://nocheap-pills.net/", "http://ex\nample.org/es/", "http://é.org/",
+    "http://x.com:80/de/", "://org/a", "http://x.com/de/" + "a" * 50_000,
+]
+
+
+def test_verdicts_equal_trying_every_rule(spark):
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(URLS)], "page_id long, url string")
+    rows = {r.page_id: r for r in judge_urls(pages).collect()}
+    assert len(rows) == len(URLS)
+    for i, url in enumerate(URLS):
+        host, path, rule, verdict = slow_judge(url)
+        assert (rows[i].host, rows[i].path, rows[i].rule) == (host, path, rule), url
+        if rule:
+            assert rows[i].verdict == verdict
+    by_url = {URLS[i]: row.verdict for i, row in rows.items()}
+    assert by_url["http://www.adult-x.example.net/en/1"] == "block"
+    assert by_url["http://adult-x.example.org/x"] == "allow"
+    assert by_url["http://cheap-pills.net/"] == "block"
+    assert by_url["http://nocheap-pills.net/"] == "allow"
+    assert by_url[None] == "allow"
+
+
+def test_given_pages(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    urls = {r.page_id: r.url for r in pages.select("page_id", "url").collect()}
+    for row in judge_urls(pages).collect():
+        assert (row.host, row.path, row.rule) == slow_judge(urls[row.page_id])[:3]
+
+
+def test_repeated_rows_and_other_columns(spark):
+    pages = spark.createDataFrame(
+        [(1, "http://a.org/", "h"), (1, "http://a.org/", "h"), (None, "http://a.org/", None)],
+        "page_id long, url string, verdict string",
+    )
+    rows = judge_urls(pages).collect()
+    assert sorted((r.page_id is None, r.rule, r.verdict) for r in rows) == [
+        (False, "org/", "allow"), (False, "org/", "allow"), (True, "org/", "allow")
+    ]
+    assert judge_urls(pages.limit(0)).count() == 0
+
+
+def test_index_takes_the_rarest_token(spark):
+    tokens = spark.createDataFrame([("common",)] * 5 + [("rare",)], "__token string")
+    rules = [
+        Rule("block", "common.*rare", ("common", "rare"), 0),
+        Rule("block", "common.*none", ("common", "none"), 0),
+        Rule("block", "x*", (), 0),
+    ]
+    index = {r.rule_id: r.token for r in url_rules.index_rules(tokens, rules).collect()}
+    assert index == {0: "rare", 1: "none", 2: ""}
+
+
+def test_a_rule_without_tokens_is_tried_on_every_url(spark):
+    pages = spark.createDataFrame([(1, "http://a.org/12"), (2, "http://-.-/")], "page_id long, url string")
+    rules = (Rule("block", "[0-9]{2}$", (), 0),)
+    verdicts = {r.page_id: r.verdict for r in judge_urls(pages, rules).collect()}
+    assert verdicts == {1: "block", 2: "allow"}
+
+
+def test_literal_tokens_are_whole_tokens_of_what_fits():
+    assert site_rule("block", "example.org", "/en/1").tokens == ("example", "org", "en")
+    assert site_rule("block", "com", "/DE/").tokens == ("com", "de")
+
+
+def test_only_candidates_run_expressions(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    plan = judge_urls(pages)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+    assert "BroadcastHashJoin" in plan and "NestedLoop" not in plan
+    assert "html" not in plan

@@ -146,7 +146,7 @@ def plan_mix(docs, weights=WEIGHTS, schedules=SCHEDULES, most_repeats=MOST_REPEA
     )
 
     def position(repeat):
-        share = starts_at(repeat) / target
+        share = F.when(target > 0, starts_at(repeat) / target).otherwise(0.0)
         time = None
         for turn, knots in enumerate(schedules):
             due = due_time(share, knots)
