@@ -56,6 +56,28 @@ def test_widens_where_nothing_aligns(text):
         assert tokens.huge_ids(PLAIN, text, chunk, overlap) == plain(text)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(
+    [*PIECES, "It'll", "ÿÀ", "×", "÷", "ª", "²", "½", "_", "`x", "~", "x" * 120, "0x1F", "don't", "Ǆ", "ʼ", "\u0301"]
+), max_size=12).map(" ".join))
+def test_spaced_pieces(text):
+    assert unpacked(ENCODER.encode([text])[0]) == plain(text)
+
+
+def test_symbols_are_the_vocabularys():
+    for byte, symbol in tokens.byte_symbols().items():
+        assert PLAIN.token_to_id(chr(symbol)) is not None
+    for text in (" a", "\n", "é", "!~"):
+        made = text.encode().decode("latin-1").translate(tokens.byte_symbols())
+        assert [t.id for t in PLAIN.model.tokenize(made)] == plain(text)
+
+
+def test_given_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()
+    for row in docs:
+        assert unpacked(ENCODER.encode([row.text])[0]) == plain(row.text)
+
+
 def test_huge_documents_go_by_chunks(texts, monkeypatch):
     joined = "\n".join(texts.values())[:150_000]
     small = tokens.Encoder(PATH, huge=1000)
@@ -81,7 +103,7 @@ def test_memory_of_pieces_is_bounded(texts):
     for _ in range(20):
         text = " ".join(draw.choices(list(texts.values())[0].split(), k=30))
         assert unpacked(small.encode([text])[0]) == plain(text)
-        assert len(small.known) <= 50
+        assert len(small.known) <= 50 + 30 and len(small.words) <= 50 + 60
 
 
 def test_counts(make_docs, given_docs, texts):

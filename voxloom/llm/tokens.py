@@ -1,11 +1,13 @@
 """Token ids and token counts of whole texts.
 
-A text of ordinary length is encoded by the tokenizer library itself, piece by
-piece: before every single white-space character that stands between two other
-characters the library's pattern starts a new word, so the pieces that begin
-there have the same ids alone as within the text, and ids of pieces already seen
-are remembered. A text with two white-space characters in a row, or with a
-special token's string, goes to the library whole.
+The tokenizer library splits a text into words by a pattern and merges the bytes
+of each word. A text of ordinary length is cut before every space or line feed
+that stands between two other characters: the pattern starts a word there,
+whatever comes before, so the pieces have the same ids alone as within the text.
+Ids of pieces already seen are remembered. In a new piece of plain characters
+(``PLAIN``) the words are plain to see and go to the library's merges directly;
+any other piece goes to the library whole, and so does a text with two white-space
+characters in a row, other white space, or a special token's string.
 
 A huge text is encoded by overlap resynchronisation (``huge_ids``).
 
@@ -15,6 +17,7 @@ counted each; an empty table gives an empty result.
 
 import os
 import re
+import struct
 
 from pyspark.sql import functions as F
 
@@ -24,10 +27,20 @@ VOCABULARY = "byte_bpe_50k.json"
 #: Texts of more characters are encoded in overlapping chunks.
 HUGE_CHARS = 1 << 16
 CHUNK_CHARS, OVERLAP_CHARS = 1 << 15, 1 << 9
-#: Pieces that a task remembers; beyond it starts afresh.
-REMEMBERED = 400_000
+#: Pieces, and words, that a task remembers, and their most characters; beyond
+#: that many it starts afresh.
+REMEMBERED, LONG_PIECE = 500_000, 100
 ROWS_AT_ONCE = 256
 
+#: White space but space and line feed.
+OTHER_SPACES = (
+    "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u180e\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+#: The library's words over ASCII without the apostrophe, and Latin-1 letters:
+#: a line feed, or letters, digits or other characters with a space before.
+PLAIN = re.compile(r"\n| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[!-&(-/:-@\[-`{-~]+")
+
 
 def vocabulary_path(name=VOCABULARY):
     import public_tokenizers
@@ -35,6 +48,17 @@ def vocabulary_path(name=VOCABULARY):
     return public_tokenizers.path(name)
 
 
+def byte_symbols():
+    """The character that stands for each byte in the vocabulary.
+
+    Printable Latin-1 characters stand for themselves, the other bytes in turn
+    for the characters from 256 on.
+    """
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [byte for byte in range(256) if byte not in printable]
+    return {b: b for b in printable} | {b: 256 + n for n, b in enumerate(others)}
+
+
 def load_tokenizer(path):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -112,50 +136,70 @@ class Encoder:
 
     def __init__(self, path, huge=HUGE_CHARS, remembered=REMEMBERED):
         self.tokenizer = load_tokenizer(path)
-        self.huge, self.remembered, self.known = huge, remembered, {}
+        self.merge = self.tokenizer.model.tokenize
+        self.symbols = byte_symbols()
+        self.huge, self.remembered, self.known, self.words = huge, remembered, {}, {}
         self.specials = [
             token.content for token in self.tokenizer.get_added_tokens_decoder().values()
         ]
-        self.doubled = re.compile(r"\s\s")
-
-    def packed(self, ids):
-        import numpy as np
-
-        return np.asarray(ids, dtype="<u4").tobytes()
 
-    def pieces(self, text):
-        """Pieces with ids of their own, or None where that isn't sure."""
-        if self.doubled.search(text) or any(special in text for special in self.specials):
+    def cut(self, text):
+        """(first piece, later pieces without their space), or None where that isn't sure."""
+        spaces = OTHER_SPACES[:8] if text.isascii() else OTHER_SPACES
+        if (
+            len(text) > self.huge
+            or any(space in text for space in spaces)
+            or any(special in text for special in self.specials)
+        ):
             return None
-        first, *rest = text.replace("\n", " \n").split(" ")
-        return [first, *[piece if piece[:1] == "\n" else " " + piece for piece in rest]]
+        first, *later = text.replace("\n", " \n").split(" ")
+        distinct = set(later)
+        if "" in distinct or ("\n" in distinct and "\n" in later[:-1]):
+            return None
+        return first, later, distinct
 
     def encode(self, texts):
         """Ids of each of a few texts."""
-        split = [
-            None if len(text) > self.huge else self.pieces(text) for text in texts
-        ]
-        new = {piece for pieces in split if pieces for piece in pieces}.difference(self.known)
-        if len(self.known) + len(new) > self.remembered:
+        if len(self.known) > self.remembered:
             self.known.clear()
-            new = {piece for pieces in split if pieces for piece in pieces}
-        new = list(new)
-        found = self.tokenizer.encode_batch_fast(new, add_special_tokens=False) if new else []
-        for piece, encoding in zip(new, found, strict=True):
-            self.known[piece] = self.packed(encoding.ids)
-        known = self.known
-        return [
-            b"".join([known[piece] for piece in pieces])
-            if pieces is not None
-            else self.packed(self.whole(text))
-            for text, pieces in zip(texts, split, strict=True)
-        ]
+        if len(self.words) > self.remembered:
+            self.words.clear()
+        known, result = self.known, []
+        for text in texts:
+            cut = self.cut(text)
+            if cut is not None:
+                first, later, distinct = cut
+                new = distinct.difference(known)
+                if max(map(len, new), default=0) <= LONG_PIECE >= len(first):
+                    for piece in new:
+                        known[piece] = self.piece(piece if piece[0] == "\n" else " " + piece)
+                    parts = [self.piece(first), *map(known.__getitem__, later)]
+                    result.append(b"".join(parts))
+                    continue
+            ids = huge_ids(self.tokenizer, text) if len(text) > self.huge else self.whole(text)
+            result.append(packed(ids))
+        return result
 
     def whole(self, text):
-        if len(text) > self.huge:
-            return huge_ids(self.tokenizer, text)
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
+    def piece(self, text):
+        """Ids of a piece, by its words if they are plain."""
+        words = PLAIN.findall(text)
+        if sum(map(len, words)) != len(text):
+            return packed(self.whole(text))
+        return b"".join([self.words.get(word) or self.word(word) for word in words])
+
+    def word(self, word):
+        symbols = word.encode().decode("latin-1").translate(self.symbols)
+        ids = packed([token.id for token in self.merge(symbols)])
+        self.words[word] = ids
+        return ids
+
+
+def packed(ids):
+    return struct.pack(f"<{len(ids)}I", *ids)
+
 
 def encoded_slices(batches, path):
     """Slices of Arrow batches with the ids of their ``text``; the encoder serves the whole task."""
