@@ -18,11 +18,12 @@ both kinds the score is the share of label 1, or 0.5; repeated rows are scored
 each; an empty table gives an empty result.
 """
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voxloom.llm.shared import byte_list
+from voxloom.operators.topk import top_k_per_group
+from voxloom.session import stored
 
 WIDTH, FILTERS, EMBEDDED, HIDDEN = 4, 16, 8, 16
 #: Positions that are pooled together first; a chunk is some of these blocks in
@@ -223,31 +224,33 @@ class Network:
 
 
 def labelled(docs, labels, training):
-    """``text`` and ``__label`` (0 or 1) of the documents that may be learned from."""
-    marked = labels.select("doc_id", F.col("quality").alias("__label"))
-    return (
-        docs.select("doc_id", "text")
-        .filter(training)
-        .join(marked.filter(F.col("__label").isin(0, 1)), "doc_id")
+    """``doc_id`` and ``__label`` (0 or 1) per row of ``docs`` that may be learned from.
+
+    A document labelled several times has its smallest label.
+    """
+    marked = labels.filter(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(
+        F.min("quality").alias("__label")
     )
+    return docs.filter(training).join(marked, "doc_id")
 
 
-def training_sample(known, texts=SAMPLE_TEXTS, most_bytes=SAMPLE_BYTES):
-    """At most ``texts`` rows of ``labelled``, half of each label if there are as many."""
-    hashed = F.md5(F.col("doc_id").cast("string"))
-    order = Window.partitionBy("__label").orderBy(hashed, "doc_id", "text")
-    return (
-        known.filter(F.octet_length("text") <= most_bytes)
-        .withColumn("__turn", F.row_number().over(order))
-        .filter(F.col("__turn") <= texts // 2)
-        .select("text", "__label")
-    )
+def training_sample(docs, labels, training, texts=SAMPLE_TEXTS, most_bytes=SAMPLE_BYTES):
+    """(text, label) of at most ``texts`` documents, half of each label if there are as many.
+
+    They are chosen by id alone; only the chosen ones' texts move.
+    """
+    short = docs.filter(F.octet_length("text") <= most_bytes).select("doc_id")
+    known = labelled(short, labels, training).distinct()
+    order = [F.md5(F.col("doc_id").cast("string")), "doc_id"]
+    chosen = stored(top_k_per_group(known, ["__label"], order, texts // 2), "sample")
+    # At most ``texts`` rows.
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return found.groupBy("doc_id", "__label").agg(F.min("text").alias("text"))
 
 
 def learn(docs, labels, training, **given):
     """A trained network, or the share of label 1 where only one label was seen."""
-    known = labelled(docs, labels, training)
-    sample = training_sample(known, **given).toArrow().combine_chunks()
+    sample = training_sample(docs, labels, training, **given).toArrow().combine_chunks()
     texts = [t for chunk in sample.column("text").chunks for t in byte_list(chunk)]
     marks = sample.column("__label").to_pylist()
     if len(set(marks)) < 2:
@@ -255,7 +258,8 @@ def learn(docs, labels, training, **given):
     # Rows come in any order; training must not depend on it.
     pairs = sorted(zip(texts, marks, strict=True))
     network = Network.initial().fit([t for t, _ in pairs], [m for _, m in pairs])
-    real = known.select("doc_id", "__label").agg(F.avg("__label")).first()[0]
+    known = labelled(docs.select("doc_id"), labels, training)
+    real = known.agg(F.avg("__label")).first()[0]
     return network.with_shares(sum(marks) / len(marks), real)
 
 
