@@ -17,11 +17,12 @@ and so is every text if nothing was learned; ties go to the first language in
 order; repeated rows are judged each; an empty table gives an empty result.
 """
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voxloom.llm.shared import byte_list
+from voxloom.operators.topk import top_k_per_group
+from voxloom.session import stored
 
 ORDER = 3
 SAMPLE_TEXTS, SAMPLE_BYTES = 300, 1 << 16
@@ -207,17 +208,18 @@ class Identifier:
 
 
 def training_sample(docs, training, texts=SAMPLE_TEXTS, most_bytes=SAMPLE_BYTES):
-    """At most ``texts`` short enough texts of each language, by the hash of their ids."""
-    hashed = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    order = Window.partitionBy("lang").orderBy(hashed, "doc_id", "text")
-    known = F.col("lang").isNotNull() & F.col("text").isNotNull()
-    return (
-        docs.filter(training & known & (F.octet_length("text") <= most_bytes))
-        .select("lang", "text", "doc_id")
-        .withColumn("turn", F.row_number().over(order))
-        .filter(F.col("turn") <= texts)
-        .select("lang", "text")
-    )
+    """At most ``texts`` short enough texts of each language, by the hash of their ids.
+
+    They are chosen by id and language alone; only the chosen ones' texts move.
+    Rows without id are not learned from.
+    """
+    known = training & F.col("lang").isNotNull() & (F.octet_length("text") <= most_bytes)
+    ids = docs.filter(known & F.col("doc_id").isNotNull()).select("doc_id", "lang").distinct()
+    order = [F.md5(F.col("doc_id").cast("string")), "doc_id"]
+    chosen = stored(top_k_per_group(ids, ["lang"], order, texts), "sample")
+    # At most ``texts`` rows per language.
+    found = docs.filter(known).join(F.broadcast(chosen), ["doc_id", "lang"])
+    return found.groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
 
 
 def learn(docs, training, order=ORDER, texts=SAMPLE_TEXTS, most_bytes=SAMPLE_BYTES):
