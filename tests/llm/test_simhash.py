@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
@@ -72,12 +73,22 @@ def test_components_equal_all_pairs(spark):
         assert got == slow_components(prints, radius)
 
 
-def test_many_groups_find_the_same(spark, monkeypatch):
+def test_many_groups_and_parts_find_the_same(spark):
     prints = planted(4, 9)
     table = stored(spark.createDataFrame([(p, p) for p in prints], "fingerprint long, first_id long"), "p")
     few = {r.fingerprint: r.component_id for r in simhash.components(table, 4).collect()}
     many = {r.fingerprint: r.component_id for r in simhash.components(table, 4, 700).collect()}
     assert few == many
+    values = np.array(prints, np.int64).view(np.uint64)
+    for group in range(4):
+        whole = simhash.links_of_group(values, group, 4, 2)
+        parts = simhash.links_of_group(values, group, 4, 2, 5000)
+        nodes = np.unique(np.concatenate([*whole, *parts]).view(np.int64))
+        labels = [
+            simhash.smallest_linked(*[np.searchsorted(nodes, side.view(np.int64)) for side in links], len(nodes))
+            for links in (whole, parts)
+        ]
+        assert (labels[0] == labels[1]).all()
 
 
 def test_long_chain(spark):

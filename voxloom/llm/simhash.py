@@ -6,7 +6,9 @@ the radius; fingerprints that share a variant collide. Variants are dealt to
 groups by a linear code of their bits. As the code of a variant is that of its
 fingerprint combined with that of the flipped bits, a fingerprint is sent once
 to every group that one of its variants falls into, and the group's task makes
-just those variants. That is the shuffle on variants, combined before it.
+just those variants, a part at a time. That is the shuffle on variants, combined
+before it: a fingerprint moves as often as there are groups (64 up to about 33
+million fingerprints, twice that up to 66 million, and so on; 2,081 at most).
 
 Colliding fingerprints are linked to the first of their variant, not all with
 all: what shares a variant is within the radius by the triangle inequality.
@@ -28,8 +30,9 @@ from voxloom.llm.shared import byte_list, whole_words
 from voxloom.session import stored
 
 SHINGLE_WORDS, RADIUS, SEED = 4, 4, 42
-#: Variants that a group holds at most, about, and the fewest groups.
-PER_GROUP, FEWEST_GROUPS = 16_000_000, 64
+#: Variants that a group has at most, about, and that its task makes at once;
+#: the fewest groups.
+PER_GROUP, PER_PART, FEWEST_GROUPS = 1 << 30, 1 << 21, 64
 HASHES_AT_ONCE = 1 << 16
 NO_ID = 2**63 - 1
 
@@ -160,11 +163,29 @@ def smallest_linked(left, right, count):
             return label
 
 
-def links_of_group(values, group, variants):
-    """A spanning forest of the links within a group: (fingerprint, smaller one) pairs."""
+def links_of_group(values, group, radius, code_bits, per_part=PER_PART):
+    """Links within a group, as (fingerprint, smaller one) pairs.
+
+    More bits of the code cut the group into parts that are made one by one.
+    """
     import numpy as np
 
     values = np.unique(values.view(np.int64)).view(np.uint64)
+    variants, more = Variants(radius, code_bits), 0
+    while len(values) * len(variants.flips) / 2 ** (code_bits + more) > per_part:
+        more += 1
+    if more:
+        variants = Variants(radius, code_bits + more)
+    parts = [
+        links_of_part(values, group | part << code_bits, variants) for part in range(2**more)
+    ]
+    return tuple(np.concatenate(column) for column in zip(*parts, strict=True))
+
+
+def links_of_part(values, group, variants):
+    """A spanning forest of the links within one part of a group."""
+    import numpy as np
+
     made, owner, inner = variants.of_group(values, group)
     # A variant's first owner holds it within the inner half, if any does.
     order = np.argsort(made, kind="stable") if inner.all() else np.lexsort((~inner, made))
@@ -221,7 +242,7 @@ def near_links(prints, radius=RADIUS, per_group=PER_GROUP):
         import numpy as np
 
         values = table.column("fingerprint").to_numpy().view(np.uint64)
-        nodes, roots = links_of_group(values, key[0].as_py(), Variants(radius, code_bits))
+        nodes, roots = links_of_group(values, key[0].as_py(), radius, code_bits)
         return pa.table(
             {"node": pa.array(nodes.view(np.int64)), "root": pa.array(roots.view(np.int64))}
         )
