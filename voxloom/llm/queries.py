@@ -162,7 +162,24 @@ def op7_quality_rules(spark, sf_dir):
     return judged.select("doc_id", *[F.col(f"__{name}").alias(name) for name in names])
 
 
-@registered()
+@registered("""
+WITH vectors AS (
+  SELECT DISTINCT vec_id,
+    list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS vector
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+asked AS (
+  SELECT vec_id AS query_id, min(vector) AS query FROM vectors
+  WHERE vec_id % 100 = 0 GROUP BY vec_id),
+scored AS (
+  SELECT query_id, vec_id, CAST(list_inner_product(CAST(query AS DOUBLE[]),
+    CAST(vector AS DOUBLE[])) AS BIGINT) AS score
+  FROM asked JOIN vectors ON vec_id <> query_id AND len(vector) = len(query))
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id
+  ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM scored QUALIFY rank <= 10
+""")
 def op8_top_k(spark, sf_dir):
     """Ten best vectors of every vector whose id is divisible by 100."""
     return nearest.search_table(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
