@@ -1,0 +1,52 @@
+"""Registered training-data queries: SQL where there is some, columns, and plans."""
+
+import re
+
+import pytest
+
+import __spark_entry__ as registered
+from verification.check import connect, difference
+from voxloom.llm.queries import ORACLES, QUERIES
+
+SF_DIR = "/root/testdata/sf0.001"
+COLUMNS = {
+    1: "doc_id size source_size target taken",
+    2: "doc_id fingerprint component_id",
+    3: "doc_id held_out score predicted",
+    4: "page_id host path rule verdict",
+    5: "doc_id piece start length ids_crc32 sequence_id offset",
+    6: "doc_id n_bytes n_tokens over_limit",
+    7: "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept",
+    8: "query_id rank vec_id score",
+    9: "doc_id held_out n_tokens n_known train_tokens base_score score",
+    10: "doc_id held_out lang_pred score",
+}
+
+
+def test_all_are_registered():
+    numbers = sorted(int(re.match(r"op(\d+)_", name)[1]) for name in QUERIES)
+    assert numbers == list(range(1, 11))
+    assert set(QUERIES) | {"pipeline"} <= set(registered.queries())
+    assert set(ORACLES) <= set(registered.oracle_sql())
+
+
+@pytest.mark.parametrize("name", QUERIES)
+def test_columns_and_rows(spark, name):
+    frame = QUERIES[name](spark, SF_DIR)
+    number = int(re.match(r"op(\d+)_", name)[1])
+    assert set(COLUMNS[number].split()) <= set(frame.columns)
+    rows = frame.count()
+    if number in (1, 2, 3, 6, 7, 9, 10):
+        assert rows == spark.read.parquet(f"{SF_DIR}/documents.parquet").count()
+    assert rows > 0
+
+
+@pytest.mark.parametrize("name", ORACLES)
+def test_query_matches_sql(spark, name):
+    assert difference(QUERIES[name](spark, SF_DIR), connect(SF_DIR), ORACLES[name]) is None
+
+
+@pytest.mark.parametrize("name", ["op1_mixing", "op4_url_rules"])
+def test_native_plans(spark, name):
+    plan = QUERIES[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Arrow|Pandas|Cartesian|NestedLoop", plan)
