@@ -4,8 +4,9 @@ import re
 
 import pytest
 
-import __spark_entry__ as registered
+import __spark_entry__  # noqa: F401
 from verification import views
+from verification.registry import QUERIES
 from voxloom.operators import drilldown, metrics, topk
 from voxloom.session import scratch_path, scratch_root, stored
 from voxloom.sources import tables
@@ -22,9 +23,9 @@ def plan(frame):
     return frame._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(set(registered.queries()) - STORING))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - STORING))
 def test_no_cross_joins_and_python_only_around_models(spark, name):
-    text = plan(registered.queries()[name](spark, SF_DIR))
+    text = plan(QUERIES[name](spark, SF_DIR))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
     assert ("Python" in text) == (name in WITH_PYTHON)
 
