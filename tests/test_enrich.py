@@ -1,6 +1,7 @@
 """Labelling through a model that answers, chatters, fails or is down."""
 
 import json
+import math
 import random
 
 import pytest
@@ -78,6 +79,20 @@ def test_a_repeated_field_counts_with_its_last_value(spark):
     assert row["urgency"] == "high" and row["raw_response"] is None
 
 
+def test_repeated_fields_do_not_depend_on_a_hidden_setting(spark):
+    key = "spark.sql.variant.allowDuplicateKeys"
+    before = spark.conf.get(key, None)
+    try:
+        spark.conf.unset(key)
+        (row,) = parsed(spark, '{"urgency":"low","urgency":"high"}')
+        assert row["urgency"] == "high" and row["raw_response"] is None
+        spark.conf.set(key, "false")
+        with pytest.raises(ValueError):
+            parsed(spark, '{"urgency":"low","urgency":"high"}')
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
+
+
 def load_picky_model():
     """Answers with the text itself, refuses 'boom' and takes no batch that holds it."""
 
@@ -98,6 +113,67 @@ def test_only_the_failing_text_gets_an_error(spark):
     assert failed == FALLBACK
 
 
+@pytest.mark.parametrize("size", [1, 2, 7, 1000, 1024])
+def test_one_bad_text_costs_few_calls(size):
+    calls = []
+
+    def model(texts):
+        calls.append(len(texts))
+        if "bad" in texts:
+            raise RuntimeError("refused")
+        return list(texts)
+
+    texts = ["ok"] * size
+    texts[size * 2 // 3] = "bad"
+    replies = enrich.replies_of(model, texts, size)
+    assert replies.count((None, "refused")) == 1 and replies.count(("ok", None)) == size - 1
+    assert len(calls) <= 2 * math.ceil(math.log2(size)) + 1
+
+
+def test_batches_are_cut_to_size():
+    calls = []
+
+    def model(texts):
+        calls.append(len(texts))
+        return texts
+
+    assert len(enrich.replies_of(model, ["a"] * 25 + [None], 10)) == 26
+    assert calls == [10, 10, 5]
+
+
+def test_blank_texts_are_not_put_to_the_model(spark):
+    rows = spark.createDataFrame([("",), (" \n",), ("x",)], "content string").coalesce(1)
+    found = rows_of(enrich.analyze(rows, lambda: lambda texts: [json.dumps(GOOD)] * len(texts)))
+    assert [r["error"] for r in found] == ["no text", "no text", None]
+
+
+def test_summaries_of_payloads(spark):
+    rows = spark.createDataFrame(
+        [(1, ["a", " ", "b", None, "c"], "pricing"), (2, [], "other"), (3, None, "docs"), (4, ["x"], None)],
+        "id int, feedbackTexts array<string>, theme string",
+    )
+    found = {
+        r["id"]: r
+        for r in rows_of(enrich.summarize_payloads(rows, lambda: lambda texts: texts, k=2))
+    }
+    assert found[1]["text_count"] == 2
+    assert "\n\na\n---\nb\n\n" in found[1]["summary"] and "Pricing" in found[1]["summary"]
+    for empty in (2, 3):
+        assert (found[empty]["text_count"], found[empty]["summary"]) == (0, "No feedback to summarize.")
+        assert found[empty]["error"] is None
+    assert found[4]["text_count"] == 1
+
+
+def test_summary_input_takes_as_many_texts_as_asked(make_feedback):
+    from tests.conftest import feedback_row
+    from voxloom.operators import drilldown
+
+    recent = drilldown.recent_texts_per_theme(make_feedback([feedback_row(n) for n in range(25)]), 20)
+    for k, wanted in [(10, 10), (20, 20), (30, 20)]:
+        (row,) = rows_of(enrich.summary_input(recent, k))
+        assert row["text_count"] == wanted and row["prompt"].count("\n---\n") == wanted - 1
+
+
 def test_missing_texts_and_missing_replies(spark):
     def load():
         return lambda texts: [json.dumps(GOOD)] if texts != ["short"] else []

@@ -205,3 +205,5 @@ def test_required_parameters(small, missing):
         filters.theme_equals(small, missing)
     with pytest.raises(ValueError):
         filters.theme_substring(small, missing)
+    with pytest.raises(ValueError):
+        filters.recent_days(small, missing)

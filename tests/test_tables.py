@@ -58,17 +58,50 @@ def test_batches_land_in_one_table(spark, small, tmp_path):
     path = str(tmp_path / "feedback")
     bare = small.drop("urgency", "title")
     for batch in [small, bare]:
-        tables.append_table(ingest.append_batches([batch]), path)
+        accepted, rejected = ingest.append_batches([batch])
+        tables.append_table(accepted, path)
+        assert rejected.isEmpty()
     stored = tables.scan_feedback(spark, path)
     assert stored.columns == FEEDBACK.names
     assert stored.count() == 16
     assert stored.filter("title IS NULL").count() == 8
-    together = ingest.append_batches([small, bare])
+    together, _ = ingest.append_batches([small, bare])
     assert sorted(map(str, rows_of(together.select(*FEEDBACK.names)))) == sorted(
         map(str, rows_of(stored))
     )
 
 
+def test_batches_without_required_columns_are_set_aside(small):
+    accepted, rejected = ingest.append_batches([small, small.drop("content")])
+    assert accepted.count() == rejected.count() == 8
+    assert {tuple(r["missing"]) for r in rows_of(rejected)} == {("content",)}
+
+
+def test_blank_counts_as_missing_where_asked(spark):
+    rows = spark.createDataFrame([("a", " "), (" ", "b"), (None, "c")], "text string, source string")
+    accepted, rejected = ingest.split_required(rows, ["text", "source"], nonblank=["text"])
+    assert [r["text"] for r in rows_of(accepted)] == ["a"]
+    assert [r["missing"] for r in rows_of(rejected)] == [["text"], ["text"]]
+
+
+def test_records_get_ids_above_the_table(spark):
+    records = spark.createDataFrame(
+        [("good", "web", None), ("", "web", "u"), ("fine", "app", "u")],
+        "text string, source string, user_id string",
+    )
+    table = spark.createDataFrame([(41,)], "id long")
+    accepted, rejected = ingest.ingest_records(records, table)
+    assert {r["text"]: r["id"] for r in rows_of(accepted)} == {"good": 42, "fine": 43}
+    assert [r["missing"] for r in rows_of(rejected)] == [["text"]]
+
+
+def test_rollup_rows_without_a_date_are_given_back(make_feedback, spark, tmp_path):
+    daily = rollup.daily_rollup(make_feedback([feedback_row(1), feedback_row(2, created_at=None)]))
+    rejected = tables.load_rollup(daily, str(tmp_path / "daily"))
+    assert [r["missing"] for r in rows_of(rejected)] == [["metric_date"]]
+    assert tables.scan_daily_metrics(spark, str(tmp_path / "daily")).count() == 1
+
+
 def test_rows_without_required_columns_are_set_aside(spark):
     rows = spark.createDataFrame(
         [(1, "web", "a"), (2, None, "b"), (3, "web", None), (4, None, None)],
@@ -86,7 +119,8 @@ def test_ids_are_unique_increasing_and_above_the_table(spark, small, empty, stor
     batch = spark.range(1000, numPartitions=7).withColumnRenamed("id", "n")
     table = small if stored else empty
     ids = [r["id"] for r in ingest.assign_ids(batch, table).orderBy("n").collect()]
-    assert ids == sorted(set(ids)) and ids[0] == (9 if stored else 1)
+    first = 9 if stored else 1
+    assert ids == list(range(first, first + 1000))
 
 
 def test_payloads(spark, tmp_path):
@@ -137,6 +171,17 @@ def test_upsert_replaces_touched_dates_only(spark, make_feedback, tmp_path):
     assert set(glob.glob(f"{path}/metric_date=2024-01-01/*.parquet")) == untouched
 
 
+def test_upsert_empties_days_without_rows(spark, make_feedback, tmp_path):
+    path = str(tmp_path / "daily")
+    rows = [feedback_row(n, created_at=moment(n)) for n in (1, 2, 3)]
+    tables.load_rollup(rollup.daily_rollup(make_feedback(rows)), path)
+    left = make_feedback([rows[0], {**rows[1], "analyzed": 0}, rows[2]])
+    dates = rollup.touched_dates(make_feedback(rows[1:]))
+    tables.overwrite_dates(rollup.rollup_of_dates(left, dates), path, dates)
+    days = [r["metric_date"].day for r in rows_of(tables.scan_daily_metrics(spark, path))]
+    assert sorted(days) == [1, 3]
+
+
 def test_duplicate_rollup_rows_keep_the_last_version(spark, small):
     daily = rollup.daily_rollup(small).withColumn("version", F.lit(1))
     newer = daily.withColumns({"version": F.lit(2), "total_count": F.lit(99).cast("long")})
@@ -211,6 +256,12 @@ def test_theme_documents_hold_what_the_parts_hold(small):
     assert list(found["pricing"]["samples"][0]) == FEEDBACK.names
 
 
+def test_theme_documents_without_listed_rows_keep_their_themes(small):
+    found = rows_of(documents.theme_documents(small, k=0))
+    assert {d["theme"] for d in found} == {"pricing", "reliability", "API-docs", "uncategorized"}
+    assert all(d["samples"] == [] and d["recentFeedbackTexts"] == [] for d in found)
+
+
 def test_theme_documents_of_a_table_by_day_open_the_listed_days_only(spark, make_feedback, tmp_path):
     """The 2 newest rows of both themes are on 2 of 20 days, one file each."""
     path = str(tmp_path / "by_day")

@@ -3,16 +3,18 @@
 from pyspark.sql import functions as F
 
 from verification import views
-from verification.registry import registered
+from verification.registry import in_output_order, registered
 from voxloom.functions import labels, measures
 from voxloom.operators import derive, filters, metrics, topk
-from voxloom.operators.topk import largest_first, newest_first, ranked
+from voxloom.operators.topk import largest_first, ranked
 from voxloom.sources import tables
 
+RANK = "CAST(row_number() OVER (ORDER BY {}) AS INTEGER) AS rank"
 
-@registered("SELECT * FROM feedback")
+
+@registered("SELECT * FROM stored_feedback")
 def scan_feedback(spark, sf_dir):
-    return views.feedback(spark, sf_dir)
+    return views.stored_feedback(spark, sf_dir)
 
 
 @registered("SELECT * FROM feedback_text")
@@ -26,19 +28,19 @@ def select_content(spark, sf_dir):
     return tables.select_content(views.with_content(ids, spark, sf_dir))
 
 
-@registered("SELECT * FROM feedback WHERE analyzed = 1")
+@registered("SELECT * FROM stored_feedback WHERE analyzed = 1")
 def analyzed_only(spark, sf_dir):
-    return filters.analyzed_only(views.feedback(spark, sf_dir))
+    return filters.analyzed_only(views.stored_feedback(spark, sf_dir))
 
 
-@registered("SELECT * FROM feedback WHERE theme <> 'uncategorized'")
+@registered("SELECT * FROM stored_feedback WHERE theme <> 'uncategorized'")
 def categorized_only(spark, sf_dir):
-    return filters.categorized_only(views.feedback(spark, sf_dir))
+    return filters.categorized_only(views.stored_feedback(spark, sf_dir))
 
 
 @registered(
     """
-    WITH hit AS (SELECT * FROM feedback_text WHERE analyzed = 1 AND sentiment = 'negative'
+    WITH hit AS (SELECT * FROM stored_feedback WHERE analyzed = 1 AND sentiment = 'negative'
         AND theme = 'reliability' AND urgency = 'high'
       ORDER BY created_at DESC, id DESC LIMIT 50)
     SELECT *, CAST(row_number() OVER (ORDER BY created_at DESC, id DESC) AS INTEGER) AS rank
@@ -47,25 +49,28 @@ def categorized_only(spark, sf_dir):
 )
 def facet_filter(spark, sf_dir):
     hit = filters.facet_filter(
-        views.feedback(spark, sf_dir),
+        views.stored_feedback(spark, sf_dir),
         sentiment="negative",
         theme="reliability",
         urgency="high",
         channel="all",
     )
-    return views.with_content(ranked(hit, *newest_first()), spark, sf_dir)
+    return in_output_order(hit)
 
 
-@registered("SELECT * FROM feedback WHERE theme = 'pricing' AND analyzed = 1")
+@registered("SELECT * FROM stored_feedback WHERE theme = 'pricing' AND analyzed = 1")
 def theme_equals(spark, sf_dir):
-    return filters.theme_equals(views.feedback(spark, sf_dir), "pricing")
+    return filters.theme_equals(views.stored_feedback(spark, sf_dir), "pricing")
 
 
 @registered(
-    "SELECT * FROM feedback WHERE created_at > TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 7 DAY"
+    """
+    SELECT * FROM stored_feedback
+    WHERE created_at > TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 7 DAY
+    """
 )
 def recent_days(spark, sf_dir):
-    return filters.recent_days(views.feedback(spark, sf_dir), views.AS_OF)
+    return filters.recent_days(views.stored_feedback(spark, sf_dir), views.AS_OF)
 
 
 @registered("SELECT id, urgency, urgency IN ('critical', 'high') AS urgent FROM feedback")
@@ -74,11 +79,12 @@ def urgent_flag(spark, sf_dir):
     return views.feedback(spark, sf_dir).select("id", "urgency", urgent)
 
 
-@registered("SELECT id, title AS label FROM feedback WHERE title IS NOT NULL")
+@registered("SELECT id, content FROM feedback_text WHERE title IS NOT NULL")
 def nonblank_text(spark, sf_dir):
-    blank = F.lit(" \t  　")
-    titled = views.feedback(spark, sf_dir).select("id", F.coalesce("title", blank).alias("label"))
-    return filters.nonblank_text(titled, "label")
+    """Texts, of which those without a title are blanked: the given texts are never blank."""
+    text = F.when(F.col("title").isNotNull(), F.col("content")).otherwise(" \t\u00a0\u3000")
+    rows = views.stored_feedback(spark, sf_dir).select("id", text.alias("content"))
+    return filters.nonblank_text(rows, "content")
 
 
 @registered(
@@ -126,9 +132,14 @@ def themes_needing_attention(spark, sf_dir):
     return ranked(top, F.desc("urgent_count"), *largest_first("theme"))
 
 
-@registered("SELECT channel, count(*) AS count FROM feedback GROUP BY channel")
+@registered(
+    f"""
+    SELECT channel, count(*) AS count, {RANK.format("count(*) DESC, channel")}
+    FROM feedback GROUP BY channel
+    """
+)
 def channel_counts(spark, sf_dir):
-    return metrics.channel_counts(views.feedback(spark, sf_dir))
+    return in_output_order(metrics.channel_counts(views.feedback(spark, sf_dir)))
 
 
 @registered(
@@ -160,9 +171,11 @@ def value_distribution(spark, sf_dir):
     return metrics.value_distribution(views.feedback(spark, sf_dir))
 
 
-@registered("SELECT theme, total AS count FROM theme_totals")
+@registered(
+    f"SELECT theme, total AS count, {RANK.format('total DESC, theme')} FROM theme_totals"
+)
 def theme_distribution(spark, sf_dir):
-    return metrics.theme_distribution(views.feedback(spark, sf_dir))
+    return in_output_order(metrics.theme_distribution(views.feedback(spark, sf_dir)))
 
 
 @registered(
@@ -179,26 +192,25 @@ def all_distributions(spark, sf_dir):
     return metrics.all_distributions(views.feedback(spark, sf_dir))
 
 
-@registered("SELECT * FROM theme_totals")
+@registered(f"SELECT *, {RANK.format('total DESC, theme')} FROM theme_totals")
 def theme_stats(spark, sf_dir):
-    return metrics.theme_stats(views.feedback(spark, sf_dir))
+    return in_output_order(metrics.theme_stats(views.feedback(spark, sf_dir)))
 
 
-@registered("SELECT * FROM daily")
+@registered(f"SELECT *, {RANK.format('date')} FROM daily")
 def sentiment_trend(spark, sf_dir):
-    return metrics.sentiment_trend(views.feedback(spark, sf_dir))
+    return in_output_order(metrics.sentiment_trend(views.stored_feedback(spark, sf_dir)))
 
 
 @registered(
     """
-    WITH hit AS (SELECT * FROM feedback_text ORDER BY created_at DESC, id DESC LIMIT 50)
+    WITH hit AS (SELECT * FROM stored_feedback ORDER BY created_at DESC, id DESC LIMIT 50)
     SELECT *, CAST(row_number() OVER (ORDER BY created_at DESC, id DESC) AS INTEGER) AS rank
     FROM hit
     """
 )
 def newest_n(spark, sf_dir):
-    newest = topk.newest_n(views.feedback(spark, sf_dir), 50)
-    return views.with_content(ranked(newest, *newest_first()), spark, sf_dir)
+    return in_output_order(topk.newest_n(views.stored_feedback(spark, sf_dir), 50))
 
 
 @registered(

@@ -1,10 +1,8 @@
 """Queries about one theme, and about all themes at once."""
 
 from verification import views
-from verification.registry import registered
+from verification.registry import in_output_order, registered
 from voxloom.operators import derive, drilldown
-from voxloom.operators.topk import fetch_rows
-from voxloom.session import stored
 
 DETAIL = """
     SELECT {key} count(*) AS total, round(round(avg(sentiment_score), 9), 6) AS avg_sentiment,
@@ -54,22 +52,25 @@ def theme_channels(spark, sf_dir):
 
 @registered(
     """
-    SELECT * FROM theme_daily
-    QUALIFY row_number() OVER (PARTITION BY theme ORDER BY date DESC) <= 14
+    WITH hit AS (SELECT * FROM theme_daily
+      QUALIFY row_number() OVER (PARTITION BY theme ORDER BY date DESC) <= 14)
+    SELECT *, CAST(row_number() OVER (ORDER BY theme, date) AS INTEGER) AS rank FROM hit
     """
 )
 def theme_trend(spark, sf_dir):
-    return drilldown.theme_trend(views.feedback(spark, sf_dir))
+    return in_output_order(drilldown.theme_trend(views.stored_feedback(spark, sf_dir)))
 
 
 @registered(
     """
-    SELECT date, count, avg_sentiment, positive, neutral, negative FROM theme_daily
-    WHERE theme = 'pricing' ORDER BY date DESC LIMIT 14
+    WITH hit AS (SELECT date, count, avg_sentiment, positive, neutral, negative FROM theme_daily
+      WHERE theme = 'pricing' ORDER BY date DESC LIMIT 14)
+    SELECT *, CAST(row_number() OVER (ORDER BY date) AS INTEGER) AS rank FROM hit
     """
 )
 def theme_trend_one(spark, sf_dir):
-    return drilldown.theme_trend(views.feedback(spark, sf_dir), "pricing")
+    trend = drilldown.theme_trend(views.stored_feedback(spark, sf_dir), "pricing")
+    return in_output_order(trend)
 
 
 @registered(
@@ -79,7 +80,7 @@ def theme_trend_one(spark, sf_dir):
     """
 )
 def theme_trend_short(spark, sf_dir):
-    return drilldown.theme_trend_short(views.feedback(spark, sf_dir))
+    return drilldown.theme_trend_short(views.stored_feedback(spark, sf_dir))
 
 
 @registered(
@@ -101,33 +102,25 @@ def theme_trend_shares(spark, sf_dir):
 
 @registered(
     """
-    SELECT r.*, d.text AS content FROM ranked_samples r
-    JOIN documents d ON d.doc_id = r.id % (SELECT count(*) FROM documents)
+    SELECT s.*, r.rank FROM ranked_samples r JOIN stored_feedback s ON s.id = r.id
     """
 )
 def samples_per_theme(spark, sf_dir):
-    feedback = views.feedback(spark, sf_dir)
-    chosen = drilldown.samples_per_theme(feedback.select(*drilldown.LIST_COLUMNS))
-    rows = fetch_rows(feedback, stored(chosen.select("id", "rank"), "samples"))
-    return views.with_content(stored(rows, "fetched"), spark, sf_dir)
+    return drilldown.samples_per_theme(views.stored_feedback(spark, sf_dir))
 
 
 @registered(
     """
-    SELECT r.*, d.text AS content FROM ranked_samples r
-    JOIN documents d ON d.doc_id = r.id % (SELECT count(*) FROM documents)
-    WHERE theme = 'performance'
+    SELECT s.*, r.rank FROM ranked_samples r JOIN stored_feedback s ON s.id = r.id
+    WHERE s.theme = 'performance'
     """
 )
 def urgency_ordered_samples(spark, sf_dir):
-    chosen = drilldown.urgency_ordered_samples(views.feedback(spark, sf_dir), "performance")
-    return views.with_content(stored(chosen, "samples"), spark, sf_dir)
+    return drilldown.urgency_ordered_samples(views.stored_feedback(spark, sf_dir), "performance")
 
 
 def recent_texts(spark, sf_dir):
-    chosen = drilldown.recent_per_theme(views.feedback(spark, sf_dir))
-    narrow = chosen.select("theme", "rank", "id")
-    return views.with_content(stored(narrow, "recent"), spark, sf_dir)
+    return drilldown.recent_texts_per_theme(views.stored_feedback(spark, sf_dir))
 
 
 @registered("SELECT * FROM recent_texts")

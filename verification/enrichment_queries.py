@@ -11,7 +11,7 @@ from verification.registry import registered
 from verification.views import LISTS
 from voxloom.functions.labels import UPPER
 from voxloom.operators import enrich, metrics
-from voxloom.schema import RECORD_PAYLOAD
+from voxloom.schema import RECORD_PAYLOAD, SUMMARY_PAYLOAD
 from voxloom.sources import tables
 
 PROMPT = """concat('Read the customer feedback below and label it.', chr(10),
@@ -51,6 +51,28 @@ def parse_model_response(spark, sf_dir):
     return enrich.parse_model_response(views.model_responses(spark, sf_dir))
 
 
+@registered(
+    """
+    WITH listed AS (SELECT id, len(list_filter(w, lambda x: x IN ('the','and','la','best','of',
+        'is','le','worthless','qui','that','les','on','en','for','un','example','or','une','by',
+        'des'))) AS n FROM words)
+    SELECT id, CASE WHEN n = 0 THEN 'neutral' ELSE sentiment END AS sentiment,
+      CASE WHEN n = 0 THEN CAST(0 AS DOUBLE) ELSE sentiment_score END AS sentiment_score,
+      CASE WHEN n = 0 THEN 'other' ELSE theme END AS theme,
+      CASE WHEN n = 0 THEN 'medium' ELSE urgency END AS urgency,
+      CASE WHEN n = 0 THEN 'Unable to parse AI response'
+        ELSE concat(CAST(n AS VARCHAR), ' listed words') END AS summary,
+      CAST(NULL AS VARCHAR) AS raw_response, TRUE AS in_domain
+    FROM word_labels JOIN listed USING (id)
+    """
+)
+def parse_model_replies(spark, sf_dir):
+    """The replies of a model to the given texts, parsed; it gives none to some."""
+    asked = enrich.build_analysis_prompt(views.incoming(spark, sf_dir), "text")
+    replies = enrich.ask_model(asked, "prompt", load_word_model)
+    return enrich.parse_model_response(replies.select("id", "raw_response"))
+
+
 LABELLED = """SELECT id, text, source, user_id, sentiment, sentiment_score, theme, urgency
     FROM word_labels"""
 
@@ -118,7 +140,8 @@ def load_word_model():
     """
 )
 def model_unavailable_fallback(spark, sf_dir):
-    return enrich.analyze(views.incoming(spark, sf_dir), load_word_model, "text")
+    tasks = spark.sparkContext.defaultParallelism
+    return enrich.analyze(views.incoming(spark, sf_dir), load_word_model, "text", tasks=tasks)
 
 
 @registered(
@@ -171,11 +194,47 @@ def summary_input(spark, sf_dir):
     return enrich.summary_input(recent_texts(spark, sf_dir))
 
 
-def load_summary_model():
+@registered(
+    """
+    WITH given AS (SELECT doc_id AS id, lang AS theme,
+        CASE WHEN doc_id % 13 = 0 THEN NULL WHEN doc_id % 11 = 0 THEN CAST([] AS VARCHAR[])
+          ELSE string_split(text, chr(10)) END AS texts FROM documents),
+    cut AS (SELECT id, theme, coalesce(list_filter(texts, lambda x: trim(x) <> ''),
+        CAST([] AS VARCHAR[]))[1:4] AS texts FROM given)
+    SELECT id, theme, CAST(len(texts) AS INTEGER) AS text_count,
+      CASE WHEN len(texts) = 0 THEN 'No feedback to summarize.'
+        WHEN theme = 'es' THEN
+          'Unable to generate AI summary. Please review the feedback manually.'
+        ELSE concat('A prompt of ', CAST(length(concat('Customers wrote the following about ',
+          upper(theme[1]), theme[2:], ', newest first:', chr(10), chr(10),
+          array_to_string(texts, concat(chr(10), '---', chr(10))), chr(10), chr(10),
+          'Sum this up for a product manager in two or three sentences: what hurts',
+          ' or is wanted, what recurs, and what to do next.')) AS VARCHAR), ' characters.')
+      END AS summary,
+      CASE WHEN len(texts) > 0 AND theme = 'es' THEN 'model is down' END AS error
+    FROM cut
+    """
+)
+def summarize_payloads(spark, sf_dir):
+    """Requests that bring their own texts: the lines of each document, some without any."""
+    doc = F.col("doc_id")
+    texts = (
+        F.when(doc % 13 == 0, None)
+        .when(doc % 11 == 0, F.array().cast("array<string>"))
+        .otherwise(F.split("text", "\n"))
+    )
+    body = F.to_json(F.struct(texts.alias("feedbackTexts"), F.col("lang").alias("theme")))
+    bodies = views.table(spark, sf_dir, "documents").select(doc.alias("id"), body.alias("body"))
+    payloads = tables.parse_payload(bodies, "body", SUMMARY_PAYLOAD).drop("body")
+    answered = enrich.summarize_payloads(payloads, lambda: load_summary_model(" about Es, "), k=4)
+    return answered.drop("feedbackTexts")
+
+
+def load_summary_model(failing=" about Other, "):
     """A stand-in that tells the length of its prompt, and fails on one theme."""
 
     def reply(prompt):
-        if " about Other, " in prompt:
+        if failing in prompt:
             raise RuntimeError("model is down")
         return f"A prompt of {len(prompt)} characters."
 

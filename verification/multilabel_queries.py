@@ -3,22 +3,26 @@
 from pyspark.sql import functions as F
 
 from verification import views
-from verification.registry import registered
+from verification.registry import in_output_order, registered
 from voxloom.functions import json_text, labels
 from voxloom.operators import filters, metrics, multilabel, topk, unify
-from voxloom.operators.topk import largest_first, newest_first, ranked
+from voxloom.operators.topk import largest_first, ranked
 from voxloom.sources import tables
 
 
-@registered("SELECT * EXCLUDE (labels), len(labels) AS label_count FROM labelled")
+@registered(
+    """
+    SELECT s.*, len(l.labels) AS label_count FROM stored_multilabel s JOIN labelled l USING (id)
+    """
+)
 def scan_multilabel(spark, sf_dir):
-    rows = tables.with_label_array(views.multilabel(spark, sf_dir))
+    rows = tables.with_label_array(views.stored_multilabel(spark, sf_dir))
     return rows.withColumn("label_count", F.array_size("labels").cast("long")).drop("labels")
 
 
 @registered(
     """
-    WITH hit AS (SELECT * FROM multilabel_text WHERE priority = 'high' AND source = 'github'
+    WITH hit AS (SELECT * FROM stored_multilabel WHERE priority = 'high' AND source = 'github'
         AND themes ILIKE '%PRIC%' AND sentiment_label = 'NEGATIVE'
       ORDER BY created_at DESC, id DESC LIMIT 50)
     SELECT *, CAST(row_number() OVER (ORDER BY created_at DESC, id DESC) AS INTEGER) AS rank
@@ -27,43 +31,47 @@ def scan_multilabel(spark, sf_dir):
 )
 def facet_filter_multilabel(spark, sf_dir):
     hit = filters.facet_filter_multilabel(
-        views.multilabel(spark, sf_dir),
+        views.stored_multilabel(spark, sf_dir),
         priority="high",
         source="github",
         theme="PRIC",
         sentiment_label="NEGATIVE",
     )
-    return views.with_text(ranked(hit, *newest_first()), spark, sf_dir)
+    return in_output_order(hit)
 
 
-@registered("SELECT * FROM multilabel WHERE themes ILIKE '%doc%'")
+@registered("SELECT * FROM stored_multilabel WHERE themes ILIKE '%doc%'")
 def theme_substring(spark, sf_dir):
-    return filters.theme_substring(views.multilabel(spark, sf_dir), "doc")
+    return filters.theme_substring(views.stored_multilabel(spark, sf_dir), "doc")
 
 
 @registered(
-    "SELECT * EXCLUDE (labels) FROM labelled WHERE list_contains(labels, 'documentation')"
+    """
+    SELECT s.* FROM stored_multilabel s JOIN labelled l USING (id)
+    WHERE list_contains(l.labels, 'documentation')
+    """
 )
 def theme_exact(spark, sf_dir):
-    return filters.theme_exact(views.multilabel(spark, sf_dir), "documentation")
+    return filters.theme_exact(views.stored_multilabel(spark, sf_dir), "documentation")
 
 
-@registered("SELECT * EXCLUDE (labels) FROM labelled WHERE labels IS NOT NULL")
+@registered(
+    "SELECT s.* FROM stored_multilabel s JOIN labelled l USING (id) WHERE l.labels IS NOT NULL"
+)
 def array_only(spark, sf_dir):
-    return filters.array_only(views.multilabel(spark, sf_dir))
+    return filters.array_only(views.stored_multilabel(spark, sf_dir))
 
 
 @registered(
     """
-    WITH hit AS (SELECT * FROM multilabel_text WHERE priority = 'high'
+    WITH hit AS (SELECT * FROM stored_multilabel WHERE priority = 'high'
       ORDER BY created_at DESC, id DESC LIMIT 10)
     SELECT *, CAST(row_number() OVER (ORDER BY created_at DESC, id DESC) AS INTEGER) AS rank
     FROM hit
     """
 )
 def high_priority(spark, sf_dir):
-    newest = filters.high_priority(views.multilabel(spark, sf_dir))
-    return views.with_text(ranked(newest, *newest_first()), spark, sf_dir)
+    return in_output_order(filters.high_priority(views.stored_multilabel(spark, sf_dir)))
 
 
 @registered("SELECT count(*) FILTER (priority = 'high') AS urgent_count FROM multilabel")
@@ -98,9 +106,15 @@ def priority_counts(spark, sf_dir):
     return metrics.priority_counts(views.multilabel(spark, sf_dir))
 
 
-@registered("SELECT themes, count(*) AS count FROM multilabel GROUP BY 1")
+@registered(
+    """
+    SELECT themes, count(*) AS count,
+      CAST(row_number() OVER (ORDER BY count(*) DESC, themes) AS INTEGER) AS rank
+    FROM multilabel GROUP BY 1
+    """
+)
 def themes_text_counts(spark, sf_dir):
-    return multilabel.themes_text_counts(views.multilabel(spark, sf_dir))
+    return in_output_order(multilabel.themes_text_counts(views.multilabel(spark, sf_dir)))
 
 
 STATS = """
@@ -110,9 +124,14 @@ STATS = """
 """
 
 
-@registered(STATS)
+@registered(
+    f"""
+    SELECT *, CAST(row_number() OVER (ORDER BY count DESC, theme) AS INTEGER) AS rank
+    FROM ({STATS})
+    """
+)
 def multilabel_theme_stats(spark, sf_dir):
-    return multilabel.multilabel_theme_stats(views.multilabel(spark, sf_dir))
+    return in_output_order(multilabel.multilabel_theme_stats(views.multilabel(spark, sf_dir)))
 
 
 @registered("SELECT theme, percentage FROM (" + STATS + ")")
@@ -144,25 +163,28 @@ def multilabel_avg_sentiment(spark, sf_dir):
 
 @registered(
     """
-    SELECT CAST(created_at AS DATE) AS date, round(round(avg(sentiment_score), 9), 6) AS avg_sentiment
+    SELECT CAST(created_at AS DATE) AS date, round(round(avg(sentiment_score), 9), 6) AS avg_sentiment,
+      CAST(row_number() OVER (ORDER BY CAST(created_at AS DATE)) AS INTEGER) AS rank
     FROM multilabel WHERE created_at > TIMESTAMP '2024-01-24 00:00:00' GROUP BY 1
     """
 )
 def weekly_avg_trend(spark, sf_dir):
-    return metrics.weekly_avg_trend(views.multilabel(spark, sf_dir), views.AS_OF)
+    rows = views.stored_multilabel(spark, sf_dir)
+    return in_output_order(metrics.weekly_avg_trend(rows, views.AS_OF))
 
 
 @registered(
     """
-    WITH hit AS (SELECT * FROM multilabel_text WHERE themes ILIKE '%relia%')
+    WITH hit AS (SELECT * FROM stored_multilabel WHERE themes ILIKE '%relia%')
     SELECT *, (SELECT count(*) FROM hit) AS total_count,
       CAST(row_number() OVER (ORDER BY created_at DESC, id DESC) AS INTEGER) AS rank
     FROM hit ORDER BY rank LIMIT 20
     """
 )
 def theme_match_total(spark, sf_dir):
-    newest = multilabel.theme_match_total(views.multilabel(spark, sf_dir), "relia")
-    return views.with_text(ranked(newest, *newest_first()), spark, sf_dir)
+    return in_output_order(
+        multilabel.theme_match_total(views.stored_multilabel(spark, sf_dir), "relia")
+    )
 
 
 @registered(

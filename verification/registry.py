@@ -1,5 +1,8 @@
 """Collects queries and the SQL that gives the same rows."""
 
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
 QUERIES = {}
 ORACLES = {}
 
@@ -42,6 +45,8 @@ multilabel AS (
 multilabel_text AS (
   SELECT m.*, d.text FROM multilabel m
   JOIN documents d ON d.doc_id = m.id % (SELECT count(*) FROM documents)),
+stored_feedback AS (SELECT *, CAST(created_at AS DATE) AS created_date FROM feedback_text),
+stored_multilabel AS (SELECT *, CAST(created_at AS DATE) AS created_date FROM multilabel_text),
 labelled AS (
   SELECT *, CASE WHEN themes IS NULL THEN CAST([] AS VARCHAR[])
       WHEN json_valid(themes) AND json_type(themes) = 'ARRAY'
@@ -155,6 +160,13 @@ summary_prompts AS (
 """
 
 
+def in_output_order(rows):
+    """Number the rows in the order in which an operator gives them."""
+    placed = rows.withColumn("_at", F.monotonically_increasing_id())
+    place = F.row_number().over(Window.orderBy("_at"))
+    return placed.withColumn("rank", place).drop("_at")
+
+
 def registered(sql=None):
     """Register a query under its function's name.
 

@@ -1,12 +1,12 @@
 """Queries that store tables and read them back, documents, and streams."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from verification import views
 from verification.registry import registered
 from voxloom.operators import rollup
 from voxloom.operators.enrich import classify_sentiment, ingest_enriched
-from voxloom.operators.topk import fetch_rows
 from voxloom.plans import documents
 from voxloom.session import scratch_path, stored
 from voxloom.sources import ingest, tables
@@ -45,20 +45,29 @@ def load_rollup(spark, sf_dir):
 
 @registered("SELECT * FROM rollup_rows")
 def upsert_daily(spark, sf_dir):
-    """Store a rollup that misses the errors, then bring it up to date for their days."""
+    """Bring some days of a stored rollup up to date.
+
+    The stored one misses the errors since the 20th, and counts rows of a day
+    of which no row is left. Only these days are touched.
+    """
     path = scratch_path(spark, "upsert_daily")
     events = views.table(spark, sf_dir, "events")
-    late = F.col("event_type") == "error"
+    late = (F.col("event_type") == "error") & (F.to_date("ts") >= F.lit("2024-01-20"))
     early_rows, late_rows = (views.feedback_of(events.filter(c)) for c in [~late, late])
-    tables.load_rollup(rollup.daily_rollup(early_rows), path)
-    dates = stored(rollup.touched_dates(late_rows), "touched_dates")
-    everything = views.feedback_of(events)
-    tables.overwrite_dates(rollup.rollup_of_dates(everything, dates), path)
+    loaded = rollup.daily_rollup(early_rows)
+    gone = F.lit("2023-12-31").cast("date")
+    moved = loaded.filter(F.col("metric_date") == F.lit("2024-01-05").cast("date"))
+    tables.load_rollup(loaded.unionByName(moved.withColumn("metric_date", gone)), path)
+    touched = rollup.touched_dates(late_rows)
+    emptied = touched.limit(1).select(gone.alias("metric_date"))
+    dates = stored(touched.unionByName(emptied), "touched_dates")
+    everything = views.stored_feedback(spark, sf_dir)
+    tables.overwrite_dates(rollup.rollup_of_dates(everything, dates), path, dates)
     return tables.scan_daily_metrics(spark, path)
 
 
 BATCHES = """
-    SELECT id, created_at, channel, title, author,
+    SELECT id, created_at, channel, title, author, content,
       CASE WHEN kind IN ('purchase', 'signup') THEN 'pending' ELSE sentiment END AS sentiment,
       CASE WHEN kind IN ('purchase', 'signup') THEN CAST(0 AS DOUBLE)
         ELSE sentiment_score END AS sentiment_score,
@@ -66,36 +75,43 @@ BATCHES = """
       CASE WHEN kind IN ('purchase', 'signup', 'error') THEN 'low' ELSE urgency END AS urgency,
       CASE WHEN kind = 'error' THEN 'medium' ELSE value_score END AS value_score,
       CASE WHEN kind IN ('purchase', 'signup') THEN 0 ELSE analyzed END AS analyzed
-    FROM feedback JOIN (SELECT event_id AS id, event_type AS kind FROM events) USING (id)
+    FROM feedback_text JOIN (SELECT event_id AS id, event_type AS kind FROM events) USING (id)
+    WHERE kind <> 'click' OR title IS NOT NULL
 """
 
 
 def batches(spark, sf_dir):
-    """Three batches; two of them lack some of the columns."""
+    """Batches of which some lack columns, one the content of its rows without a title."""
     events = views.table(spark, sf_dir, "events")
 
     def batch(*kinds):
-        return views.feedback_of(events.filter(F.col("event_type").isin(*kinds)))
+        rows = views.feedback_of(events.filter(F.col("event_type").isin(*kinds)))
+        return views.with_content(rows, spark, sf_dir)
 
     labels = ["sentiment", "sentiment_score", "theme", "urgency", "analyzed"]
+    titled = F.when(F.col("title").isNotNull(), F.col("content"))
     return [
-        batch("view", "click"),
+        batch("view"),
+        batch("click").withColumn("content", titled),
         batch("purchase", "signup").drop(*labels),
         batch("error").drop("urgency", "value_score"),
     ]
 
 
-@registered(f"SELECT *, CAST(NULL AS VARCHAR) AS content FROM ({BATCHES.strip()})")
+@registered(BATCHES)
 def append_batches(spark, sf_dir):
     path = scratch_path(spark, "append_batches")
     for batch in batches(spark, sf_dir):
-        tables.append_table(ingest.append_batches([batch]), path)
+        accepted, _ = ingest.append_batches([batch])
+        tables.append_table(accepted, path)
     return tables.scan_feedback(spark, path)
 
 
-@registered(f"SELECT *, CAST(NULL AS VARCHAR) AS content FROM ({BATCHES.strip()})")
+@registered(BATCHES.replace("WHERE kind <> 'click' OR title IS NOT NULL", "").replace(
+    " content,", " CASE WHEN kind <> 'click' OR title IS NOT NULL THEN content END AS content,"))
 def apply_defaults(spark, sf_dir):
-    return ingest.append_batches(batches(spark, sf_dir))
+    accepted, rejected = ingest.append_batches(batches(spark, sf_dir))
+    return accepted.unionByName(rejected.drop("missing"))
 
 
 @registered(
@@ -117,13 +133,32 @@ def split_required(spark, sf_dir):
     return kept.unionByName(refused)
 
 
-@registered("SELECT event_id, event_type, TRUE AS above_table FROM events")
+@registered(
+    """
+    SELECT event_id, event_type, TRUE AS above_table, (SELECT count(*) FROM events) AS distinct_ids,
+      (SELECT count(*) FROM events) AS highest, TRUE AS in_order
+    FROM events
+    """
+)
 def assign_ids(spark, sf_dir):
-    events = views.table(spark, sf_dir, "events")
-    stored = views.feedback(spark, sf_dir)
-    batch = ingest.assign_ids(events.select("event_id", "event_type"), stored)
-    last = stored.agg(F.max("id")).scalar()
-    return batch.select("event_id", "event_type", (F.col("id") > last).alias("above_table"))
+    """Ids of a batch, and whether they are distinct, gapless and in the order of the scan."""
+    events = views.table(spark, sf_dir, "events").select("event_id", "event_type")
+    table = views.feedback(spark, sf_dir)
+    batch = ingest.assign_ids(events, table).withColumn("_row", F.monotonically_increasing_id())
+    last = table.agg(F.max("id")).scalar()
+    numbered = batch.select("id", "_row")
+    before = F.lag("id").over(Window.orderBy("_row"))
+    ordered = numbered.withColumn("_before", before).agg(
+        F.coalesce(F.bool_and(F.col("id") == F.col("_before") + 1), F.lit(True))
+    )
+    return batch.select(
+        "event_id",
+        "event_type",
+        (F.col("id") > last).alias("above_table"),
+        batch.agg(F.countDistinct("id")).scalar().alias("distinct_ids"),
+        (batch.agg(F.max("id")).scalar() - last).alias("highest"),
+        ordered.scalar().alias("in_order"),
+    )
 
 
 @registered("SELECT *, CAST(created_at AS DATE) AS created_date FROM feedback_text")
@@ -213,13 +248,7 @@ def distributions_document(spark, sf_dir):
     """
 )
 def theme_documents(spark, sf_dir):
-    feedback = views.feedback(spark, sf_dir)
-
-    def fetch(chosen):
-        rows = fetch_rows(feedback, stored(chosen, "listed"))
-        return views.with_content(stored(rows, "fetched"), spark, sf_dir)
-
-    nested = documents.theme_documents(feedback, fetch=fetch)
+    nested = documents.theme_documents(views.stored_feedback(spark, sf_dir))
     return documents.as_json(nested, plain=["theme"])
 
 
@@ -280,23 +309,56 @@ def stream_daily_rollup(spark, sf_dir):
     return jobs.current_rollup(spark, f"{path}/log")
 
 
+def in_batches(spark, events, path):
+    """A stream of ``events`` in four batches, the newest days first."""
+    day = F.dayofmonth("ts")
+    for low in [24, 16, 8, 0]:
+        part = events.filter((day >= low) & (day < (low + 8 if low < 24 else 32)))
+        part.coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(views.SCHEMAS["events"]).option("maxFilesPerTrigger", 1)
+    return views.feedback_of(stream.parquet(path))
+
+
+@registered("SELECT * FROM rollup_rows")
+def publish_rollup(spark, sf_dir):
+    """A table that holds some rows' counts by batch, and the rest from a stream.
+
+    The stream's batches come out of the order of time. Its log is published,
+    folded and published again.
+    """
+    path = scratch_path(spark, "publish_rollup")
+    events = views.table(spark, sf_dir, "events")
+    loaded = F.col("event_type").isin("view", "error")
+    early = views.feedback_of(events.filter(loaded))
+    tables.load_rollup(rollup.daily_rollup(early), f"{path}/daily")
+    jobs.log_loaded(early, f"{path}/log", "first")
+    feedback = in_batches(spark, events.filter(~loaded), f"{path}/events")
+    jobs.stream_daily_rollup(feedback, f"{path}/log", f"{path}/state").awaitTermination()
+    jobs.publish_rollup(spark, f"{path}/log", f"{path}/daily")
+    jobs.compact_log(spark, f"{path}/log")
+    jobs.publish_rollup(spark, f"{path}/log", f"{path}/daily")
+    return tables.scan_daily_metrics(spark, f"{path}/daily")
+
+
 @registered("SELECT * FROM rollup_rows")
 def stream_rollup_updates(spark, sf_dir):
     path = scratch_path(spark, "rollup_updates")
-    feedback = views.feedback_of(read_stream(spark, sf_dir, "events"))
+    feedback = in_batches(spark, views.table(spark, sf_dir, "events"), f"{path}/events")
     jobs.stream_rollup_updates(feedback, f"{path}/log", f"{path}/state").awaitTermination()
     return jobs.latest_updates(spark, f"{path}/log")
 
 
 @registered(
     """
-    SELECT *, TIMESTAMP '2024-01-31 00:00:00' AS created_at, '' AS missing FROM classified
-      WHERE source IS NOT NULL
+    WITH kept AS (SELECT * EXCLUDE (id) FROM classified WHERE source IS NOT NULL)
+    SELECT *, TIMESTAMP '2024-01-31 00:00:00' AS created_at, '' AS missing,
+      (SELECT count(*) FROM kept) AS ids, (SELECT count(*) FROM kept) AS highest FROM kept
     UNION ALL BY NAME
-    SELECT id, text, source, user_id, 'source' AS missing FROM incoming WHERE source IS NULL
+    SELECT text, source, user_id, 'source' AS missing FROM incoming WHERE source IS NULL
     """
 )
 def stream_ingest(spark, sf_dir):
+    """Records without id; ``ids`` and ``highest`` tell that the ids given have no gap."""
     path = scratch_path(spark, "stream_ingest")
 
     def enrich(records):
@@ -304,14 +366,15 @@ def stream_ingest(spark, sf_dir):
             records, lambda rows: classify_sentiment(rows, "text", views.LISTS), views.AS_OF
         )
 
-    records = views.incoming_of(read_stream(spark, sf_dir, "documents"))
-    started = jobs.stream_ingest(
-        records, f"{path}/accepted", f"{path}/rejected", f"{path}/state", enrich
+    records = views.incoming_of(read_stream(spark, sf_dir, "documents")).drop("id")
+    jobs.stream_ingest(records, f"{path}/rows", f"{path}/state", enrich).awaitTermination()
+    accepted = jobs.ingested(spark, f"{path}/rows")
+    ids = accepted.agg(F.countDistinct("id")).scalar()
+    highest = accepted.agg(F.max("id")).scalar()
+    kept = accepted.drop("id").withColumns(
+        {"missing": F.lit(""), "ids": ids, "highest": highest}
     )
-    for query in started:
-        query.awaitTermination()
-    accepted = spark.read.parquet(f"{path}/accepted").withColumn("missing", F.lit(""))
-    rejected = spark.read.parquet(f"{path}/rejected").withColumn(
-        "missing", F.array_join("missing", ",")
+    set_aside = jobs.refused(spark, f"{path}/rows").select(
+        "text", "source", "user_id", F.array_join("missing", ",").alias("missing")
     )
-    return accepted.unionByName(rejected, allowMissingColumns=True)
+    return kept.unionByName(set_aside, allowMissingColumns=True)

@@ -7,8 +7,10 @@ query puts them out, and after a top-k has made the rows few.
 
 from pyspark.sql import functions as F
 
-from voxloom.schema import MULTILABEL
 from voxloom.functions.wordscore import WordLists
+from voxloom.schema import MULTILABEL
+from voxloom.session import scratch_path
+from voxloom.sources import tables
 
 AS_OF = "2024-01-31 00:00:00"
 
@@ -135,6 +137,37 @@ def with_text(rows, spark, sf_dir):
     return joined.select(*MULTILABEL.names, *extra)
 
 
+WRITTEN = {}
+
+
+def written(spark, sf_dir, name, write):
+    """The path of a table that ``write(path)`` stores once per session and given folder."""
+    key = spark.sparkContext.applicationId, sf_dir, name
+    if key not in WRITTEN:
+        path = scratch_path(spark, name)
+        write(path)
+        WRITTEN[key] = path
+    return WRITTEN[key]
+
+
+def stored_feedback(spark, sf_dir):
+    """The single-label table with its texts, stored by day and scanned."""
+    rows = with_content(feedback(spark, sf_dir), spark, sf_dir)
+    path = written(spark, sf_dir, "feedback", lambda path: tables.write_by_day(rows, path))
+    return tables.scan_feedback(spark, path, by_day=True)
+
+
+def stored_multilabel(spark, sf_dir):
+    """The multi-label table with its texts, stored by day and scanned."""
+    rows = with_text(multilabel(spark, sf_dir), spark, sf_dir)
+
+    def write(path):
+        tables.write_by_day(rows, path, order=["priority", "source"])
+
+    path = written(spark, sf_dir, "multilabel", write)
+    return tables.scan_multilabel(spark, path, by_day=True).drop("labels")
+
+
 def model_responses(spark, sf_dir):
     """A made-up model response per event: good, chatty, cut off, invalid or missing."""
     event = F.col("event_id")

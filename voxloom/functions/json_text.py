@@ -8,9 +8,27 @@ exactly one JSON value does the mark come second.
 
 import uuid
 
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 MARK = uuid.uuid4().hex
+REPEATED_KEYS = "spark.sql.variant.allowDuplicateKeys"
+
+
+def allow_repeated_keys():
+    """Have a repeated key in a JSON object count once, with its last value.
+
+    Spark decides that by a session setting. It is set where the session leaves
+    it open; a session that has turned it off is refused rather than read otherwise.
+    """
+    session = SparkSession.getActiveSession()
+    if session is None:
+        return
+    given = session.conf.get(REPEATED_KEYS, None)
+    if given is None:
+        session.conf.set(REPEATED_KEYS, "true")
+    elif given.lower() != "true":
+        raise ValueError(f"{REPEATED_KEYS} must not be turned off")
 
 
 def bound(value, use):
@@ -23,6 +41,7 @@ def bound(value, use):
 
 def strict_variant(text):
     """A variant array that starts with the text's value; NULL unless it is one value."""
+    allow_repeated_keys()
     marked = F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{MARK}"]')))
 
     def if_marked(array):

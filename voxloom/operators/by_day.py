@@ -14,6 +14,19 @@ def feedback_day(feedback):
     return F.col("created_date") if is_by_day(feedback) else day_of(F.col("created_at"))
 
 
+def latest_days(feedback, k):
+    """The rows of the ``k`` latest days that have rows, or more of them.
+
+    A table laid out by day tells them by a narrow pass and opens their folders
+    only; any other table is returned whole.
+    """
+    if not is_by_day(feedback):
+        return feedback
+    days = feedback.select("created_date").distinct()
+    latest = days.orderBy(F.desc_nulls_last("created_date")).limit(k)
+    return on_days(feedback, latest, "created_date")
+
+
 def on_days(feedback, days, column):
     """Rows of the days in a column of ``days``, and those without a day.
 

@@ -12,9 +12,19 @@ from pyspark.sql import types as T
 
 from voxloom.functions import wordscore
 from voxloom.functions.json_text import braces_span, encode_label_array, strict_variant
-from voxloom.functions.labels import default_if_empty, default_if_zero, theme_display_name
+from voxloom.functions.labels import (
+    default_if_empty,
+    default_if_zero,
+    is_nonblank,
+    theme_display_name,
+)
 from voxloom.functions.wordscore import WordLists
-from voxloom.operators.drilldown import join_texts, texts_by_theme
+from voxloom.operators.drilldown import (
+    SUMMARY_TEXTS,
+    first_texts,
+    join_texts,
+    texts_by_theme,
+)
 from voxloom.schema import SENTIMENTS, THEMES, URGENCIES
 
 # What a failed analysis or summary says, and the default labels.
@@ -63,43 +73,54 @@ def build_analysis_prompt(feedback, column="content"):
 NO_TEXT = (None, "no text")
 
 
-def reply_of(model, text):
-    """One model reply, or the error it raised."""
-    try:
-        return model([text])[0], None
-    except Exception as failure:
-        return None, str(failure)
+#: Texts that a model gets at once.
+MODEL_BATCH = 256
 
 
-def replies_of(model, texts):
-    """(reply, error) per text; if the batch fails, each text is tried alone.
+def ask_halving(model, texts):
+    """(reply, error) per text; a batch that fails is halved until the bad texts stand alone.
 
-    Missing texts are not put to the model.
+    One bad text among n costs at most 2 log2(n) + 1 calls.
     """
-    asked = [text for text in texts if text is not None]
     try:
-        replies = [(reply, None) for reply in model(asked)] if asked else []
-        if len(replies) != len(asked):
+        replies = list(model(texts))
+        if len(replies) != len(texts):
             raise ValueError("the model must reply to each text")
-    except Exception:
-        replies = [reply_of(model, text) for text in asked]
+        return [(reply, None) for reply in replies]
+    except Exception as failure:
+        if len(texts) == 1:
+            return [(None, str(failure))]
+    middle = len(texts) // 2
+    return ask_halving(model, texts[:middle]) + ask_halving(model, texts[middle:])
+
+
+def replies_of(model, texts, batch=MODEL_BATCH):
+    """(reply, error) per text; missing texts are not put to the model."""
+    asked = [text for text in texts if text is not None]
+    replies = []
+    for start in range(0, len(asked), batch):
+        replies += ask_halving(model, asked[start : start + batch])
     given = iter(replies)
     return [NO_TEXT if text is None else next(given) for text in texts]
 
 
-def ask_model(rows, column, load_model: Callable):
+def ask_model(rows, column, load_model: Callable, batch=MODEL_BATCH, tasks=None):
     """Add ``raw_response`` and ``error`` of a model asked with the text of a column.
 
     ``load_model()`` runs once per task and returns a function from a list of
-    texts to a list of replies. An exception becomes the row's error.
+    texts to a list of replies, which gets ``batch`` texts at most. An exception
+    becomes the row's error. ``tasks`` spreads the rows first, for scans that
+    would leave the model to a few tasks.
     """
+    if tasks:
+        rows = rows.repartition(tasks)
 
     @F.pandas_udf(REPLY)
     def reply(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = load_model()
         for texts in batches:
             yield pd.DataFrame(
-                replies_of(model, list(texts)), columns=REPLY.names, dtype=object
+                replies_of(model, list(texts), batch), columns=REPLY.names, dtype=object
             )
 
     # Nondeterministic, so that Spark never asks twice about one row.
@@ -154,14 +175,18 @@ def model_unavailable_fallback(replies):
     )
 
 
-def analyze(feedback, load_model, column="content"):
-    """Label a whole table: prompt, model, parsed fields, fallbacks."""
-    prompted = build_analysis_prompt(feedback, column)
-    return model_unavailable_fallback(ask_model(prompted, "prompt", load_model)).drop("prompt")
+def analyze(feedback, load_model, column="content", batch=MODEL_BATCH, tasks=None):
+    """Label a whole table: prompt, model, parsed fields, fallbacks.
+
+    Texts that hold nothing but white space are not put to the model.
+    """
+    asked = F.when(is_nonblank(F.col(column)), analysis_prompt(F.col(column)))
+    replies = ask_model(feedback.withColumn("prompt", asked), "prompt", load_model, batch, tasks)
+    return model_unavailable_fallback(replies).drop("prompt")
 
 
 def with_word_counts(rows, column, lists):
-    """Add hits per word list; the text is searched once for all lists."""
+    """Add hits per word list; the text is searched once for all words."""
     found = rows.withColumn("_found", wordscore.listed_words(F.col(column), lists))
     groups = {
         "_positive": lists.positive,
@@ -198,6 +223,8 @@ def classify_sentiment(rows, column="text", lists=None):
     Texts without a hit get score 0 and an empty label, which the defaults fill.
     """
     lists = lists or WordLists()
+    # Only the two lists that decide are searched for.
+    lists = WordLists(lists.positive, lists.negative, (), (), {})
     positive, negative = F.col("_positive"), F.col("_negative")
     hits = positive + negative
     share = F.greatest(positive, negative) / hits
@@ -249,13 +276,40 @@ def summary_prompt(theme, joined):
     return F.concat(before, joined, after)
 
 
-def summary_input(recent):
-    """Per theme, its newest texts in one prompt; takes ``recent_texts_per_theme``."""
-    joined = join_texts(F.col("texts"))
-    return texts_by_theme(recent).select(
-        "theme",
-        F.array_size("texts").alias("text_count"),
-        summary_prompt(F.col("theme"), joined).alias("prompt"),
+def summary_input(recent, k=SUMMARY_TEXTS):
+    """Per theme, its ``k`` newest texts in one prompt; takes ``recent_texts_per_theme``."""
+    return texts_by_theme(recent).select("theme", *summary_request("texts", k))
+
+
+def summary_request(texts, k):
+    """How many texts a summary is asked of, and the prompt."""
+    chosen = F.array_size(first_texts(F.col(texts), k)).alias("text_count")
+    return chosen, summary_prompt(F.col("theme"), join_texts(F.col(texts), k)).alias("prompt")
+
+
+def summarize_payloads(payloads, load_model, k=SUMMARY_TEXTS, **asking):
+    """Add ``text_count``, ``summary`` and ``error`` to requests of texts and their theme.
+
+    ``payloads`` has the columns of ``SUMMARY_PAYLOAD``. Missing and blank texts
+    are left out; a request without texts gets the fixed answer, not the model's.
+    """
+    given = F.coalesce("feedbackTexts", F.array().cast("array<string>"))
+    count, prompt = summary_request("_texts", k)
+    asked = (
+        payloads.withColumn("_texts", F.filter(given, is_nonblank))
+        .select(*payloads.columns, "_texts", count, prompt)
+        .withColumn("prompt", F.when(F.col("text_count") > 0, F.col("prompt")))
+    )
+    answered = ask_model(asked, "prompt", load_model, **asking)
+    silent = F.col("text_count") == 0
+    return answered.select(
+        *payloads.columns,
+        "text_count",
+        F.when(silent, NO_TEXTS_SUMMARY)
+        .when(F.col("error").isNotNull(), SUMMARY_FAILURE)
+        .otherwise(F.col("raw_response"))
+        .alias("summary"),
+        F.when(~silent, F.col("error")).alias("error"),
     )
 
 

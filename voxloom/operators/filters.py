@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from voxloom.functions.json_text import parse_label_array
 from voxloom.functions.labels import contains_label, is_nonblank
 from voxloom.functions.measures import cutoff
+from voxloom.operators.by_day import is_by_day
 from voxloom.operators.topk import checked_limit, newest_n
 from voxloom.schema import UNCATEGORIZED
 
@@ -31,14 +32,16 @@ def themed(feedback):
     return categorized_only(analyzed_only(feedback))
 
 
-def facet_filter(feedback, sentiment=None, theme=None, urgency=None, channel=None, limit=50):
+def facet_filter(
+    feedback, sentiment=None, theme=None, urgency=None, channel=None, limit=50, narrow_first=True
+):
     """Newest analyzed rows that meet the given facets; None, '' and 'all' mean any."""
     limit = checked_limit(limit)
     rows = analyzed_only(feedback)
     for name, value in zip(FACETS, [sentiment, theme, urgency, channel], strict=True):
         if value and value != "all":
             rows = rows.filter(F.col(name) == value)
-    return newest_n(rows, limit)
+    return newest_n(rows, limit, narrow_first)
 
 
 def facet_filter_multilabel(
@@ -83,8 +86,15 @@ def array_only(feedback):
 
 def recent_days(feedback, as_of, days=7):
     """Rows created strictly after ``days`` days before ``as_of``."""
+    required("as_of", as_of)
     like = feedback.schema["created_at"].dataType
-    return feedback.filter(F.col("created_at") > cutoff(as_of, days, like))
+    since = cutoff(as_of, days, like)
+    recent = feedback.filter(F.col("created_at") > since)
+    if is_by_day(feedback):
+        # The layout's days are UTC days of zone-less times, which decide which folders open.
+        first = cutoff(as_of, days, "timestamp_ntz")
+        recent = recent.filter(F.col("created_date") >= F.to_date(first))
+    return recent
 
 
 def high_priority(feedback, limit=10):

@@ -7,12 +7,12 @@ one row per label, so a label with most of the rows is no hot spot.
 from pyspark.sql import functions as F
 
 from voxloom.functions.measures import (
-    day_of,
     mean_score,
     rows,
     tally_label,
     tally_urgent,
 )
+from voxloom.operators.by_day import feedback_day, latest_days
 from voxloom.operators.filters import analyzed_only, recent_days, themed
 from voxloom.operators.topk import largest_first, latest_k_dates_ascending
 from voxloom.schema import UNCATEGORIZED, URGENCIES
@@ -129,8 +129,8 @@ def theme_stats(feedback):
 def sentiment_trend(feedback, days=14):
     """Per-day totals of the latest ``days`` dates that have rows, ascending."""
     daily = (
-        analyzed_only(feedback)
-        .groupBy(day_of(F.col("created_at")).alias("date"))
+        latest_days(analyzed_only(feedback), days)
+        .groupBy(feedback_day(feedback).alias("date"))
         .agg(
             rows().alias("total"),
             mean_score().alias("avg_sentiment"),
@@ -171,7 +171,7 @@ def weekly_avg_trend(feedback, as_of, days=7):
     """Average score per day over the last days, ascending; pending rows count too."""
     return (
         recent_days(feedback, as_of, days)
-        .groupBy(day_of(F.col("created_at")).alias("date"))
+        .groupBy(feedback_day(feedback).alias("date"))
         .agg(mean_score().alias("avg_sentiment"))
         .orderBy("date")
     )

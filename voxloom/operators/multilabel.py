@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from voxloom.functions.json_text import parse_label_array
 from voxloom.functions.measures import label_percentage, rounded_mean, rows
+from voxloom.operators.by_day import feedback_day
 from voxloom.operators.filters import theme_substring
-from voxloom.operators.topk import largest_first, newest_n
+from voxloom.operators.topk import checked_limit, day_of_nth_newest, largest_first, newest_n
+from voxloom.session import stored
 
 
 def themes_text_counts(feedback):
@@ -50,7 +52,15 @@ def multilabel_avg_sentiment(feedback):
 
 
 def theme_match_total(feedback, term, limit=20):
-    """The newest rows whose themes contain the term, beside the count of all such rows."""
+    """The newest rows whose themes contain the term, beside the count of all such rows.
+
+    One narrow pass counts the matches per day, which tells both their total and
+    the days that the newest ones are of.
+    """
     matches = theme_substring(feedback, term)
-    total = matches.agg(rows()).scalar()
-    return newest_n(matches, limit).withColumn("total_count", total)
+    limit = checked_limit(limit)
+    day = feedback_day(matches)
+    days = stored(matches.groupBy(day.alias("day")).agg(rows().alias("count")), "days")
+    total = days.agg(F.coalesce(F.sum("count"), F.lit(0))).scalar()
+    recent = matches.filter((day >= day_of_nth_newest(days, limit)) | day.isNull())
+    return newest_n(recent, limit, narrow_first=False).withColumn("total_count", total)

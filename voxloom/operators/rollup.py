@@ -58,6 +58,24 @@ def sum_of_parts(parts):
     )
 
 
+def sums_of_parts(parts):
+    """Parts of the rows put together: still parts."""
+    sums = [c for c in parts.columns if c not in DAILY_METRICS_KEY]
+    return parts.groupBy(*DAILY_METRICS_KEY).agg(*[F.sum(c).alias(c) for c in sums])
+
+
+def parts_of_rollup(rollup):
+    """Stored rollup rows as parts: counts as they are, score sums as near as the mean tells."""
+    counters = [c for c in DAILY_METRICS.names if c.endswith("_count") or c.startswith("urgency")]
+    scored = F.when(F.col("avg_sentiment_score").isNotNull(), F.col("total_count")).otherwise(0)
+    return rollup.select(
+        *DAILY_METRICS_KEY,
+        *counters,
+        (F.col("avg_sentiment_score") * scored).alias("score_sum"),
+        scored.alias("score_count"),
+    )
+
+
 def dedupe_daily(rollup, version):
     """One row per date and theme: the one with the greatest ``version``."""
     values = [c for c in rollup.columns if c not in [*DAILY_METRICS_KEY, version]]

@@ -8,7 +8,6 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from voxloom.functions.labels import urgency_rank
-from voxloom.functions.measures import day_of
 from voxloom.operators.by_day import is_by_day, on_days
 
 SALTS = 256
@@ -33,34 +32,49 @@ def checked_limit(limit):
     return limit
 
 
-def newest_n(rows, n=50):
-    """The ``n`` newest rows, newest first."""
+def newest_n(rows, n=50, narrow_first=True):
+    """The ``n`` newest rows, newest first.
+
+    ``narrow_first`` finds the time of the n-th newest row before wide rows are
+    read; without it one pass sorts whole rows, which suits narrow tables.
+    """
     n = checked_limit(n)
-    if is_wide(rows):
+    if narrow_first:
         rows = since_nth_newest(rows, n)
     return rows.orderBy(*newest_first()).limit(n)
 
 
-def is_wide(rows):
-    """True for tables with texts, and for those that can skip folders by day."""
-    return is_by_day(rows) or bool({"content", "text"} & set(rows.columns))
+def newest_folders(rows, n):
+    """Rows of the newest days that together have ``n`` rows, and those without a day.
+
+    Rows are counted per day, which reads no column but those of earlier filters.
+    """
+    days = rows.groupBy(F.col("created_date").alias("day")).count()
+    day = F.col("created_date")
+    return rows.filter((day >= day_of_nth_newest(days, n)) | day.isNull())
+
+
+def day_of_nth_newest(days, n):
+    """The day of the n-th newest row, from rows (``day``, ``count``), as a scalar."""
+    newer = Window.orderBy(F.desc("day")).rowsBetween(Window.unboundedPreceding, -1)
+    ahead = F.coalesce(F.sum("count").over(newer), F.lit(0))
+    known = days.filter(F.col("day").isNotNull()).withColumn("_ahead", ahead)
+    return known.filter(F.col("_ahead") < n).agg(F.min("day")).scalar()
 
 
 def since_nth_newest(rows, n):
     """The rows that are no older than the n-th newest one, and those without a time.
 
     The first pass reads the time and the filtered columns only. The second
-    one then hands on hardly more than n wide rows instead of n per task; on a
-    table laid out by day it opens the newest folders alone.
+    one then hands on hardly more than n wide rows instead of n per task. On a
+    table laid out by day both open the newest folders alone.
     """
+    if is_by_day(rows):
+        rows = newest_folders(rows, n)
     times = rows.select("created_at").orderBy(F.desc_nulls_last("created_at")).limit(n)
     oldest = F.min("created_at")
     created_at = F.col("created_at")
-    recent = rows.filter((created_at >= times.agg(oldest).scalar()) | created_at.isNull())
-    if not is_by_day(rows):
-        return recent
-    day = F.col("created_date")
-    return recent.filter((day >= times.agg(day_of(oldest)).scalar()) | day.isNull())
+    return rows.filter((created_at >= times.agg(oldest).scalar()) | created_at.isNull())
 
 
 def fetch_rows(table, chosen):

@@ -5,9 +5,11 @@ Each document starts from one scan that counts rows per combination of labels
 aggregates and lists of at most k rows end up in an array.
 """
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from voxloom.functions.measures import day_of, or_zero, rounded_mean, rows
+from voxloom.functions.measures import or_zero, rounded_mean, rows
+from voxloom.operators.by_day import feedback_day
 from voxloom.operators.drilldown import analyzed_themes, samples_and_recent
 from voxloom.operators.filters import high_priority, theme_substring
 from voxloom.operators.metrics import all_distributions
@@ -16,6 +18,8 @@ from voxloom.schema import FEEDBACK, MULTILABEL, UNCATEGORIZED
 from voxloom.session import stored
 
 SCORE = "sentiment_score"
+#: How many themes needing attention an overview lists.
+ATTENTION = 5
 
 
 def cells(feedback, *columns):
@@ -91,14 +95,12 @@ def overview_document(feedback):
     def overall(name):
         return F.max(F.when(everything, F.col(name)))
 
+    most_urgent = [-F.col("critical") - F.col("high"), -F.col("total"), F.col("theme")]
+    # Themes are free text: only the first few of them are gathered.
+    place = F.row_number().over(Window.partitionBy("g", known).orderBy(*most_urgent))
+    grouped = grouped.withColumn("place", place)
     attention = gathered(
-        known,
-        (-F.col("critical") - F.col("high")).alias("a"),
-        (-F.col("total")).alias("b"),
-        "theme",
-        total,
-        average,
-        urgent,
+        known & (F.col("place") <= ATTENTION), "place", "theme", total, average, urgent
     )
     channels = gathered(
         per_channel, (-F.col("all_rows")).alias("a"), "channel", F.col("all_rows").alias("count")
@@ -117,7 +119,7 @@ def overview_document(feedback):
             overall("high").alias("high_count"),
             overall("avg_sentiment").alias("avg_sentiment"),
         ).alias("stats"),
-        without(F.slice(attention, 1, 5), "a", "b").alias("topThemes"),
+        without(attention, "place").alias("topThemes"),
         without(channels, "a").alias("channels"),
         largest.alias("topTheme"),
     )
@@ -142,7 +144,7 @@ def distributions_document(feedback):
 
 def theme_sections(feedback, days=14):
     """Per theme: stats, channels[] and trend[] over its latest dates."""
-    date = day_of(F.col("created_at")).alias("date")
+    date = feedback_day(feedback).alias("date")
     levels = ["critical", "high", "medium", "low"]
     grouped = (
         cells(analyzed_themes(feedback), "theme", "channel", date, "sentiment", "urgency")
@@ -163,8 +165,12 @@ def theme_sections(feedback, days=14):
     whole, per_channel, per_date = (F.col("g") == bits for bits in [3, 1, 2])
     sentiments = ["positive", "neutral", "negative"]
     count = F.col("total").alias("count")
-    trend = gathered(per_date, "date", count, "avg_sentiment", *sentiments)
-    latest = F.slice(trend, F.greatest(F.array_size(trend) - (days - 1), F.lit(1)), days)
+    # Only the latest dates are gathered, not a theme's whole history.
+    newest = F.row_number().over(Window.partitionBy("theme", "g").orderBy(F.desc("date")))
+    grouped = grouped.withColumn("place", newest)
+    latest = gathered(
+        per_date & (F.col("place") <= days), "date", count, "avg_sentiment", *sentiments
+    )
     return grouped.groupBy("theme").agg(
         F.max(F.when(whole, F.struct("total", "avg_sentiment", *sentiments, *levels))).alias(
             "stats"
@@ -187,10 +193,15 @@ def theme_documents(feedback, k=10, fetch=None):
         in_rank_order(list_item(listed, FEEDBACK), kind == "samples").alias("samples"),
         in_rank_order(F.col("content"), kind == "recent").alias("recentFeedbackTexts"),
     )
-    return (
-        theme_sections(feedback)
-        .join(lists, "theme")
-        .select("theme", "stats", "channels", "samples", "trend", "recentFeedbackTexts")
+    nested = theme_sections(feedback).join(lists, "theme", "left")
+
+    def or_none(name):
+        """A theme of which no row is listed has an empty list."""
+        empty = F.array().cast(nested.schema[name].dataType)
+        return F.coalesce(name, empty).alias(name)
+
+    return nested.select(
+        "theme", "stats", "channels", or_none("samples"), "trend", or_none("recentFeedbackTexts")
     )
 
 

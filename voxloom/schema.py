@@ -78,7 +78,6 @@ RECORD_PAYLOAD = T.StructType(
 SENTIMENTS = ["positive", "neutral", "negative"]
 URGENCIES = ["critical", "high", "medium", "low"]
 URGENT = ["critical", "high"]
-VALUE_SCORES = ["high", "medium", "low"]
 THEMES = [
     "performance",
     "pricing",
@@ -98,5 +97,6 @@ FEEDBACK_DEFAULTS = {
     "analyzed": 0,
 }
 FEEDBACK_REQUIRED = ["channel", "content"]
+RECORD_REQUIRED = ["text", "source"]
 DAILY_METRICS_REQUIRED = ["metric_date", "theme"]
 DAILY_METRICS_KEY = ["metric_date", "theme"]

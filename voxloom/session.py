@@ -11,11 +11,13 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # A repeated key in a JSON object counts once, with its last value.
-    "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
 
+#: Scratch folders of sessions in one process that name none, by application.
+OWN_ROOTS = {}
+
+
 def build_session(app_name="voxloom", master=None, **extra):
     """A session with this package's settings; ``extra`` keys win."""
     builder = SparkSession.builder.appName(app_name)
@@ -29,15 +31,41 @@ def build_session(app_name="voxloom", master=None, **extra):
 def scratch_root(spark):
     """The shared folder that ``spark.checkpoint.dir`` names.
 
-    Only a local-mode session without that setting gets a temporary folder:
-    a folder on one machine is useless to the other machines of a cluster.
+    Only a session in one process may lack the setting; it then gets one
+    temporary folder. On a cluster the setting is a must: a folder on one machine
+    is useless to the others.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
-        return tempfile.mkdtemp(prefix="voxloom-")
-    raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
+    if not in_one_process(spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
+    application = spark.sparkContext.applicationId
+    if application not in OWN_ROOTS:
+        OWN_ROOTS[application] = tempfile.mkdtemp(prefix="voxloom-")
+    return OWN_ROOTS[application]
+
+
+def in_one_process(master):
+    """True for ``local`` and ``local[...]``, but not for ``local-cluster[...]``."""
+    return master == "local" or master.startswith("local[")
+
+
+def file_system(spark, path):
+    """The Hadoop file system of a path, and the path in its form."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop_path
+
+
+def path_exists(spark, path):
+    system, hadoop_path = file_system(spark, path)
+    return system.exists(hadoop_path)
+
+
+def remove_folder(spark, path):
+    """Delete a folder with all in it; none is fine."""
+    system, hadoop_path = file_system(spark, path)
+    system.delete(hadoop_path, True)
 
 
 def scratch_path(spark, name):

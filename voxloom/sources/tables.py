@@ -5,9 +5,13 @@ from pyspark.sql import types as T
 
 from voxloom.functions.json_text import parse_label_array, strict_variant
 from voxloom.functions.measures import day_of
-from voxloom.schema import DAILY_METRICS, FEEDBACK, MULTILABEL
+from voxloom.schema import DAILY_METRICS, DAILY_METRICS_REQUIRED, FEEDBACK, MULTILABEL
+from voxloom.session import remove_folder, stored
+from voxloom.sources.ingest import split_required
 
-FEEDBACK_BY_DAY = T.StructType([*FEEDBACK, T.StructField("created_date", T.DateType())])
+DAY = T.StructField("created_date", T.DateType())
+FEEDBACK_BY_DAY = T.StructType([*FEEDBACK, DAY])
+MULTILABEL_BY_DAY = T.StructType([*MULTILABEL, DAY])
 
 
 def scan_feedback(spark, path, by_day=False):
@@ -15,9 +19,9 @@ def scan_feedback(spark, path, by_day=False):
     return spark.read.schema(FEEDBACK_BY_DAY if by_day else FEEDBACK).parquet(path)
 
 
-def scan_multilabel(spark, path):
+def scan_multilabel(spark, path, by_day=False):
     """The multi-label table, its labels also as an array."""
-    rows = spark.read.schema(MULTILABEL).parquet(path)
+    rows = spark.read.schema(MULTILABEL_BY_DAY if by_day else MULTILABEL).parquet(path)
     return with_label_array(rows)
 
 
@@ -42,24 +46,41 @@ def append_table(rows, path):
 
 
 def load_rollup(rollup, path):
-    """Append rollup rows, one folder per date."""
-    rollup.hint("rebalance", "metric_date").write.mode("append").partitionBy(
+    """Append rollup rows, one folder per date; gives back those that lack a date or theme."""
+    accepted, rejected = split_required(rollup, DAILY_METRICS_REQUIRED)
+    accepted.hint("rebalance", "metric_date").write.mode("append").partitionBy(
         "metric_date"
     ).parquet(path)
+    return rejected
 
 
-def overwrite_dates(rollup, path):
-    """Replace the dates that occur in ``rollup`` and leave the others alone."""
+def overwrite_dates(rollup, path, dates=None):
+    """Replace the dates that occur in ``rollup`` and leave the others alone.
+
+    Of the ``dates`` (``metric_date``) given, those without a row are emptied.
+    Running it again after a failure does the rest. Gives back the rows that
+    lack a date or theme.
+    """
+    accepted, rejected = split_required(rollup, DAILY_METRICS_REQUIRED)
+    if dates is not None:
+        accepted = stored(accepted, "rollup")
     (
-        rollup.hint("rebalance", "metric_date")
+        accepted.hint("rebalance", "metric_date")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("metric_date")
         .parquet(path)
     )
+    if dates is not None:
+        known = dates.select("metric_date").filter(F.col("metric_date").isNotNull()).distinct()
+        emptied = known.join(accepted, "metric_date", "left_anti")
+        # Calendar days: 3.7 million at most.
+        for (day,) in emptied.collect():
+            remove_folder(rollup.sparkSession, f"{path}/metric_date={day}")
+    return rejected
 
 
-def write_by_day(feedback, path):
+def write_by_day(feedback, path, order=("theme", "sentiment", "channel")):
     """Store feedback in one folder per day, sorted for min/max pruning.
 
     The rebalance hint gives each day files of a sensible size: it splits a
@@ -68,7 +89,7 @@ def write_by_day(feedback, path):
     (
         feedback.withColumn("created_date", day_of(F.col("created_at")))
         .hint("rebalance", "created_date")
-        .sortWithinPartitions("created_date", "theme", "sentiment", "channel")
+        .sortWithinPartitions("created_date", *order)
         .write.mode("append")
         .partitionBy("created_date")
         .parquet(path)

@@ -1,5 +1,7 @@
 """Keeping the daily rollup current, and ingesting feedback as it arrives."""
 
+import json
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -7,29 +9,41 @@ from voxloom.operators.enrich import ingest_enriched
 from voxloom.operators.filters import analyzed_only
 from voxloom.operators.rollup import (
     dedupe_daily,
+    parts_of_rollup,
     rollup_measures,
     rollup_parts,
     rollup_theme,
     sum_of_parts,
+    sums_of_parts,
 )
 from voxloom.schema import DAILY_METRICS, DAILY_METRICS_KEY
-from voxloom.sources.ingest import split_required
-from voxloom.sources.tables import overwrite_dates
+from voxloom.session import path_exists, remove_folder, stored
+from voxloom.sources.ingest import ingest_records
+from voxloom.sources.tables import overwrite_dates, scan_daily_metrics
 
 SECONDS_PER_DAY = 86400
-BATCH_ID = T.StructField("batch_id", T.LongType())
+BATCH = [T.StructField("run", T.StringType()), T.StructField("batch_id", T.LongType())]
+BATCH_KEY = ["run", "batch_id"]
 COUNTERS = [f for f in DAILY_METRICS if f.dataType == T.LongType()]
 KEY = [f for f in DAILY_METRICS if f.name in DAILY_METRICS_KEY]
-PARTS_LOG = T.StructType(
+PARTS = T.StructType(
     [
         *KEY,
         *COUNTERS,
         T.StructField("score_sum", T.DoubleType()),
         T.StructField("score_count", T.LongType()),
-        BATCH_ID,
     ]
 )
-UPDATES_LOG = T.StructType([*DAILY_METRICS, BATCH_ID])
+COVERS = T.StructType([*BATCH, T.StructField("base", T.StringType())])
+
+
+def run_id(spark, checkpoint):
+    """The id that a stream keeps in its checkpoint, through restarts."""
+    return json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
+
+
+def batch_folder(log_path, run, batch_id):
+    return f"{log_path}/run={run}/batch_id={batch_id}"
 
 
 def log_batches(stream, log_path, checkpoint, prepare, trigger):
@@ -37,11 +51,13 @@ def log_batches(stream, log_path, checkpoint, prepare, trigger):
 
     A batch that runs again after a failure rewrites its folder with the same
     rows, and no batch touches what others wrote, so losing an executor or the
-    driver half-way leaves the log right.
+    driver half-way leaves the log right. Another checkpoint is another run with
+    folders of its own.
     """
 
     def write_batch(batch, batch_id):
-        prepare(batch).write.mode("overwrite").parquet(f"{log_path}/batch_id={batch_id}")
+        run = run_id(batch.sparkSession, checkpoint)
+        prepare(batch).write.mode("overwrite").parquet(batch_folder(log_path, run, batch_id))
 
     return (
         stream.foreachBatch(write_batch)
@@ -59,14 +75,102 @@ def stream_daily_rollup(feedback, log_path, checkpoint, **trigger):
     return log_batches(feedback.writeStream, log_path, checkpoint, rollup_parts, trigger)
 
 
+def rows_or_none(spark, schema, path):
+    """A Parquet table that may not be there yet."""
+    if path_exists(spark, path):
+        return spark.read.schema(schema).parquet(path)
+    return spark.createDataFrame([], schema)
+
+
+def published(spark, log_path):
+    """The batches whose rows the daily metrics table already holds."""
+    return rows_or_none(spark, T.StructType(BATCH), f"{log_path}.published").distinct()
+
+
+def mark_published(batches, log_path):
+    batches.select(*BATCH_KEY).write.mode("append").parquet(f"{log_path}.published")
+
+
+def parts_log(spark, log_path):
+    """All logged parts that count: not those folded into a base, nor an unfinished base."""
+    rows = rows_or_none(spark, T.StructType([*PARTS, *BATCH]), log_path)
+    covers = rows_or_none(spark, COVERS, f"{log_path}.covers")
+    bases = covers.select(F.col("base").alias("run")).distinct()
+    is_base = F.col("run").startswith("base-")
+    counted = rows.join(covers.select(*BATCH_KEY).distinct(), BATCH_KEY, "left_anti")
+    return counted.filter(~is_base).unionByName(
+        counted.filter(is_base).join(bases, "run", "left_semi").select(*counted.columns)
+    )
+
+
 def current_rollup(spark, log_path):
     """The daily rollup of all batches logged so far."""
-    return sum_of_parts(spark.read.schema(PARTS_LOG).parquet(log_path))
+    return sum_of_parts(parts_log(spark, log_path))
+
+
+def log_loaded(feedback, log_path, name):
+    """Tell the log about rows whose counts were loaded into the table by batch.
+
+    Doing it again under the same name replaces what the name stood for.
+    """
+    spark = feedback.sparkSession
+    parts = rollup_parts(feedback)
+    parts.write.mode("overwrite").parquet(batch_folder(log_path, f"loaded-{name}", 0))
+    mark_published(one_batch(spark, f"loaded-{name}"), log_path)
+
+
+def one_batch(spark, run, batch_id=0):
+    return spark.createDataFrame([(run, batch_id)], T.StructType(BATCH))
 
 
 def publish_rollup(spark, log_path, table_path):
-    """Bring the daily metrics table up to the log."""
-    overwrite_dates(current_rollup(spark, log_path), table_path)
+    """Bring the days of the batches not yet published up to the log.
+
+    Counts that the table holds for such a day, and that the log knows nothing
+    of, are taken into the log first, so nothing stored is lost; their mean is
+    as exact as the table has it (``log_loaded`` is exact). Running it again
+    after a failure at any point does the rest. One publisher at a time.
+    """
+    log, done = parts_log(spark, log_path), published(spark, log_path)
+    dated = log.filter(F.col("metric_date").isNotNull())
+    fresh = stored(
+        log.select(*BATCH_KEY).distinct().join(done, BATCH_KEY, "left_anti"), "fresh"
+    )
+    touched = stored(
+        dated.join(fresh, BATCH_KEY, "left_semi").select("metric_date").distinct(), "touched"
+    )
+    if path_exists(spark, table_path):
+        known = dated.join(done, BATCH_KEY, "left_semi").select("metric_date").distinct()
+        unknown = touched.join(known, "metric_date", "left_anti")
+        held = scan_daily_metrics(spark, table_path).join(unknown, "metric_date", "left_semi")
+        parts = stored(parts_of_rollup(held), "held")
+        if not parts.isEmpty():
+            number = done.filter(F.col("run") == "table").count()
+            parts.write.mode("overwrite").parquet(batch_folder(log_path, "table", number))
+            mark_published(one_batch(spark, "table", number), log_path)
+    everything = parts_log(spark, log_path).join(touched, "metric_date", "left_semi")
+    overwrite_dates(sum_of_parts(everything), table_path)
+    mark_published(fresh, log_path)
+
+
+def compact_log(spark, log_path):
+    """Fold all published batches of a log into one, and remove their folders.
+
+    The new base counts from the moment its list of batches is written. Not
+    while ``publish_rollup`` runs; the stream may go on.
+    """
+    done = published(spark, log_path)
+    log = parts_log(spark, log_path)
+    batches = stored(log.select(*BATCH_KEY).distinct().join(done, BATCH_KEY, "left_semi"), "fold")
+    number = done.filter(F.col("run").startswith("base-")).select("run").distinct().count()
+    base = f"base-{number}"
+    folded = log.join(batches, BATCH_KEY, "left_semi").drop(*BATCH_KEY)
+    sums_of_parts(folded).write.mode("overwrite").parquet(batch_folder(log_path, base, 0))
+    mark_published(one_batch(spark, base), log_path)
+    batches.withColumn("base", F.lit(base)).write.mode("append").parquet(f"{log_path}.covers")
+    # The folders' names, not their rows.
+    for run, batch_id in batches.toLocalIterator():
+        remove_folder(spark, batch_folder(log_path, run, batch_id))
 
 
 def as_utc(created_at):
@@ -78,56 +182,81 @@ def utc_date(instant):
     return F.date_from_unix_date(F.floor(F.unix_seconds(instant) / SECONDS_PER_DAY).cast("int"))
 
 
-def rollup_updates(feedback, delay="1 day"):
+def rollup_updates(feedback, delay=None):
     """The rollup of a feedback stream, as rows that replace earlier ones."""
+    rows = analyzed_only(feedback).withColumn("event_time", as_utc(F.col("created_at")))
+    if delay:
+        rows = rows.withWatermark("event_time", delay)
     return (
-        analyzed_only(feedback)
-        .withColumn("event_time", as_utc(F.col("created_at")))
-        .withWatermark("event_time", delay)
-        .groupBy(F.window("event_time", "1 day").alias("day"), rollup_theme())
+        rows.groupBy(F.window("event_time", "1 day").alias("day"), rollup_theme())
         .agg(*rollup_measures())
         .withColumn("metric_date", utc_date(F.col("day.start")))
         .select(*DAILY_METRICS.names)
     )
 
 
-def stream_rollup_updates(feedback, log_path, checkpoint, delay="1 day", **trigger):
+def stream_rollup_updates(feedback, log_path, checkpoint, delay=None, **trigger):
     """Log the whole new row of each date and theme a batch changed.
 
-    For consumers that want finished rows as they change. The watermark bounds
-    the state: rows more than ``delay`` behind the newest one are not counted,
-    which ``stream_daily_rollup`` or a batch upsert has to make up for.
+    For consumers that want finished rows as they change. The state keeps one row
+    per date and theme, so no row comes too late. With a ``delay`` a watermark
+    bounds the state and rows later than that are not counted.
     """
     updates = rollup_updates(feedback, delay).writeStream.outputMode("update")
     return log_batches(updates, log_path, checkpoint, lambda changed: changed, trigger)
 
 
-def latest_updates(spark, log_path):
-    """The newest logged row of each date and theme."""
-    return dedupe_daily(spark.read.schema(UPDATES_LOG).parquet(log_path), "batch_id")
+def latest_updates(spark, log_path, run=None):
+    """The newest logged row of each date and theme, of the only run or the one named."""
+    log = spark.read.schema(T.StructType([*DAILY_METRICS, *BATCH])).parquet(log_path)
+    runs = [run] if run else [row["run"] for row in log.select("run").distinct().take(2)]
+    if len(runs) > 1:
+        raise ValueError("the log holds several runs; name one")
+    return dedupe_daily(log.filter(F.col("run").isin(runs)).drop("run"), "batch_id")
+
+
+def stream_ingest(records, path, checkpoint, enrich=ingest_enriched, **trigger):
+    """Label and store records as they arrive; rows without text or source are set aside.
 
+    One query reads each batch once and writes it to a folder of its own, accepted
+    and refused rows side by side; a batch that runs again rewrites it. Accepted
+    rows without an ``id`` get the numbers after those of all earlier batches.
+    ``ingested`` and ``refused`` read the table.
+    """
+
+    def write_batch(batch, batch_id):
+        spark = batch.sparkSession
+        batch = batch.persist()
+        rows, rejected = ingest_records(batch, earlier_ids(spark, path, batch_id), enrich)
+        tagged = rows.withColumns(
+            {"missing": F.array().cast("array<string>"), "accepted": F.lit(True)}
+        ).unionByName(rejected.withColumn("accepted", F.lit(False)), allowMissingColumns=True)
+        tagged.write.mode("overwrite").partitionBy("accepted").parquet(
+            f"{path}/batch_id={batch_id}"
+        )
+        batch.unpersist()
 
-def append_stream(rows, path, checkpoint, trigger):
     return (
-        rows.writeStream.format("parquet")
-        .outputMode("append")
-        .option("path", path)
+        records.writeStream.foreachBatch(write_batch)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
 
 
-def stream_ingest(
-    records, accepted_path, rejected_path, checkpoint, enrich=ingest_enriched, **trigger
-):
-    """Label and store records as they arrive; rows without text or source are set aside.
+def earlier_ids(spark, path, batch_id):
+    """Ids of the batches before one."""
+    schema = "id bigint, batch_id bigint"
+    return rows_or_none(spark, schema, path).filter(F.col("batch_id") < batch_id)
 
-    Two appending queries, each with its own checkpoint: the file sink commits
-    every batch once.
-    """
-    accepted, rejected = split_required(records, ["text", "source"])
-    return [
-        append_stream(enrich(accepted), accepted_path, f"{checkpoint}/accepted", trigger),
-        append_stream(rejected, rejected_path, f"{checkpoint}/rejected", trigger),
-    ]
+
+def ingested(spark, path):
+    """Accepted rows of ``stream_ingest``."""
+    rows = spark.read.parquet(path).filter(F.col("accepted") == "true")
+    return rows.drop("accepted", "batch_id", "missing")
+
+
+def refused(spark, path):
+    """Refused rows of ``stream_ingest`` with what they lack."""
+    rows = spark.read.parquet(path).filter(F.col("accepted") == "false")
+    return rows.drop("accepted", "batch_id")
