@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from voxloom.llm.shared import byte_list, whole_words
 
-ORDER, PRIOR = 2, 200.0
+ORDER, PRIOR = 2, 1000.0
 #: Bytes of text per shard and per hash group, about, and the fewest of both.
 SHARD_BYTES, FEWEST = 8 << 20, 8
 #: Keys of the end of a text and of what is before its start.
