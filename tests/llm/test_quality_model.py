@@ -114,5 +114,6 @@ def test_edge_rows(make_docs, spark):
 
 def test_the_sample_is_bounded(given_docs, spark):
     labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
-    sample = quality_model.training_sample(given_docs, labels, F.lit(True), 20, 2000).collect()
+    known = quality_model.labelled(given_docs, labels, F.lit(True))
+    sample = quality_model.training_sample(given_docs, known, 20, 2000).collect()
     assert len(sample) <= 20 and max(len(r.text.encode()) for r in sample) <= 2000

@@ -20,8 +20,7 @@ order; repeated rows are judged each; an empty table gives an empty result.
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voxloom.llm.shared import byte_list
-from voxloom.operators.topk import top_k_per_group
+from voxloom.llm.shared import byte_list, first_by_hash
 from voxloom.session import stored
 
 ORDER = 3
@@ -208,17 +207,17 @@ class Identifier:
 
 
 def training_sample(docs, training, texts=SAMPLE_TEXTS, most_bytes=SAMPLE_BYTES):
-    """At most ``texts`` short enough texts of each language, by the hash of their ids.
+    """At most ``texts`` texts of each language, by the hash of their ids, less the too long ones.
 
     They are chosen by id and language alone; only the chosen ones' texts move.
     Rows without id are not learned from.
     """
-    known = training & F.col("lang").isNotNull() & (F.octet_length("text") <= most_bytes)
-    ids = docs.filter(known & F.col("doc_id").isNotNull()).select("doc_id", "lang").distinct()
-    order = [F.md5(F.col("doc_id").cast("string")), "doc_id"]
-    chosen = stored(top_k_per_group(ids, ["lang"], order, texts), "sample")
+    known = training & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()
+    ids = docs.filter(known).select("doc_id", "lang").distinct()
+    chosen = stored(first_by_hash(ids, "lang", texts), "sample")
+    short = known & (F.octet_length("text") <= most_bytes)
     # At most ``texts`` rows per language.
-    found = docs.filter(known).join(F.broadcast(chosen), ["doc_id", "lang"])
+    found = docs.filter(short).join(F.broadcast(chosen), ["doc_id", "lang"])
     return found.groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
 
 

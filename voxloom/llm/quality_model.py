@@ -21,8 +21,7 @@ each; an empty table gives an empty result.
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voxloom.llm.shared import byte_list
-from voxloom.operators.topk import top_k_per_group
+from voxloom.llm.shared import byte_list, first_by_hash
 from voxloom.session import stored
 
 WIDTH, FILTERS, EMBEDDED, HIDDEN = 4, 16, 8, 16
@@ -231,26 +230,26 @@ def labelled(docs, labels, training):
     marked = labels.filter(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(
         F.min("quality").alias("__label")
     )
-    return docs.filter(training).join(marked, "doc_id")
+    return docs.select("doc_id").filter(training).join(marked, "doc_id")
 
 
-def training_sample(docs, labels, training, texts=SAMPLE_TEXTS, most_bytes=SAMPLE_BYTES):
-    """(text, label) of at most ``texts`` documents, half of each label if there are as many.
+def training_sample(docs, known, texts=SAMPLE_TEXTS, most_bytes=SAMPLE_BYTES):
+    """(text, label) of at most ``texts`` of the ``known`` documents, less the too long ones.
 
-    They are chosen by id alone; only the chosen ones' texts move.
+    Half of them are of each label if there are as many. They are chosen by id
+    alone; only the chosen ones' texts move.
     """
-    short = docs.filter(F.octet_length("text") <= most_bytes).select("doc_id")
-    known = labelled(short, labels, training).distinct()
-    order = [F.md5(F.col("doc_id").cast("string")), "doc_id"]
-    chosen = stored(top_k_per_group(known, ["__label"], order, texts // 2), "sample")
+    chosen = stored(first_by_hash(known.distinct(), "__label", texts // 2), "sample")
+    short = docs.select("doc_id", "text").filter(F.octet_length("text") <= most_bytes)
     # At most ``texts`` rows.
-    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    found = short.join(F.broadcast(chosen), "doc_id")
     return found.groupBy("doc_id", "__label").agg(F.min("text").alias("text"))
 
 
 def learn(docs, labels, training, **given):
     """A trained network, or the share of label 1 where only one label was seen."""
-    sample = training_sample(docs, labels, training, **given).toArrow().combine_chunks()
+    known = stored(labelled(docs, labels, training), "labelled")
+    sample = training_sample(docs, known, **given).toArrow().combine_chunks()
     texts = [t for chunk in sample.column("text").chunks for t in byte_list(chunk)]
     marks = sample.column("__label").to_pylist()
     if len(set(marks)) < 2:
@@ -258,7 +257,6 @@ def learn(docs, labels, training, **given):
     # Rows come in any order; training must not depend on it.
     pairs = sorted(zip(texts, marks, strict=True))
     network = Network.initial().fit([t for t, _ in pairs], [m for _, m in pairs])
-    known = labelled(docs.select("doc_id"), labels, training)
     real = known.agg(F.avg("__label")).first()[0]
     return network.with_shares(sum(marks) / len(marks), real)
 

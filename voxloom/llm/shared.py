@@ -1,5 +1,6 @@
-"""What several operators share: words, table reading, remainders of ids."""
+"""What several operators share: words, table reading, remainders and samples of ids."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -15,6 +16,35 @@ def id_remainder(column, divisor):
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))), F.lit(divisor))
 
 
+def first_by_hash(rows, key, k):
+    """The ``k`` rows of each key whose ``doc_id`` has the smallest MD5.
+
+    Rows are distinct (``doc_id``, ``key``) pairs. They are counted per key and
+    first digits of the hash; only those up to the digits that hold the k-th row
+    meet in a window, however many rows a key has.
+    """
+    hashed = rows.withColumn("__hash", F.md5(F.col("doc_id").cast("string"))).withColumn(
+        "__digits", F.substring("__hash", 1, 3)
+    )
+    counts = hashed.groupBy(key, "__digits").agg(F.count("*").alias("__rows"))
+    before = Window.partitionBy(key).orderBy("__digits").rowsBetween(
+        Window.unboundedPreceding, -1
+    )
+    needed = counts.withColumn("__before", F.coalesce(F.sum("__rows").over(before), F.lit(0)))
+    last = needed.filter(F.col("__before") < k).groupBy(key).agg(
+        F.max("__digits").alias("__last")
+    )
+    place = F.row_number().over(Window.partitionBy(key).orderBy("__hash", "doc_id"))
+    # One row per key.
+    return (
+        hashed.join(F.broadcast(last), key)
+        .filter(F.col("__digits") <= F.col("__last"))
+        .withColumn("__place", place)
+        .filter(F.col("__place") <= k)
+        .select(*rows.columns)
+    )
+
+
 def byte_list(column):
     """An Arrow string column as a list of UTF-8 bytes; NULL becomes empty."""
     import pyarrow as pa
