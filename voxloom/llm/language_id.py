@@ -272,7 +272,8 @@ def identify(docs, training, keep=("doc_id",), **given):
                 )
 
     fields = [T.StructField(name, docs.schema[name].dataType) for name in keep]
-    fields += [T.StructField("__lang_pred", T.StringType()), T.StructField("__score", T.DoubleType())]
+    fields.append(T.StructField("__lang_pred", T.StringType()))
+    fields.append(T.StructField("__score", T.DoubleType()))
     return asked.mapInArrow(run, T.StructType(fields))
 
 
