@@ -108,7 +108,8 @@ def listed_day(feedback):
 
 def with_whole_rows(feedback, chosen, *added):
     """The rows of a short list of ids, which are unique, with the list's own columns."""
-    return fetch_rows(feedback, stored(chosen.select("id", *added, *listed_day(feedback)), "listed"))
+    listed = chosen.select("id", *added, *listed_day(feedback))
+    return fetch_rows(feedback, stored(listed, "listed"))
 
 
 def most_urgent_of_themes(narrow, k=10):
