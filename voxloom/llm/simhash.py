@@ -3,12 +3,13 @@
 Two fingerprints at most ``radius`` bits apart have a value in the middle, half
 the radius from each. Every distinct fingerprint emits all variants within half
 the radius; fingerprints that share a variant collide. Variants are dealt to
-groups by a linear code of their bits. As the code of a variant is that of its
-fingerprint combined with that of the flipped bits, a fingerprint is sent once
-to every group that one of its variants falls into, and the group's task makes
-just those variants, a part at a time. That is the shuffle on variants, combined
-before it: a fingerprint moves as often as there are groups (64 up to about 33
-million fingerprints, twice that up to 66 million, and so on; 2,081 at most).
+groups by the parities of b blocks of their bits. Flipping two bits turns two
+parities at most, so the 2,081 variants of a fingerprint (radius 4) fall into
+1 + b + b(b - 1)/2 of the 2**b groups. A fingerprint is sent once to each of
+these, and the group's task makes just the variants that belong there. That is
+the shuffle on variants, combined before it: with as many groups as bound the
+variants of one, a fingerprint moves 22 times if there are a hundred thousand of
+them, 92 times at ten million and 301 times at twenty billion.
 
 Colliding fingerprints are linked to the first of their variant, not all with
 all: what shares a variant is within the radius by the triangle inequality.
@@ -20,6 +21,7 @@ component has a NULL id if no other row is in it; an empty table gives an empty
 result.
 """
 
+import math
 from itertools import combinations
 
 from pyspark.sql import Window
@@ -30,9 +32,9 @@ from voxloom.llm.shared import byte_list, whole_words
 from voxloom.session import stored
 
 SHINGLE_WORDS, RADIUS, SEED = 4, 4, 42
-#: Variants that a group has at most, about, and that its task makes at once;
-#: the fewest groups.
-PER_GROUP, PER_PART, FEWEST_GROUPS = 1 << 30, 1 << 21, 64
+#: Variants that a group has about, and that its task makes at once; the fewest
+#: groups and the most blocks.
+PER_GROUP, PER_PART, FEWEST_GROUPS, MOST_BLOCKS = 1 << 22, 1 << 22, 64, 24
 HASHES_AT_ONCE = 1 << 16
 NO_ID = 2**63 - 1
 
@@ -95,53 +97,59 @@ def with_fingerprints(docs, keep, shingle=SHINGLE_WORDS, seed=SEED):
 
 
 class Variants:
-    """All ways to flip at most half the radius of 64 bits, by the group they lead to."""
+    """All ways to flip at most half the radius of 64 bits, by the group they lead to.
 
-    def __init__(self, radius, code_bits):
+    A group is named by the parities of ``blocks`` blocks of bits, the first the
+    lowest; ``more`` blocks that cut across these divide every group further.
+    """
+
+    def __init__(self, radius, blocks, more=0):
         import numpy as np
 
         self.radius, self.inner = radius, radius // 2
-        mask = np.uint64((1 << code_bits) - 1)
-        # A fixed pseudo-random code per bit: odd multiples of a 64-bit constant, upper part.
-        steps = np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        self.codes = ((steps ^ (steps >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> (
-            np.uint64(32)
-        ) & mask
-        flips, codes, weights = [], [], []
-        for weight in range((radius + 1) // 2 + 1):
-            for bits in combinations(range(64), weight):
-                flips.append(sum(1 << bit for bit in bits))
-                codes.append(int(np.bitwise_xor.reduce(self.codes[list(bits)])) if bits else 0)
-                weights.append(weight)
-        self.flips = np.array(flips, np.uint64)
-        self.flip_codes = np.array(codes, np.int64)
-        self.weights = np.array(weights)
-        self.reached = np.unique(self.flip_codes)
+        members = [[bit for bit in range(64) if bit % blocks == n] for n in range(blocks)]
+        members += [[bit for bit in range(64) if bit // blocks % more == n] for n in range(more)]
+        self.masks = [np.uint64(sum(1 << bit for bit in block)) for block in members]
+        flips = [bits for n in range((radius + 1) // 2 + 1) for bits in combinations(range(64), n)]
+        values = np.array([sum(1 << bit for bit in bits) for bits in flips], np.uint64)
+        codes = self.code(values)
+        order = np.argsort(codes, kind="stable")
+        self.flips = values[order]
+        self.is_inner = np.array([len(bits) for bits in flips])[order] <= self.inner
+        # The flips from ``edges[n]`` to ``edges[n + 1]`` turn the parities ``reached[n]``.
+        self.reached, first = np.unique(codes[order], return_index=True)
+        self.edges = np.r_[first, len(flips)]
 
     def code(self, values):
-        """The linear code of each value: the codes of its bits combined."""
+        """The parities of each value's blocks, as a number; flips combine by exclusive or."""
+        import numpy as np
+
+        result = np.zeros(len(values), np.int64)
+        for place, mask in enumerate(self.masks):
+            result |= (np.bitwise_count(values & mask) & 1).astype(np.int64) << place
+        return result
+
+    def spans(self, codes, group):
+        """Per entry of ``reached``, where in sorted codes those lie that it turns into ``group``."""
         import numpy as np
 
-        result = np.zeros(len(values), np.uint64)
-        for bit in range(64):
-            on = (values >> np.uint64(bit)) & np.uint64(1)
-            result ^= on * self.codes[bit]
-        return result.astype(np.int64)
+        wanted = self.reached ^ group
+        return np.searchsorted(codes, wanted), np.searchsorted(codes, wanted, "right")
+
+    def of_group(self, values, order, codes, group):
+        """(variants, index of the fingerprint, whether within the inner half) of one group.
 
-    def of_group(self, values, group):
-        """(variants, index of the fingerprint, whether within the inner half) of one group."""
+        ``order`` sorts the values by their ``codes``, which are given sorted.
+        """
         import numpy as np
 
-        codes, parts = self.code(values), []
-        for code in np.unique(codes):
-            rows = np.flatnonzero(codes == code)
-            chosen = np.flatnonzero(self.flip_codes == (code ^ group))
-            if len(chosen):
+        parts = [(np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, bool))]
+        for n, (low, high) in enumerate(zip(*self.spans(codes, group), strict=True)):
+            if high > low:
+                rows, chosen = order[low:high], slice(self.edges[n], self.edges[n + 1])
                 made = values[rows][:, None] ^ self.flips[chosen][None, :]
-                inner = np.broadcast_to(self.weights[chosen] <= self.inner, made.shape)
-                parts.append((made.ravel(), np.repeat(rows, len(chosen)), inner.ravel()))
-        if not parts:
-            return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, bool)
+                inner = np.broadcast_to(self.is_inner[chosen], made.shape)
+                parts.append((made.ravel(), np.repeat(rows, made.shape[1]), inner.ravel()))
         return tuple(np.concatenate(columns) for columns in zip(*parts, strict=True))
 
 
@@ -163,33 +171,45 @@ def smallest_linked(left, right, count):
             return label
 
 
-def links_of_group(values, group, radius, code_bits, per_part=PER_PART):
+def links_of_group(values, group, radius, blocks, per_part=PER_PART):
     """Links within a group, as (fingerprint, smaller one) pairs.
 
-    More bits of the code cut the group into parts that are made one by one.
+    A group of many near values is cut by more parities into parts that are made
+    one by one.
     """
     import numpy as np
 
     values = np.unique(values.view(np.int64)).view(np.uint64)
-    variants, more = Variants(radius, code_bits), 0
-    while len(values) * len(variants.flips) / 2 ** (code_bits + more) > per_part:
+
+    def sorted_codes(variants):
+        codes = variants.code(values)
+        order = np.argsort(codes, kind="stable")
+        return order, codes[order]
+
+    variants, more = Variants(radius, blocks), 0
+    order, codes = sorted_codes(variants)
+    low, high = variants.spans(codes, group)
+    total = int(((high - low) * np.diff(variants.edges)).sum())
+    while total / 2**more > per_part and more < -(-64 // blocks):
         more += 1
     if more:
-        variants = Variants(radius, code_bits + more)
+        variants = Variants(radius, blocks, more)
+        order, codes = sorted_codes(variants)
     parts = [
-        links_of_part(values, group | part << code_bits, variants) for part in range(2**more)
+        links_of_part(values, order, codes, group | part << blocks, variants)
+        for part in range(2**more)
     ]
     return tuple(np.concatenate(column) for column in zip(*parts, strict=True))
 
 
-def links_of_part(values, group, variants):
+def links_of_part(values, order, codes, group, variants):
     """A spanning forest of the links within one part of a group."""
     import numpy as np
 
-    made, owner, inner = variants.of_group(values, group)
+    made, owner, inner = variants.of_group(values, order, codes, group)
     # A variant's first owner holds it within the inner half, if any does.
-    order = np.argsort(made, kind="stable") if inner.all() else np.lexsort((~inner, made))
-    made, owner, inner = made[order], owner[order], inner[order]
+    by = np.argsort(made, kind="stable") if inner.all() else np.lexsort((~inner, made))
+    made, owner, inner = made[by], owner[by], inner[by]
     starts = np.flatnonzero(np.r_[True, made[1:] != made[:-1]]) if len(made) else []
     if len(starts) == len(made):
         return values[:0], values[:0]
@@ -214,16 +234,14 @@ def near_links(prints, radius=RADIUS, per_group=PER_GROUP):
     """
     import pyarrow as pa
 
-    total = prints.count() * sum(1 for n in range((radius + 1) // 2 + 1)
-                                 for _ in combinations(range(64), n))
-    code_bits = 1
-    while (1 << code_bits) < max(FEWEST_GROUPS, total / per_group) and code_bits < 24:
-        code_bits += 1
+    variants = sum(math.comb(64, n) for n in range((radius + 1) // 2 + 1))
+    wanted = max(FEWEST_GROUPS, prints.count() * variants / per_group)
+    blocks = min(math.ceil(math.log2(wanted)), MOST_BLOCKS)
 
     def deal(batches):
         import numpy as np
 
-        variants = Variants(radius, code_bits)
+        variants = Variants(radius, blocks)
         for batch in batches:
             column = batch.column(0).to_numpy(zero_copy_only=False)
             for start in range(0, len(column), 4096):
@@ -242,7 +260,7 @@ def near_links(prints, radius=RADIUS, per_group=PER_GROUP):
         import numpy as np
 
         values = table.column("fingerprint").to_numpy().view(np.uint64)
-        nodes, roots = links_of_group(values, key[0].as_py(), radius, code_bits)
+        nodes, roots = links_of_group(values, key[0].as_py(), radius, blocks)
         return pa.table(
             {"node": pa.array(nodes.view(np.int64)), "root": pa.array(roots.view(np.int64))}
         )
