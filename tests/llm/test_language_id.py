@@ -111,3 +111,9 @@ def test_the_sample_is_bounded(given_docs):
     counts = {r.lang: r["count"] for r in sample.groupBy("lang").count().collect()}
     assert max(counts.values()) <= 5
     assert sample.agg(F.max(F.octet_length("text"))).first()[0] <= 2000
+
+
+def test_contexts_longer_than_scoring_looks_back_are_refused(given_docs):
+    for order in (-1, language_id.ORDER + 1):
+        with pytest.raises(ValueError):
+            language_id.learn(given_docs, F.lit(True), order)

@@ -127,3 +127,9 @@ def test_round_trips():
     assert (language_model.read_counts(language_model.write_counts(counts), len(counts)) == counts).all()
     edges = language_model.split_by_group(keys, 7)
     assert edges[0] == 0 and edges[-1] == len(keys) and (np.diff(edges) > 80).all()
+
+
+def test_shards_grow_with_the_root_of_the_input_within_bounds():
+    sizes = [language_model.shard_size(n) for n in (0, 10**9, 10**12 // 2, 10**14)]
+    assert sizes[0] == sizes[1] == language_model.LEAST_SHARD
+    assert language_model.LEAST_SHARD < sizes[2] < language_model.LARGEST_SHARD == sizes[3]

@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 from voxloom.llm.shared import byte_list, first_by_hash
 from voxloom.session import stored
 
+#: The most bytes of context; scoring looks back over three at most.
 ORDER = 3
 SAMPLE_TEXTS, SAMPLE_BYTES = 300, 1 << 16
 UNKNOWN = "und"
@@ -225,6 +226,9 @@ def learn(docs, training, order=ORDER, texts=SAMPLE_TEXTS, most_bytes=SAMPLE_BYT
     """Follower counts per language from the bounded sample: {language: rows}."""
     import pyarrow as pa
 
+    if not 0 <= order <= ORDER:
+        raise ValueError(f"order must be from 0 to {ORDER}")
+
     def count(key, table):
         given = [t for c in table.column("text").chunks for t in byte_list(c)]
         rows = follower_counts([text.lower() for text in given], order)

@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 from voxloom.llm.shared import byte_list, whole_words
 
 ORDER, PRIOR = 2, 1000.0
-#: Bytes of text per shard and per hash group, about, and the fewest of both.
-SHARD_BYTES, FEWEST = 8 << 20, 8
+#: Bytes of text per shard and per hash group, about, at least and at most, and
+#: the fewest of both; bytes of text for each pair of a shard and a group.
+LEAST_SHARD, LARGEST_SHARD, FEWEST, PAIR_BYTES = 8 << 20, 32 << 20, 8, 1 << 10
 #: Keys of the end of a text and of what is before its start.
 END, BEGIN = 1, 2
 MASK = (1 << 64) - 1
@@ -193,18 +194,29 @@ def read_counts(data, length):
     return counts
 
 
-def score(docs, training, order=ORDER, prior=PRIOR, shard_bytes=SHARD_BYTES):
+def shard_size(size):
+    """Bytes of text per shard for ``size`` bytes in all.
+
+    Every shard writes to every group, so shards grow with the square root of
+    the input, as far as a task's memory lets them: what a pair exchanges stays
+    worth a row.
+    """
+    return min(max(LEAST_SHARD, math.isqrt(PAIR_BYTES * size)), LARGEST_SHARD)
+
+
+def score(docs, training, order=ORDER, prior=PRIOR, shard_bytes=None):
     """Scores of every text under the model of those for which ``training`` holds.
 
     ``docs`` has ``doc_id`` and ``text``; ``training`` is a Boolean column over
     them. Gives ``doc_id``, ``training``, ``n_tokens``, ``n_known``,
-    ``train_tokens``, ``base_score`` and ``score``.
+    ``train_tokens``, ``base_score`` and ``score``. ``shard_bytes`` replaces
+    ``shard_size``.
     """
     import numpy as np
     import pyarrow as pa
 
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = groups = max(FEWEST, math.ceil(size / shard_bytes))
+    shards = groups = max(FEWEST, math.ceil(size / (shard_bytes or shard_size(size))))
     dealt = docs.select(
         "doc_id",
         "text",
