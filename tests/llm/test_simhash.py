@@ -140,6 +140,15 @@ def test_edge_rows(make_docs):
     assert simhash.one_of_each(docs.limit(0)).count() == 0
 
 
+def test_rows_of_one_id(make_docs):
+    docs = make_docs(
+        (6, "One two three"), (6, "one TWO three"), (6, "one TWO three"),
+        (6, "quite another text of five words"), (9, "ONE two three"), (4, None), (4, ""),
+    )
+    kept = [(r.doc_id, (r.text or "").lower()) for r in simhash.one_of_each(docs).collect()]
+    assert sorted(kept) == [(4, ""), (6, "one two three"), (6, "quite another text of five words")]
+
+
 def test_large_groups_of_copies_make_few_links(spark):
     # Values around one centre all share its variant: links stay fewer than values per group.
     centre = 0x123456789ABCDEF

@@ -326,45 +326,49 @@ def components(prints, radius=RADIUS, per_group=PER_GROUP):
     )
 
 
-def near_duplicates(docs, shingle=SHINGLE_WORDS, radius=RADIUS, seed=SEED):
-    """``doc_id``, ``__fingerprint``, ``component`` and ``component_id`` of every row."""
-    rows = with_fingerprints(docs, ["doc_id"], shingle, seed).withColumn(
-        "__id", F.coalesce("doc_id", F.lit(NO_ID))
-    )
+def text_key():
+    """Tells a row's text from others of its id."""
+    return F.xxhash64("text").alias("__text_key")
+
+
+def known_id():
+    return F.coalesce("doc_id", F.lit(NO_ID)).alias("__id")
+
+
+def classified(docs, shingle=SHINGLE_WORDS, radius=RADIUS, seed=SEED):
+    """``near_duplicates`` with ``__id`` and ``__text_key``, by which a row is found again."""
+    keyed = docs.select("doc_id", "text", known_id(), text_key())
+    rows = with_fingerprints(keyed, ["doc_id", "__id", "__text_key"], shingle, seed)
     rows = stored(rows, "fingerprints")
     prints = rows.groupBy(F.col("__fingerprint").alias("fingerprint")).agg(
         F.min("__id").alias("first_id")
     )
     found = stored(components(stored(prints, "prints"), radius), "components")
     return rows.join(found, F.col("__fingerprint") == F.col("fingerprint"), "left").select(
-        "doc_id",
-        "__fingerprint",
+        *rows.columns,
         "component",
         F.when(F.col("component_id") != NO_ID, F.col("component_id")).alias("component_id"),
     )
 
 
-def one_of_each(docs, shingle=SHINGLE_WORDS, radius=RADIUS, seed=SEED):
+def near_duplicates(docs, **given):
+    """``doc_id``, ``__fingerprint``, ``component`` and ``component_id`` of every row."""
+    return classified(docs, **given).drop("__id", "__text_key")
+
+
+def one_of_each(docs, **given):
     """Documents without near-duplicates: of each component the row of the smallest id.
 
     Returns the columns of ``docs``; rows with equal id and fingerprint count as one.
     """
-    found = near_duplicates(docs, shingle, radius, seed)
-    identity = F.struct(F.coalesce("doc_id", F.lit(NO_ID)), "__fingerprint").alias("row")
+    row = F.min(F.struct("__id", "__fingerprint", "__text_key")).alias("row")
     kept = (
-        found.groupBy("component")
-        .agg(F.min(identity).alias("row"))
-        .select(F.col("row.col1").alias("__id"), F.col("row.__fingerprint").alias("__kept"))
-    )
-    marked = with_fingerprints(docs, docs.columns, shingle, seed).withColumn(
-        "__id", F.coalesce("doc_id", F.lit(NO_ID))
+        classified(docs, **given).groupBy("component").agg(row).select("row.__id", "row.__text_key")
     )
+    keys = ["__id", "__text_key"]
     return (
-        marked.join(
-            stored(kept, "kept").withColumnRenamed("__kept", "__fingerprint"),
-            ["__id", "__fingerprint"],
-            "left_semi",
-        )
-        .dropDuplicates(["__id", "__fingerprint"])
+        docs.select("*", known_id(), text_key())
+        .join(stored(kept, "kept"), keys, "left_semi")
+        .dropDuplicates(keys)
         .select(*docs.columns)
     )
