@@ -98,6 +98,26 @@ def test_verdicts(make_docs):
     assert repeats.clean(docs.limit(0)).count() == 0
 
 
+def test_limits_hold_at_any_length(make_docs):
+    def text(name, n):
+        return " ".join(f"{name}{i}" for i in range(n))
+
+    def twice(rest, n):
+        return f"{text('again', n)} {text('once', rest)} {text('again', n)}"
+
+    docs = make_docs(
+        # Repeats of 14.5 %, 13 % and 0.5 % of the text: longer than a text of any length may hold.
+        (1, twice(14_200, 2_900)), (2, twice(2_200, 400)), (3, twice(19_798, 101)),
+        # As long as is allowed, in a long text and a short one.
+        (4, twice(19_800, 100)), (5, twice(470, 100)),
+        # 35 % and 25 % covered.
+        (6, twice(130, 35)), (7, twice(150, 25)),
+    )
+    rows = {r.doc_id: r for r in repeats.judge(docs).collect()}
+    assert not any(row["__base_failed"] for row in rows.values())
+    assert {i for i, row in rows.items() if row["__kept"]} == {4, 5, 7}
+
+
 def test_given_documents(given_docs, texts):
     short = [d for d, t in texts.items() if len(t) < 1500][:60]
     for row in repeats.judge(given_docs).collect():

@@ -20,8 +20,10 @@ from voxloom.llm.shared import byte_list
 #: A repeated passage has at least this many words.
 MIN_REPEAT = 8
 #: A text fails if repeated passages cover more of its words than this, or if
-#: the longest one is longer than this many words and this part of the text.
-MOST_COVERED, LONGEST_REPEAT, LONGEST_SHARE = 0.40, 100, 0.15
+#: the longest one is longer than this many words, however long the text is.
+MOST_COVERED, LONGEST_REPEAT = 0.30, 100
+#: The part of a text up to which a longer repeat would be let pass: none.
+LONGEST_SHARE = 0
 #: Base rules: fewest words, and the largest percentage of words in repeated windows.
 MIN_WORDS, WINDOW, MOST_WINDOW_PERCENT = 50, 3, 50
 #: Words whose suffixes are sorted at once; a longer text is sorted alone.
