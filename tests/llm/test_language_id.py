@@ -1,3 +1,4 @@
+import hashlib
 import math
 import zlib
 
@@ -113,6 +114,25 @@ def test_the_sample_is_bounded(given_docs):
     assert sample.agg(F.max(F.octet_length("text"))).first()[0] <= 2000
 
 
+def test_long_and_missing_texts_leave_no_language_unlearned(make_docs):
+    by_hash = sorted(range(20), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
+    rows = [(i, None if n < 10 else "the cat and the dog", "en") for n, i in enumerate(by_hash)]
+    rows += [(30 + i, f"{i} là été " * 9, "fr") for i in range(4)]
+    docs = make_docs(*rows)
+    for most_bytes in range(40, 45):
+        sample = language_id.training_sample(docs, F.lit(True), 3, most_bytes).collect()
+        assert sorted(r.lang for r in sample) == ["en"] * 3 + ["fr"] * 3
+        assert {r.doc_id for r in sample if r.lang == "en"} == set(by_hash[10:13])
+        for row in sample:
+            if row.lang == "fr":
+                whole = f"{row.doc_id - 30} là été " * 9
+                assert row.text == whole.encode()[:most_bytes].decode("utf-8", "ignore")
+    found = language_id.identify(docs, F.lit(True), texts=3, most_bytes=40).collect()
+    assert {r.doc_id: r["__lang_pred"] for r in found} == {
+        i: lang if text else "und" for i, text, lang in rows
+    }
+
+
 def test_contexts_longer_than_scoring_looks_back_are_refused(given_docs):
     for order in (-1, language_id.ORDER + 1):
         with pytest.raises(ValueError):

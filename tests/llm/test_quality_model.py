@@ -1,3 +1,4 @@
+import hashlib
 import zlib
 
 import numpy as np
@@ -117,3 +118,17 @@ def test_the_sample_is_bounded(given_docs, spark):
     known = quality_model.labelled(given_docs, labels, F.lit(True))
     sample = quality_model.training_sample(given_docs, known, 20, 2000).collect()
     assert len(sample) <= 20 and max(len(r.text.encode()) for r in sample) <= 2000
+
+
+def test_long_and_missing_texts_leave_no_label_unlearned(make_docs, spark):
+    by_hash = sorted(range(20), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
+    good = [(i, None if n < 10 else f"good text number {i}") for n, i in enumerate(by_hash)]
+    docs = make_docs(*good, *[(i, f"BAD é!! {i}!! " * 9) for i in range(20, 40)])
+    labels = spark.createDataFrame(
+        [(i, int(i < 20), None) for i in range(40)], "doc_id long, quality int, toxic int"
+    )
+    known = quality_model.labelled(docs, labels, F.lit(True))
+    sample = quality_model.training_sample(docs, known, 16, 40).collect()
+    assert sorted(r["__label"] for r in sample) == [0] * 8 + [1] * 8
+    assert {r.doc_id for r in sample if r["__label"]} == set(by_hash[10:18])
+    assert all(0 < len(r.text.encode()) <= 40 for r in sample)

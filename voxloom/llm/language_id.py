@@ -9,8 +9,9 @@ seen excluded; below all contexts every byte is as likely. Frozen counts make
 that a fixed table of code lengths per context and byte. A text's code length
 under a language is the sum over its bytes; the shortest wins.
 
-The trees come from a bounded sample: ``SAMPLE_TEXTS`` texts of each language of
-at most ``SAMPLE_BYTES`` bytes each, chosen by the hash of their ids.
+The trees come from a bounded sample: the first ``SAMPLE_BYTES`` bytes of
+``SAMPLE_TEXTS`` texts of each language, chosen by the hash of their ids among all
+that have a text.
 
 Defined results: a text that is NULL or has no letter is ``und`` with score 0,
 and so is every text if nothing was learned; ties go to the first language in
@@ -20,7 +21,7 @@ order; repeated rows are judged each; an empty table gives an empty result.
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voxloom.llm.shared import byte_list, first_by_hash
+from voxloom.llm.shared import byte_list, first_by_hash, first_bytes
 from voxloom.session import stored
 
 #: The most bytes of context; scoring looks back over three at most.
@@ -208,18 +209,18 @@ class Identifier:
 
 
 def training_sample(docs, training, texts=SAMPLE_TEXTS, most_bytes=SAMPLE_BYTES):
-    """At most ``texts`` texts of each language, by the hash of their ids, less the too long ones.
+    """The start of at most ``texts`` texts of each language, by the hash of their ids.
 
-    They are chosen by id and language alone; only the chosen ones' texts move.
-    Rows without id are not learned from.
+    Rows without id, or whose text is NULL or empty, are not learned from and
+    take no other's place. Only ids and the chosen ones' texts move.
     """
     known = training & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()
-    ids = docs.filter(known).select("doc_id", "lang").distinct()
+    written = docs.filter(known & (F.octet_length("text") > 0))
+    ids = written.select("doc_id", "lang").distinct()
     chosen = stored(first_by_hash(ids, "lang", texts), "sample")
-    short = known & (F.octet_length("text") <= most_bytes)
     # At most ``texts`` rows per language.
-    found = docs.filter(short).join(F.broadcast(chosen), ["doc_id", "lang"])
-    return found.groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+    found = written.join(F.broadcast(chosen), ["doc_id", "lang"])
+    return found.groupBy("doc_id", "lang").agg(F.min(first_bytes("text", most_bytes)).alias("text"))
 
 
 def learn(docs, training, order=ORDER, texts=SAMPLE_TEXTS, most_bytes=SAMPLE_BYTES):

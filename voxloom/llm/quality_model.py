@@ -9,8 +9,8 @@ A filter's weight of a byte at a place is a product of a learned byte embedding
 and the filter. For scoring, the weights of two neighbouring places are added up
 beforehand for all pairs of bytes, so a window of four bytes takes two look-ups.
 
-Training uses at most ``SAMPLE_TEXTS`` labelled texts of at most ``SAMPLE_BYTES``
-bytes, chosen by the hash of their ids.
+Training uses the first ``SAMPLE_BYTES`` bytes of at most ``SAMPLE_TEXTS`` labelled
+texts, chosen by the hash of their ids among all that are not NULL.
 
 Defined results: a NULL text counts as empty, and an empty text gets the score
 of padding alone; NULL labels are not learned from; without labelled rows of
@@ -21,7 +21,7 @@ each; an empty table gives an empty result.
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voxloom.llm.shared import byte_list, first_by_hash
+from voxloom.llm.shared import byte_list, first_by_hash, first_bytes
 from voxloom.session import stored
 
 WIDTH, FILTERS, EMBEDDED, HIDDEN = 4, 16, 8, 16
@@ -223,27 +223,29 @@ class Network:
 
 
 def labelled(docs, labels, training):
-    """``doc_id`` and ``__label`` (0 or 1) per row of ``docs`` that may be learned from.
+    """``doc_id``, ``__label`` (0 or 1) and ``__has_text`` per row of ``docs`` to be learned from.
 
     A document labelled several times has its smallest label.
     """
     marked = labels.filter(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(
         F.min("quality").alias("__label")
     )
-    return docs.select("doc_id").filter(training).join(marked, "doc_id")
+    given = docs.filter(training).select("doc_id", F.col("text").isNotNull().alias("__has_text"))
+    return given.join(marked, "doc_id")
 
 
 def training_sample(docs, known, texts=SAMPLE_TEXTS, most_bytes=SAMPLE_BYTES):
-    """(text, label) of at most ``texts`` of the ``known`` documents, less the too long ones.
+    """(start of the text, label) of at most ``texts`` of the ``known`` documents with a text.
 
-    Half of them are of each label if there are as many. They are chosen by id
-    alone; only the chosen ones' texts move.
+    Half of them are of each label if there are as many. They are chosen by the
+    hash of their ids; only ids and the chosen ones' texts move.
     """
-    chosen = stored(first_by_hash(known.distinct(), "__label", texts // 2), "sample")
-    short = docs.select("doc_id", "text").filter(F.octet_length("text") <= most_bytes)
+    ids = known.filter("__has_text").select("doc_id", "__label").distinct()
+    chosen = stored(first_by_hash(ids, "__label", texts // 2), "sample")
     # At most ``texts`` rows.
-    found = short.join(F.broadcast(chosen), "doc_id")
-    return found.groupBy("doc_id", "__label").agg(F.min("text").alias("text"))
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    start = F.min(first_bytes("text", most_bytes))
+    return found.groupBy("doc_id", "__label").agg(start.alias("text"))
 
 
 def learn(docs, labels, training, **given):

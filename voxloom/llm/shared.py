@@ -45,6 +45,13 @@ def first_by_hash(rows, key, k):
     )
 
 
+def first_bytes(column, n):
+    """At most ``n`` first bytes of a text column, without a part of a character at the end."""
+    part = F.substring(F.col(column).cast("binary"), 1, n).cast("string")
+    cut = F.rtrim(F.make_valid_utf8(part), F.lit("\ufffd"))
+    return F.when(F.octet_length(column) <= n, F.col(column)).otherwise(cut)
+
+
 def byte_list(column):
     """An Arrow string column as a list of UTF-8 bytes; NULL becomes empty."""
     import pyarrow as pa
