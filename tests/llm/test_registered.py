@@ -20,12 +20,13 @@ COLUMNS = {
     8: "query_id rank vec_id score",
     9: "doc_id held_out n_tokens n_known train_tokens base_score score",
     10: "doc_id held_out lang_pred score",
+    13: "doc_id n_tokens ids_sha256 decoded_sha256",
 }
 
 
 def test_all_are_registered():
     numbers = sorted(int(re.match(r"op(\d+)_", name)[1]) for name in QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == sorted(COLUMNS)
     assert set(QUERIES) | {"pipeline"} <= set(registered.queries())
     assert set(ORACLES) <= set(registered.oracle_sql())
 
@@ -36,7 +37,7 @@ def test_columns_and_rows(spark, name):
     number = int(re.match(r"op(\d+)_", name)[1])
     assert set(COLUMNS[number].split()) <= set(frame.columns)
     rows = frame.count()
-    if number in (1, 2, 3, 6, 7, 9, 10):
+    if number in (1, 2, 3, 6, 7, 9, 10, 13):
         assert rows == spark.read.parquet(f"{SF_DIR}/documents.parquet").count()
     assert rows > 0
 

@@ -8,6 +8,7 @@ from voxloom.llm import (
     mixing,
     nearest,
     packing,
+    pieces,
     quality_model,
     repeats,
     simhash,
@@ -204,3 +205,17 @@ def op10_language_id(spark, sf_dir):
         F.col("__lang_pred").alias("lang_pred"),
         F.col("__score").alias("score"),
     )
+
+
+@registered()
+def op13_pieces(spark, sf_dir):
+    """Count and digest of every document's piece ids, and digest of what they decode to."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    coded = pieces.encode_texts(docs, tokens.vocabulary_path(pieces.MODEL), decoded=True)
+    numbers = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(numbers, 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
