@@ -14,6 +14,7 @@ from voxloom.llm import (
     simhash,
     tokens,
     url_rules,
+    whitening,
 )
 from voxloom.llm.shared import id_remainder, table
 from voxloom.session import stored
@@ -207,6 +208,13 @@ def op10_language_id(spark, sf_dir):
     )
 
 
+@registered()
+def op11_whitening(spark, sf_dir):
+    """Whitened coordinates of every usable vector on the first 16 components."""
+    vectors = whitening.whole_vectors(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+    return whitening.whiten(vectors)
+
+
 @registered()
 def op13_pieces(spark, sf_dir):
     """Count and digest of every document's piece ids, and digest of what they decode to."""
