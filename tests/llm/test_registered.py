@@ -21,6 +21,7 @@ COLUMNS = {
     9: "doc_id held_out n_tokens n_known train_tokens base_score score",
     10: "doc_id held_out lang_pred score",
     11: "vec_id component n deviation whitened explained identity_error",
+    12: "conv_id gaps blank duplicate truncated illegal cost audit repaired_sha256",
     13: "doc_id n_tokens ids_sha256 decoded_sha256",
 }
 

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from voxloom.llm import (
+    dialogues,
     language_id,
     language_model,
     mixing,
@@ -215,6 +216,47 @@ def op11_whitening(spark, sf_dir):
     return whitening.whiten(vectors)
 
 
+def damaged(conversations):
+    """Conversations with faults planted by a hash of their id and turn."""
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")]
+    fault = F.col("fault")
+    text = F.when(fault == 1, "").when(fault == 2, F.regexp_replace("text", "[.!?]", ""))
+    return (
+        dialogues.plain_rows(conversations)
+        .withColumn("fault", F.crc32(F.concat_ws(":", *parts)) % 20)
+        .filter(fault != 0)
+        .withColumn("copy", F.explode(F.sequence(F.lit(1), F.when(fault == 3, 2).otherwise(1))))
+        .select(
+            "conv_id", "turn",
+            F.when(fault == 4, "user").otherwise(F.col("role")).alias("role"),
+            text.otherwise(F.col("text")).alias("text"),
+        )
+    )
+
+
+@registered()
+def op12_conversations(spark, sf_dir):
+    """Faults, cheapest repair and digest of every conversation."""
+    given = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    rows = damaged(given)
+    solved = dialogues.repair(rows)
+    hashes = dialogues.text_hashes(dialogues.repaired_rows(rows, solved))
+    found = [
+        frame.withColumnRenamed("conv_id", name)
+        for frame, name in ((dialogues.reports(solved), "of"), (hashes, "by"))
+    ]
+    counts = [F.coalesce(name, F.lit(0)).alias(name) for name in dialogues.REPORT]
+    return (
+        given.select("conv_id").distinct()
+        .join(found[0], F.col("conv_id").eqNullSafe(F.col("of")), "left")
+        .join(found[1], F.col("conv_id").eqNullSafe(F.col("by")), "left")
+        .select(
+            "conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"),
+            F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+        )
+    )
+
+
 @registered()
 def op13_pieces(spark, sf_dir):
     """Count and digest of every document's piece ids, and digest of what they decode to."""
