@@ -1,8 +1,9 @@
 """Collects queries and the SQL that gives the same rows."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from voxloom.sources.ingest import number_rows
+
 QUERIES = {}
 ORACLES = {}
 
@@ -162,9 +163,7 @@ summary_prompts AS (
 
 def in_output_order(rows):
     """Number the rows in the order in which an operator gives them."""
-    placed = rows.withColumn("_at", F.monotonically_increasing_id())
-    place = F.row_number().over(Window.orderBy("_at"))
-    return placed.withColumn("rank", place).drop("_at")
+    return number_rows(rows, 1, "rank").withColumn("rank", F.col("rank").cast("int"))
 
 
 def registered(sql=None):

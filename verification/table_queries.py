@@ -4,15 +4,21 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from verification import views
-from verification.registry import registered
-from voxloom.operators import rollup
+from verification.registry import in_output_order, registered
+from voxloom.operators import from_rollup, rollup
 from voxloom.operators.enrich import classify_sentiment, ingest_enriched
 from voxloom.plans import documents
 from voxloom.session import scratch_path, stored
+from voxloom.sources import batches as batches_of_rows
 from voxloom.sources import ingest, tables
+from voxloom.sources.batches import append_batch
+from voxloom.sources.quarantine import quarantine_path, quarantined
 from voxloom.streaming import jobs
 
 
+RANK = "CAST(row_number() OVER (ORDER BY {}) AS INTEGER) AS rank"
+
+
 @registered("SELECT * FROM rollup_rows")
 def daily_rollup(spark, sf_dir):
     return rollup.daily_rollup(views.feedback(spark, sf_dir))
@@ -25,22 +31,15 @@ def scan_daily_metrics(spark, sf_dir):
     return tables.scan_daily_metrics(spark, path)
 
 
-@registered(
-    """
-    SELECT metric_date, count(*) AS themes, CAST(sum(total_count) AS BIGINT) AS total_count
-    FROM rollup_rows GROUP BY metric_date
-    """
-)
+@registered("SELECT * FROM rollup_rows")
 def load_rollup(spark, sf_dir):
+    """Two halves that share all dates and themes, the second loaded again after it was."""
     path = scratch_path(spark, "rollup_batches")
-    daily = rollup.daily_rollup(views.feedback(spark, sf_dir))
-    half = F.lit("2024-01-16").cast("date")
-    tables.load_rollup(daily.filter(F.col("metric_date") < half), path)
-    tables.load_rollup(daily.filter(F.col("metric_date") >= half), path)
-    per_date = tables.scan_daily_metrics(spark, path).groupBy("metric_date")
-    return per_date.agg(
-        F.count(F.lit(1)).alias("themes"), F.sum("total_count").alias("total_count")
-    )
+    rows = views.feedback(spark, sf_dir)
+    for half in [0, 1, 1]:
+        parts = rollup.rollup_parts(rows.filter(F.col("id") % 2 == half))
+        tables.load_rollup(parts, path, f"half {half}")
+    return tables.scan_daily_metrics(spark, path)
 
 
 @registered("SELECT * FROM rollup_rows")
@@ -101,12 +100,74 @@ def batches(spark, sf_dir):
 @registered(BATCHES)
 def append_batches(spark, sf_dir):
     path = scratch_path(spark, "append_batches")
-    for batch in batches(spark, sf_dir):
-        accepted, _ = ingest.append_batches([batch])
-        tables.append_table(accepted, path)
+    given = batches(spark, sf_dir)
+    for number, batch in [*enumerate(given), (1, given[1])]:
+        append_batch(batch, path, f"batch {number}")
     return tables.scan_feedback(spark, path)
 
 
+@registered(
+    """
+    SELECT 'missing' AS reason, 'content' AS details, count(*) AS count,
+      (SELECT count(*) FROM events) AS all_rows
+    FROM events WHERE event_type = 'click' AND event_id % 13 = 0
+    """
+)
+def quarantine(spark, sf_dir):
+    """What named batches, one of them appended twice, set aside; every row is in one place."""
+    path = scratch_path(spark, "quarantine")
+    given = batches(spark, sf_dir)
+    noted = [append_batch(b, path, f"batch {n}") for n, b in [*enumerate(given), (1, given[1])]]
+    rows = sum(note["accepted"] + note["refused"] for note in noted[:-1])
+    refused = quarantined(spark, quarantine_path(path))
+    return refused.groupBy("reason", F.array_join("details", ",").alias("details")).agg(
+        F.count("*").alias("count"), F.lit(rows).cast("long").alias("all_rows")
+    )
+
+
+@registered(
+    """
+    WITH kept AS (SELECT * EXCLUDE (id) FROM classified WHERE source IS NOT NULL)
+    SELECT *, TIMESTAMP '2024-01-31 00:00:00' AS created_at, '' AS reason,
+      (SELECT count(*) FROM kept) AS ids, (SELECT count(*) FROM kept) AS highest FROM kept
+    UNION ALL BY NAME
+    SELECT text, user_id, 'missing' AS reason FROM incoming WHERE source IS NULL
+    UNION ALL BY NAME
+    SELECT concat('{"text": ', CAST(id AS VARCHAR)) AS text, 'unreadable' AS reason
+    FROM incoming WHERE id % 10 = 3
+    """
+)
+def append_lines(spark, sf_dir):
+    """JSON lines, some cut off, labelled as one batch twice; what is refused stands beside."""
+    path = scratch_path(spark, "append_lines")
+    records = views.incoming(spark, sf_dir)
+    whole = F.to_json(F.struct("text", "source", "user_id"))
+    cut = F.concat(F.lit('{"text": '), F.col("id").cast("string"))
+    lines = records.select(whole.alias("value")).unionByName(
+        records.filter(F.col("id") % 10 == 3).select(cut.alias("value"))
+    )
+    lines.write.text(f"{path}/lines")
+    for _ in range(2):
+        batches_of_rows.append_lines(spark, f"{path}/lines", f"{path}/rows", "first", labelled)
+    accepted = spark.read.parquet(f"{path}/rows").drop("batch")
+    kept = accepted.drop("id").withColumns(
+        {
+            "reason": F.lit(""),
+            "ids": accepted.agg(F.countDistinct("id")).scalar(),
+            "highest": accepted.agg(F.max("id")).scalar(),
+        }
+    )
+    record = F.from_json("record", "text string, user_id string")
+    aside = quarantined(spark, quarantine_path(f"{path}/rows")).select(
+        F.when(F.col("reason") == "missing", record["text"]).otherwise(F.col("record")).alias(
+            "text"
+        ),
+        record["user_id"].alias("user_id"),
+        "reason",
+    )
+    return kept.unionByName(aside, allowMissingColumns=True)
+
+
 @registered(BATCHES.replace("WHERE kind <> 'click' OR title IS NOT NULL", "").replace(
     " content,", " CASE WHEN kind <> 'click' OR title IS NOT NULL THEN content END AS content,"))
 def apply_defaults(spark, sf_dir):
@@ -146,10 +207,18 @@ def assign_ids(spark, sf_dir):
     table = views.feedback(spark, sf_dir)
     batch = ingest.assign_ids(events, table).withColumn("_row", F.monotonically_increasing_id())
     last = table.agg(F.max("id")).scalar()
-    numbered = batch.select("id", "_row")
-    before = F.lag("id").over(Window.orderBy("_row"))
-    ordered = numbered.withColumn("_before", before).agg(
-        F.coalesce(F.bool_and(F.col("id") == F.col("_before") + 1), F.lit(True))
+    # Within a partition ids and rows differ by a fixed number; partitions follow each other.
+    part = F.shiftright("_row", 33)
+    edges = batch.groupBy(part.alias("part")).agg(
+        F.min("id").alias("first"),
+        F.max("id").alias("last"),
+        F.countDistinct(F.col("id") - F.col("_row")).alias("steps"),
+    )
+    before = F.lag("last").over(Window.orderBy("part"))
+    ordered = edges.withColumn("before", F.coalesce(before, F.col("first") - 1)).agg(
+        F.coalesce(
+            F.bool_and((F.col("steps") == 1) & (F.col("first") == F.col("before") + 1)), F.lit(True)
+        )
     )
     return batch.select(
         "event_id",
@@ -296,6 +365,13 @@ def theme_match_document(spark, sf_dir):
     return documents.as_json(nested, plain=["theme", "totalCount"])
 
 
+def labelled(records):
+    """Records labelled by the word lists, as of a fixed time."""
+    return ingest_enriched(
+        records, lambda rows: classify_sentiment(rows, "text", views.LISTS), views.AS_OF
+    )
+
+
 def read_stream(spark, sf_dir, name):
     """A given table as a stream of its files."""
     return spark.readStream.schema(views.SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parque[t]")
@@ -309,45 +385,91 @@ def stream_daily_rollup(spark, sf_dir):
     return jobs.current_rollup(spark, f"{path}/log")
 
 
-def in_batches(spark, events, path):
-    """A stream of ``events`` in four batches, the newest days first."""
+def in_batches(spark, events, path, run):
+    """Run a stream over ``events`` in four goes, the newest days first."""
     day = F.dayofmonth("ts")
     for low in [24, 16, 8, 0]:
         part = events.filter((day >= low) & (day < (low + 8 if low < 24 else 32)))
-        part.coalesce(1).write.mode("append").parquet(path)
-    stream = spark.readStream.schema(views.SCHEMAS["events"]).option("maxFilesPerTrigger", 1)
-    return views.feedback_of(stream.parquet(path))
+        part.write.parquet(f"{path}/from-{low}")
+        run(views.feedback_of(folders_stream(spark, path)))
+
+
+def folders_stream(spark, path):
+    """The events in all folders below a path as a stream."""
+    stream = spark.readStream.schema(views.SCHEMAS["events"])
+    return stream.option("recursiveFileLookup", "true").parquet(path)
 
 
 @registered("SELECT * FROM rollup_rows")
 def publish_rollup(spark, sf_dir):
-    """A table that holds some rows' counts by batch, and the rest from a stream.
+    """A table to which loads and a stream add by turns, on the same days.
 
     The stream's batches come out of the order of time. Its log is published,
-    folded and published again.
+    rows are loaded on days that it has published, and it is folded and published again.
     """
     path = scratch_path(spark, "publish_rollup")
     events = views.table(spark, sf_dir, "events")
-    loaded = F.col("event_type").isin("view", "error")
-    early = views.feedback_of(events.filter(loaded))
-    tables.load_rollup(rollup.daily_rollup(early), f"{path}/daily")
-    jobs.log_loaded(early, f"{path}/log", "first")
-    feedback = in_batches(spark, events.filter(~loaded), f"{path}/events")
-    jobs.stream_daily_rollup(feedback, f"{path}/log", f"{path}/state").awaitTermination()
+    kind = F.col("event_type")
+
+    def load(name):
+        rows = views.feedback_of(events.filter(kind == name))
+        tables.load_rollup(rollup.rollup_parts(rows), f"{path}/daily", name)
+
+    def run(feedback):
+        jobs.stream_daily_rollup(feedback, f"{path}/log", f"{path}/state").awaitTermination()
+
+    load("view")
+    in_batches(spark, events.filter(~kind.isin("view", "error")), f"{path}/events", run)
     jobs.publish_rollup(spark, f"{path}/log", f"{path}/daily")
+    load("error")
     jobs.compact_log(spark, f"{path}/log")
     jobs.publish_rollup(spark, f"{path}/log", f"{path}/daily")
+    load("view")
     return tables.scan_daily_metrics(spark, f"{path}/daily")
 
 
 @registered("SELECT * FROM rollup_rows")
 def stream_rollup_updates(spark, sf_dir):
     path = scratch_path(spark, "rollup_updates")
-    feedback = in_batches(spark, views.table(spark, sf_dir, "events"), f"{path}/events")
-    jobs.stream_rollup_updates(feedback, f"{path}/log", f"{path}/state").awaitTermination()
+
+    def run(feedback):
+        jobs.stream_rollup_updates(feedback, f"{path}/log", f"{path}/state").awaitTermination()
+
+    in_batches(spark, views.table(spark, sf_dir, "events"), f"{path}/events", run)
     return jobs.latest_updates(spark, f"{path}/log")
 
 
+def live_rollup(spark, sf_dir):
+    """Parts of the rollup: older days loaded, newer ones streamed, the newest not published."""
+    path = scratch_path(spark, "live_rollup")
+    events = views.table(spark, sf_dir, "events")
+    day = F.dayofmonth("ts")
+    older = views.feedback_of(events.filter(day < 16))
+    tables.load_rollup(rollup.rollup_parts(older), f"{path}/daily", "older")
+    for name, rows in [("newer", (day >= 16) & (day < 25)), ("newest", day >= 25)]:
+        events.filter(rows).write.parquet(f"{path}/events/{name}")
+        feedback = views.feedback_of(folders_stream(spark, f"{path}/events"))
+        jobs.stream_daily_rollup(feedback, f"{path}/log", f"{path}/state").awaitTermination()
+        if name == "newer":
+            jobs.publish_rollup(spark, f"{path}/log", f"{path}/daily")
+    return jobs.live_parts(spark, f"{path}/log", f"{path}/daily")
+
+
+@registered(f"SELECT *, {RANK.format('date')} FROM daily")
+def live_sentiment_trend(spark, sf_dir):
+    return in_output_order(from_rollup.sentiment_trend(live_rollup(spark, sf_dir)))
+
+
+@registered("SELECT sentiment, count(*) AS count FROM feedback WHERE analyzed = 1 GROUP BY 1")
+def live_sentiment_distribution(spark, sf_dir):
+    return from_rollup.sentiment_distribution(live_rollup(spark, sf_dir))
+
+
+@registered(f"SELECT *, {RANK.format('total DESC, theme')} FROM theme_totals")
+def live_theme_stats(spark, sf_dir):
+    return in_output_order(from_rollup.theme_stats(live_rollup(spark, sf_dir)))
+
+
 @registered(
     """
     WITH kept AS (SELECT * EXCLUDE (id) FROM classified WHERE source IS NOT NULL)
@@ -358,16 +480,16 @@ def stream_rollup_updates(spark, sf_dir):
     """
 )
 def stream_ingest(spark, sf_dir):
-    """Records without id; ``ids`` and ``highest`` tell that the ids given have no gap."""
-    path = scratch_path(spark, "stream_ingest")
+    """Records without id over two checkpoints of one table.
 
-    def enrich(records):
-        return ingest_enriched(
-            records, lambda rows: classify_sentiment(rows, "text", views.LISTS), views.AS_OF
-        )
-
-    records = views.incoming_of(read_stream(spark, sf_dir, "documents")).drop("id")
-    jobs.stream_ingest(records, f"{path}/rows", f"{path}/state", enrich).awaitTermination()
+    ``ids`` and ``highest`` tell that the ids given have no gap.
+    """
+    path = scratch_path(spark, "stream_ingest")
+    records = views.incoming_of(read_stream(spark, sf_dir, "documents"))
+    for half in [0, 1]:
+        some = records.filter(F.col("id") % 2 == half).drop("id")
+        state = f"{path}/state-{half}"
+        jobs.stream_ingest(some, f"{path}/rows", state, labelled).awaitTermination()
     accepted = jobs.ingested(spark, f"{path}/rows")
     ids = accepted.agg(F.countDistinct("id")).scalar()
     highest = accepted.agg(F.max("id")).scalar()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from voxloom.functions.wordscore import WordLists
 from voxloom.schema import MULTILABEL
-from voxloom.session import scratch_path
+from voxloom.session import file_system, scratch_path
 from voxloom.sources import tables
 
 AS_OF = "2024-01-31 00:00:00"
@@ -141,8 +141,8 @@ WRITTEN = {}
 
 
 def written(spark, sf_dir, name, write):
-    """The path of a table that ``write(path)`` stores once per session and given folder."""
-    key = spark.sparkContext.applicationId, sf_dir, name
+    """The path of a table that ``write(path)`` stores once per session and state of the given folder."""
+    key = spark.sparkContext.applicationId, sf_dir, name, files_of(spark, sf_dir)
     if key not in WRITTEN:
         path = scratch_path(spark, name)
         write(path)
@@ -150,6 +150,18 @@ def written(spark, sf_dir, name, write):
     return WRITTEN[key]
 
 
+def files_of(spark, sf_dir):
+    """Names, sizes and times of the files that the stored tables are made of."""
+    found = []
+    for name in ["events", "documents"]:
+        system, path = file_system(spark, f"{sf_dir}/{name}.parquet")
+        found += [
+            (str(status.getPath()), status.getLen(), status.getModificationTime())
+            for status in system.listStatus(path)
+        ]
+    return tuple(sorted(found))
+
+
 def stored_feedback(spark, sf_dir):
     """The single-label table with its texts, stored by day and scanned."""
     rows = with_content(feedback(spark, sf_dir), spark, sf_dir)

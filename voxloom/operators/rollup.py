@@ -8,6 +8,7 @@ from voxloom.operators.filters import analyzed_only
 from voxloom.schema import DAILY_METRICS, DAILY_METRICS_KEY, UNCATEGORIZED
 
 ROLLUP_URGENCIES = ["low", "medium", "high", "critical"]
+COUNTERS = [c for c in DAILY_METRICS.names if c.endswith("_count") or c.startswith("urgency")]
 
 
 def rollup_counters():
@@ -49,28 +50,29 @@ def rollup_parts(feedback):
     )
 
 
+def mean_of_parts():
+    """The average score of one row of parts."""
+    return rounded_mean(F.try_divide("score_sum", "score_count"))
+
+
 def sum_of_parts(parts):
     """The rollup that parts of the rows add up to."""
-    counters = [c for c in DAILY_METRICS.names if c.endswith("_count") or c.startswith("urgency")]
-    mean = F.try_divide(F.sum("score_sum"), F.sum("score_count"))
-    return parts.groupBy(*DAILY_METRICS_KEY).agg(
-        *[F.sum(c).alias(c) for c in counters], rounded_mean(mean).alias("avg_sentiment_score")
-    )
+    whole = sums_of_parts(parts).withColumn("avg_sentiment_score", mean_of_parts())
+    return whole.select(*DAILY_METRICS.names)
 
 
 def sums_of_parts(parts):
     """Parts of the rows put together: still parts."""
-    sums = [c for c in parts.columns if c not in DAILY_METRICS_KEY]
+    sums = [*COUNTERS, "score_sum", "score_count"]
     return parts.groupBy(*DAILY_METRICS_KEY).agg(*[F.sum(c).alias(c) for c in sums])
 
 
 def parts_of_rollup(rollup):
     """Stored rollup rows as parts: counts as they are, score sums as near as the mean tells."""
-    counters = [c for c in DAILY_METRICS.names if c.endswith("_count") or c.startswith("urgency")]
     scored = F.when(F.col("avg_sentiment_score").isNotNull(), F.col("total_count")).otherwise(0)
     return rollup.select(
         *DAILY_METRICS_KEY,
-        *counters,
+        *COUNTERS,
         (F.col("avg_sentiment_score") * scored).alias("score_sum"),
         scored.alias("score_count"),
     )
@@ -92,9 +94,11 @@ def touched_dates(new_rows):
     return new_rows.select(feedback_day(new_rows).alias("metric_date")).distinct()
 
 
-def rollup_of_dates(feedback, dates):
+def rollup_of_dates(feedback, dates, measure=daily_rollup):
     """The rollup of the given days, recomputed from all their rows.
 
+    With ``rollup_parts`` for ``measure`` it can be added to exactly later on.
+
     A table laid out by day opens the folders of these days only. In any other
     table the days are broadcast; the calendar bounds distinct days at 3.7
     million values of 4 bytes.
@@ -102,5 +106,5 @@ def rollup_of_dates(feedback, dates):
     days = dates.select("metric_date").distinct()
     if is_by_day(feedback):
         dated = feedback.filter(F.col("created_date").isNotNull())
-        return daily_rollup(on_days(dated, days, "metric_date"))
-    return daily_rollup(feedback.filter(feedback_day(feedback).isin(F.broadcast(days))))
+        return measure(on_days(dated, days, "metric_date"))
+    return measure(feedback.filter(feedback_day(feedback).isin(F.broadcast(days))))

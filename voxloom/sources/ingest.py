@@ -67,18 +67,24 @@ def ingest_records(records, table, enrich=ingest_enriched):
     ``id`` keeps it.
     """
     accepted, rejected = split_required(records, RECORD_REQUIRED, nonblank=["text"])
-    rows = enrich(accepted)
-    return (rows if "id" in rows.columns else assign_ids(rows, table)), rejected
+    if "id" not in accepted.columns:
+        # Before a model is asked, which would be asked again for the count.
+        accepted = assign_ids(accepted, table)
+    return enrich(accepted), rejected
 
 
 def assign_ids(batch, table):
-    """Give a batch the ids after the largest of the table, without a gap and in order.
+    """Give a batch the ids after the largest of the table, without a gap and in order."""
+    return number_rows(batch, table.agg(F.coalesce(F.max("id"), F.lit(0))).scalar() + 1)
+
+
+def number_rows(batch, first, column="id"):
+    """Number a batch from ``first`` on, without a gap and in order.
 
     The batch should come straight from a scan: its rows are counted per
-    partition in a first pass, and the counts, one per partition, place the ids
-    of the second. Nothing is shuffled.
+    partition in a first pass, and the counts, one per partition, place the
+    numbers of the second. Nothing is shuffled.
     """
-    last = table.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
     part = F.spark_partition_id()
     counts = batch.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_rows"))
     earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -90,5 +96,5 @@ def assign_ids(batch, table):
         {"_part": part, "_place": F.monotonically_increasing_id() % PER_PARTITION}
     )
     placed = numbered.join(F.broadcast(ahead), F.col("_part") == F.col("_of"))
-    ids = last + 1 + F.col("_ahead") + F.col("_place")
-    return placed.withColumn("id", ids).drop("_part", "_place", "_of", "_ahead")
+    number = first + F.col("_ahead") + F.col("_place")
+    return placed.withColumn(column, number).drop("_part", "_place", "_of", "_ahead")

@@ -5,9 +5,8 @@ from pyspark.sql import types as T
 
 from voxloom.functions.json_text import parse_label_array, strict_variant
 from voxloom.functions.measures import day_of
-from voxloom.schema import DAILY_METRICS, DAILY_METRICS_REQUIRED, FEEDBACK, MULTILABEL
-from voxloom.session import remove_folder, stored
-from voxloom.sources.ingest import split_required
+from voxloom.schema import DAILY_METRICS, FEEDBACK, MULTILABEL
+from voxloom.sources.daily import load_rollup, overwrite_dates
 
 DAY = T.StructField("created_date", T.DateType())
 FEEDBACK_BY_DAY = T.StructType([*FEEDBACK, DAY])
@@ -16,7 +15,11 @@ MULTILABEL_BY_DAY = T.StructType([*MULTILABEL, DAY])
 
 def scan_feedback(spark, path, by_day=False):
     """The single-label table; one that ``write_by_day`` stored also has ``created_date``."""
-    return spark.read.schema(FEEDBACK_BY_DAY if by_day else FEEDBACK).parquet(path)
+    if by_day:
+        return spark.read.schema(FEEDBACK_BY_DAY).parquet(path)
+    # Named batches have folders of their own.
+    whole = spark.read.schema(FEEDBACK).option("recursiveFileLookup", "true")
+    return whole.parquet(path).select(*FEEDBACK.names)
 
 
 def scan_multilabel(spark, path, by_day=False):
@@ -45,41 +48,6 @@ def append_table(rows, path):
     rows.write.mode("append").parquet(path)
 
 
-def load_rollup(rollup, path):
-    """Append rollup rows, one folder per date; gives back those that lack a date or theme."""
-    accepted, rejected = split_required(rollup, DAILY_METRICS_REQUIRED)
-    accepted.hint("rebalance", "metric_date").write.mode("append").partitionBy(
-        "metric_date"
-    ).parquet(path)
-    return rejected
-
-
-def overwrite_dates(rollup, path, dates=None):
-    """Replace the dates that occur in ``rollup`` and leave the others alone.
-
-    Of the ``dates`` (``metric_date``) given, those without a row are emptied.
-    Running it again after a failure does the rest. Gives back the rows that
-    lack a date or theme.
-    """
-    accepted, rejected = split_required(rollup, DAILY_METRICS_REQUIRED)
-    if dates is not None:
-        accepted = stored(accepted, "rollup")
-    (
-        accepted.hint("rebalance", "metric_date")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("metric_date")
-        .parquet(path)
-    )
-    if dates is not None:
-        known = dates.select("metric_date").filter(F.col("metric_date").isNotNull()).distinct()
-        emptied = known.join(accepted, "metric_date", "left_anti")
-        # Calendar days: 3.7 million at most.
-        for (day,) in emptied.collect():
-            remove_folder(rollup.sparkSession, f"{path}/metric_date={day}")
-    return rejected
-
-
 def write_by_day(feedback, path, order=("theme", "sentiment", "channel")):
     """Store feedback in one folder per day, sorted for min/max pruning.
 

@@ -9,17 +9,18 @@ from voxloom.operators.enrich import ingest_enriched
 from voxloom.operators.filters import analyzed_only
 from voxloom.operators.rollup import (
     dedupe_daily,
-    parts_of_rollup,
     rollup_measures,
     rollup_parts,
     rollup_theme,
     sum_of_parts,
     sums_of_parts,
 )
-from voxloom.schema import DAILY_METRICS, DAILY_METRICS_KEY
+from voxloom.schema import DAILY_METRICS, DAILY_METRICS_KEY, RECORD_REQUIRED
 from voxloom.session import path_exists, remove_folder, stored
-from voxloom.sources.ingest import ingest_records
-from voxloom.sources.tables import overwrite_dates, scan_daily_metrics
+from voxloom.sources.batches import stored_ids
+from voxloom.sources.daily import as_parts, finish_change, merge_parts, scan_stored
+from voxloom.sources.ingest import number_rows, split_required
+from voxloom.sources.ledger import claim_ids, largest_id, ledger_path
 
 SECONDS_PER_DAY = 86400
 BATCH = [T.StructField("run", T.StringType()), T.StructField("batch_id", T.LongType())]
@@ -123,34 +124,38 @@ def one_batch(spark, run, batch_id=0):
     return spark.createDataFrame([(run, batch_id)], T.StructType(BATCH))
 
 
+def unpublished(spark, log_path):
+    """Logged parts of batches that are not in the daily metrics table yet."""
+    return parts_log(spark, log_path).join(published(spark, log_path), BATCH_KEY, "left_anti")
+
+
 def publish_rollup(spark, log_path, table_path):
-    """Bring the days of the batches not yet published up to the log.
+    """Add the batches not yet published to the daily metrics table.
 
-    Counts that the table holds for such a day, and that the log knows nothing
-    of, are taken into the log first, so nothing stored is lost; their mean is
-    as exact as the table has it (``log_loaded`` is exact). Running it again
-    after a failure at any point does the rest. One publisher at a time.
+    Only their days are read and replaced. What the table holds for these days stays
+    counted, whoever put it there: a batch adds to it. Running it again after a
+    failure at any point does the rest. One writer of the table at a time.
     """
-    log, done = parts_log(spark, log_path), published(spark, log_path)
-    dated = log.filter(F.col("metric_date").isNotNull())
-    fresh = stored(
-        log.select(*BATCH_KEY).distinct().join(done, BATCH_KEY, "left_anti"), "fresh"
-    )
-    touched = stored(
-        dated.join(fresh, BATCH_KEY, "left_semi").select("metric_date").distinct(), "touched"
-    )
-    if path_exists(spark, table_path):
-        known = dated.join(done, BATCH_KEY, "left_semi").select("metric_date").distinct()
-        unknown = touched.join(known, "metric_date", "left_anti")
-        held = scan_daily_metrics(spark, table_path).join(unknown, "metric_date", "left_semi")
-        parts = stored(parts_of_rollup(held), "held")
-        if not parts.isEmpty():
-            number = done.filter(F.col("run") == "table").count()
-            parts.write.mode("overwrite").parquet(batch_folder(log_path, "table", number))
-            mark_published(one_batch(spark, "table", number), log_path)
-    everything = parts_log(spark, log_path).join(touched, "metric_date", "left_semi")
-    overwrite_dates(sum_of_parts(everything), table_path)
-    mark_published(fresh, log_path)
+    finish_change(spark, table_path)
+    log = unpublished(spark, log_path)
+    fresh = stored(log.select(*BATCH_KEY).distinct(), "fresh")
+    if fresh.isEmpty():
+        return
+    dated = log.join(fresh, BATCH_KEY, "left_semi").filter(F.col("metric_date").isNotNull())
+    merge_parts(dated.drop(*BATCH_KEY), table_path, log=log_path, batches=fresh)
+
+
+def live_parts(spark, log_path, table_path):
+    """Parts of the daily rollup as of now: the table, what it lacks yet, and undated rows.
+
+    Reads the rollup and its log, no feedback. Rows without a date are in the log only.
+    """
+    logged = unpublished(spark, log_path).filter(F.col("metric_date").isNotNull())
+    undated = parts_log(spark, log_path).filter(F.col("metric_date").isNull())
+    rows = as_parts(scan_stored(spark, table_path))
+    for part in [logged, undated]:
+        rows = rows.unionByName(part.select(*rows.columns))
+    return sums_of_parts(rows)
 
 
 def compact_log(spark, log_path):
@@ -219,21 +224,28 @@ def stream_ingest(records, path, checkpoint, enrich=ingest_enriched, **trigger):
     """Label and store records as they arrive; rows without text or source are set aside.
 
     One query reads each batch once and writes it to a folder of its own, accepted
-    and refused rows side by side; a batch that runs again rewrites it. Accepted
-    rows without an ``id`` get the numbers after those of all earlier batches.
-    ``ingested`` and ``refused`` read the table.
+    and refused rows side by side; a batch that runs again rewrites it. Another
+    checkpoint is another run with folders of its own. Accepted rows without an
+    ``id`` get the next numbers of the table's ledger; a batch that runs again gets
+    the same ones, and stored rows are read only when a ledger begins beside an
+    older table. ``ingested`` and ``refused`` read the table.
     """
 
     def write_batch(batch, batch_id):
-        spark = batch.sparkSession
+        spark, run = batch.sparkSession, run_id(batch.sparkSession, checkpoint)
         batch = batch.persist()
-        rows, rejected = ingest_records(batch, earlier_ids(spark, path, batch_id), enrich)
-        tagged = rows.withColumns(
+        accepted, rejected = split_required(batch, RECORD_REQUIRED, nonblank=["text"])
+        if "id" not in batch.columns:
+            first = claim_ids(
+                spark, ledger_path(path), run, batch_id, accepted.count(),
+                lambda: largest_id(stored_ids(spark, path)),
+            )
+            accepted = number_rows(accepted, first)
+        tagged = enrich(accepted).withColumns(
             {"missing": F.array().cast("array<string>"), "accepted": F.lit(True)}
         ).unionByName(rejected.withColumn("accepted", F.lit(False)), allowMissingColumns=True)
-        tagged.write.mode("overwrite").partitionBy("accepted").parquet(
-            f"{path}/batch_id={batch_id}"
-        )
+        folder = batch_folder(path, run, batch_id)
+        tagged.write.mode("overwrite").partitionBy("accepted").parquet(folder)
         batch.unpersist()
 
     return (
@@ -244,19 +256,16 @@ def stream_ingest(records, path, checkpoint, enrich=ingest_enriched, **trigger):
     )
 
 
-def earlier_ids(spark, path, batch_id):
-    """Ids of the batches before one."""
-    schema = "id bigint, batch_id bigint"
-    return rows_or_none(spark, schema, path).filter(F.col("batch_id") < batch_id)
-
-
 def ingested(spark, path):
     """Accepted rows of ``stream_ingest``."""
-    rows = spark.read.parquet(path).filter(F.col("accepted") == "true")
-    return rows.drop("accepted", "batch_id", "missing")
+    return stored_batches(spark, path, "true").drop("missing")
 
 
 def refused(spark, path):
     """Refused rows of ``stream_ingest`` with what they lack."""
-    rows = spark.read.parquet(path).filter(F.col("accepted") == "false")
-    return rows.drop("accepted", "batch_id")
+    return stored_batches(spark, path, "false")
+
+
+def stored_batches(spark, path, accepted):
+    rows = spark.read.parquet(path).filter(F.col("accepted") == accepted)
+    return rows.drop("accepted", *BATCH_KEY)
