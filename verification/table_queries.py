@@ -385,11 +385,11 @@ def stream_daily_rollup(spark, sf_dir):
     return jobs.current_rollup(spark, f"{path}/log")
 
 
-def in_batches(spark, events, path, run):
-    """Run a stream over ``events`` in four goes, the newest days first."""
-    day = F.dayofmonth("ts")
-    for low in [24, 16, 8, 0]:
-        part = events.filter((day >= low) & (day < (low + 8 if low < 24 else 32)))
+def in_batches(spark, events, path, run, goes=(24, 16, 8, 0)):
+    """Run a stream over ``events`` in some goes, the newest days first."""
+    day, high = F.dayofmonth("ts"), 32
+    for low in goes:
+        part, high = events.filter((day >= low) & (day < high)), low
         part.write.parquet(f"{path}/from-{low}")
         run(views.feedback_of(folders_stream(spark, path)))
 
@@ -419,7 +419,8 @@ def publish_rollup(spark, sf_dir):
         jobs.stream_daily_rollup(feedback, f"{path}/log", f"{path}/state").awaitTermination()
 
     load("view")
-    in_batches(spark, events.filter(~kind.isin("view", "error")), f"{path}/events", run)
+    streamed = events.filter(~kind.isin("view", "error"))
+    in_batches(spark, streamed, f"{path}/events", run, goes=(16, 0))
     jobs.publish_rollup(spark, f"{path}/log", f"{path}/daily")
     load("error")
     jobs.compact_log(spark, f"{path}/log")

@@ -67,15 +67,10 @@ def sums_of_parts(parts):
     return parts.groupBy(*DAILY_METRICS_KEY).agg(*[F.sum(c).alias(c) for c in sums])
 
 
-def parts_of_rollup(rollup):
-    """Stored rollup rows as parts: counts as they are, score sums as near as the mean tells."""
+def guessed_scores():
+    """Score sum and count of a rollup row that holds its mean only, as near as the mean tells."""
     scored = F.when(F.col("avg_sentiment_score").isNotNull(), F.col("total_count")).otherwise(0)
-    return rollup.select(
-        *DAILY_METRICS_KEY,
-        *COUNTERS,
-        (F.col("avg_sentiment_score") * scored).alias("score_sum"),
-        scored.alias("score_count"),
-    )
+    return {"score_sum": F.col("avg_sentiment_score") * scored, "score_count": scored}
 
 
 def dedupe_daily(rollup, version):

@@ -95,13 +95,13 @@ def overview_document(feedback):
     def overall(name):
         return F.max(F.when(everything, F.col(name)))
 
-    most_urgent = [-F.col("critical") - F.col("high"), -F.col("total"), F.col("theme")]
-    # Themes are free text: only the first few of them are gathered.
-    place = F.row_number().over(Window.partitionBy("g", known).orderBy(*most_urgent))
-    grouped = grouped.withColumn("place", place)
-    attention = gathered(
-        known & (F.col("place") <= ATTENTION), "place", "theme", total, average, urgent
-    )
+    most_urgent = [
+        (-F.col("critical") - F.col("high")).alias("a"), (-F.col("total")).alias("b"), "theme"
+    ]
+    # Themes are free text: a top-k plan finds the few that are gathered.
+    first = grouped.filter(known).select(*most_urgent, total, average, urgent)
+    first = first.orderBy("a", "b", "theme").limit(ATTENTION)
+    attention = first.agg(without(gathered(F.lit(True), *first.columns), "a", "b")).scalar()
     channels = gathered(
         per_channel, (-F.col("all_rows")).alias("a"), "channel", F.col("all_rows").alias("count")
     )
@@ -119,7 +119,7 @@ def overview_document(feedback):
             overall("high").alias("high_count"),
             overall("avg_sentiment").alias("avg_sentiment"),
         ).alias("stats"),
-        without(attention, "place").alias("topThemes"),
+        attention.alias("topThemes"),
         without(channels, "a").alias("channels"),
         largest.alias("topTheme"),
     )

@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voxloom.operators.rollup import mean_of_parts, parts_of_rollup, sums_of_parts
+from voxloom.operators.rollup import guessed_scores, mean_of_parts, sums_of_parts
 from voxloom.schema import DAILY_METRICS, DAILY_METRICS_REQUIRED
 from voxloom.session import path_exists, remove_folder, stored
 from voxloom.sources.ingest import split_required
@@ -48,8 +48,10 @@ def as_parts(rollup):
     if "avg_sentiment_score" not in rollup.columns:
         return rollup.select(*PART_COLUMNS)
     known = F.col("score_count").isNotNull()
-    guessed = parts_of_rollup(rollup.filter(~known).drop("score_sum", "score_count"))
-    return rollup.filter(known).select(*PART_COLUMNS).unionByName(guessed.select(*PART_COLUMNS))
+    guess = guessed_scores()
+    return rollup.withColumns(
+        {name: F.when(known, F.col(name)).otherwise(guess[name]) for name in guess}
+    ).select(*PART_COLUMNS)
 
 
 def as_stored(parts):
