@@ -1,0 +1,81 @@
+"""Closed days, and the side log of rows that come after."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from tests.conftest import rows_of
+from verification import views
+from voxloom.operators import rollup
+from voxloom.streaming import closing
+
+SF_DIR = "/root/testdata/sf0.001"
+
+
+def texts(frame):
+    return sorted(map(str, rows_of(frame.select(*sorted(frame.columns)))))
+
+
+@pytest.fixture
+def stream(spark, tmp_path):
+    log, source = str(tmp_path / "log"), str(tmp_path / "events")
+
+    def run(events=None, checkpoint="c", delay=2):
+        if events is not None:
+            events.coalesce(1).write.mode("append").parquet(source)
+        given = spark.readStream.schema(views.SCHEMAS["events"]).parquet(source)
+        closing.stream_closing_rollup(
+            views.feedback_of(given), log, str(tmp_path / checkpoint), delay
+        ).awaitTermination()
+
+    return run, log
+
+
+def days(events, low, high):
+    return events.filter(F.dayofmonth("ts").between(low, high))
+
+
+def test_closed_open_and_late_rows_add_up(spark, stream, tmp_path):
+    run, log = stream
+    events = views.table(spark, SF_DIR, "events")
+    early = events.filter(F.col("event_id") % 5 != 0)
+    late = events.filter(F.col("event_id") % 5 == 0)
+    run(days(early, 1, 10))
+    run(days(early, 11, 20))
+    # The 18th is the first open day: of these only the days before are late.
+    undated = days(late, 30, 31).withColumn("ts", F.lit(None).cast("timestamp_ntz"))
+    run(days(late, 16, 19).unionByName(undated))
+    came = days(early, 1, 20).unionByName(days(late, 16, 19)).unionByName(undated)
+    feedback = views.feedback_of(came)
+    assert texts(closing.complete_rollup(spark, log)) == texts(rollup.daily_rollup(feedback))
+    missed = views.feedback_of(days(late, 16, 17))
+    assert texts(rollup.sum_of_parts(closing.late_parts(spark, log))) == texts(rollup.daily_rollup(missed))
+    closed = views.feedback_of(days(early, 1, 17))
+    assert texts(closing.closed_rollup(spark, log, 2)) == texts(rollup.daily_rollup(closed))
+    opened = views.feedback_of(days(early, 18, 20).unionByName(days(late, 18, 19)).unionByName(undated))
+    assert texts(closing.open_rollup(spark, log, 2)) == texts(rollup.daily_rollup(opened))
+    before = texts(closing.late_parts(spark, log))
+    # The last batch again: it parts its rows by its own note.
+    commits = tmp_path / "c" / "commits"
+    (commits / "2").unlink()
+    (commits / ".2.crc").unlink(missing_ok=True)
+    run()
+    assert texts(closing.late_parts(spark, log)) == before
+    assert texts(closing.complete_rollup(spark, log)) == texts(rollup.daily_rollup(feedback))
+
+
+def test_notes(spark, tmp_path):
+    path = str(tmp_path / "notes")
+    assert closing.note_batch(spark, path, "a", 0, 10, 2) is None
+    assert closing.note_batch(spark, path, "a", 1, 20, 2) == 8
+    assert closing.note_batch(spark, path, "a", 1, 20, 2) == 8
+    assert closing.note_batch(spark, path, "a", 2, None, 2) == 18
+    assert closing.note_batch(spark, path, "a", 3, 5, 2) == 18
+    assert closing.note_batch(spark, path, "b", 0, None, 2) is None
+    with pytest.raises(ValueError):
+        closing.note_batch(spark, path, "a", 2, None, 2)
+
+
+def test_nothing_is_closed_before_any_row(spark, tmp_path):
+    log = str(tmp_path / "log")
+    assert rows_of(closing.closed_rollup(spark, log)) == []
+    assert rows_of(closing.late_parts(spark, log)) == []

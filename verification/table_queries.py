@@ -13,7 +13,7 @@ from voxloom.sources import batches as batches_of_rows
 from voxloom.sources import ingest, tables
 from voxloom.sources.batches import append_batch
 from voxloom.sources.quarantine import quarantine_path, quarantined
-from voxloom.streaming import jobs
+from voxloom.streaming import closing, jobs
 
 
 RANK = "CAST(row_number() OVER (ORDER BY {}) AS INTEGER) AS rank"
@@ -440,6 +440,34 @@ def stream_rollup_updates(spark, sf_dir):
     return jobs.latest_updates(spark, f"{path}/log")
 
 
+@registered(
+    """
+    SELECT metric_date, theme, total_count, CASE WHEN metric_date >= DATE '2024-01-22' THEN 'open'
+        WHEN metric_date > DATE '2024-01-12' THEN 'closed' ELSE 'late' END AS state
+    FROM (SELECT * FROM rollup_rows WHERE metric_date < DATE '2024-01-25')
+    """
+)
+def stream_closing_rollup(spark, sf_dir):
+    """Days 13 to 24 in two goes, then the days before, of which all rows are late."""
+    path = scratch_path(spark, "closing_rollup")
+
+    def run(feedback):
+        closing.stream_closing_rollup(feedback, f"{path}/log", f"{path}/state", 2).awaitTermination()
+
+    events = views.table(spark, sf_dir, "events")
+    day = F.dayofmonth("ts")
+    for name, rows in [("a", day.between(13, 18)), ("b", day.between(19, 24)), ("c", day < 13)]:
+        events.filter(rows).write.parquet(f"{path}/events/{name}")
+        run(views.feedback_of(folders_stream(spark, f"{path}/events")))
+    late = rollup.sum_of_parts(closing.late_parts(spark, f"{path}/log"))
+    whole = late.withColumn("state", F.lit("late"))
+    for state, found in [("closed", closing.closed_rollup), ("open", closing.open_rollup)]:
+        whole = whole.unionByName(
+            found(spark, f"{path}/log", 2).withColumn("state", F.lit(state))
+        )
+    return whole.select("metric_date", "theme", "total_count", "state")
+
+
 def live_rollup(spark, sf_dir):
     """Parts of the rollup: older days loaded, newer ones streamed, the newest not published."""
     path = scratch_path(spark, "live_rollup")
