@@ -153,6 +153,29 @@ def test_another_checkpoint_adds_to_the_table(spark, path, tmp_path):
     assert len(rows_of(jobs.refused(spark, path))) == 1
 
 
+def test_folding_ingested_batches_changes_no_row(spark, path, tmp_path):
+    for n in range(4):
+        stream_records(spark, tmp_path, "c1", [(f"a{n}", "s", None), (f"b{n}", None, "u")])
+    stream_records(spark, tmp_path, "c2", [("c", "s", None)])
+
+    def state():
+        return texts(jobs.ingested(spark, path)), texts(jobs.refused(spark, path))
+
+    before = state()
+    # A base that was not finished does not count.
+    spark.read.parquet(path).drop("run", "batch_id").write.partitionBy("accepted").parquet(
+        jobs.batch_folder(path, "base-0", 0)
+    )
+    assert state() == before
+    for _ in range(2):
+        jobs.compact_ingested(spark, path)
+        assert state() == before
+    folders = [f for run in (tmp_path / "table").glob("run=*") for f in run.glob("batch_id=*")]
+    assert len(folders) == 3
+    stream_records(spark, tmp_path, "c1", [("last", "s", None)])
+    assert sorted(r["id"] for r in rows_of(jobs.ingested(spark, path))) == list(range(1, 7))
+
+
 def test_a_batch_reads_no_stored_rows(spark, path, tmp_path, monkeypatch):
     stream_records(spark, tmp_path, "c1", [("a", "s", None)])
     monkeypatch.setattr(jobs, "stored_ids", lambda *given: pytest.fail("stored rows were read"))

@@ -94,8 +94,17 @@ def mark_published(batches, log_path):
 
 def parts_log(spark, log_path):
     """All logged parts that count: not those folded into a base, nor an unfinished base."""
-    rows = rows_or_none(spark, T.StructType([*PARTS, *BATCH]), log_path)
-    covers = rows_or_none(spark, COVERS, f"{log_path}.covers")
+    return not_folded(rows_or_none(spark, T.StructType([*PARTS, *BATCH]), log_path), log_path)
+
+
+def folded(spark, log_path):
+    """The batches that are folded, and the base each is in."""
+    return rows_or_none(spark, COVERS, f"{log_path}.covers")
+
+
+def not_folded(rows, log_path):
+    """Rows of batches that are not folded into a base, and of finished bases."""
+    covers = folded(rows.sparkSession, log_path)
     bases = covers.select(F.col("base").alias("run")).distinct()
     is_base = F.col("run").startswith("base-")
     counted = rows.join(covers.select(*BATCH_KEY).distinct(), BATCH_KEY, "left_anti")
@@ -158,6 +167,15 @@ def live_parts(spark, log_path, table_path):
     return sums_of_parts(rows)
 
 
+def fold(batches, base, log_path):
+    """Have a base that is written stand for some batches, and remove their folders."""
+    spark = batches.sparkSession
+    batches.withColumn("base", F.lit(base)).write.mode("append").parquet(f"{log_path}.covers")
+    # The folders' names, not their rows.
+    for run, batch_id in batches.toLocalIterator():
+        remove_folder(spark, batch_folder(log_path, run, batch_id))
+
+
 def compact_log(spark, log_path):
     """Fold all published batches of a log into one, and remove their folders.
 
@@ -169,13 +187,10 @@ def compact_log(spark, log_path):
     batches = stored(log.select(*BATCH_KEY).distinct().join(done, BATCH_KEY, "left_semi"), "fold")
     number = done.filter(F.col("run").startswith("base-")).select("run").distinct().count()
     base = f"base-{number}"
-    folded = log.join(batches, BATCH_KEY, "left_semi").drop(*BATCH_KEY)
-    sums_of_parts(folded).write.mode("overwrite").parquet(batch_folder(log_path, base, 0))
+    parts = log.join(batches, BATCH_KEY, "left_semi").drop(*BATCH_KEY)
+    sums_of_parts(parts).write.mode("overwrite").parquet(batch_folder(log_path, base, 0))
     mark_published(one_batch(spark, base), log_path)
-    batches.withColumn("base", F.lit(base)).write.mode("append").parquet(f"{log_path}.covers")
-    # The folders' names, not their rows.
-    for run, batch_id in batches.toLocalIterator():
-        remove_folder(spark, batch_folder(log_path, run, batch_id))
+    fold(batches, base, log_path)
 
 
 def as_utc(created_at):
@@ -267,5 +282,26 @@ def refused(spark, path):
 
 
 def stored_batches(spark, path, accepted):
-    rows = spark.read.parquet(path).filter(F.col("accepted") == accepted)
+    rows = not_folded(spark.read.parquet(path), path).filter(F.col("accepted") == accepted)
     return rows.drop("accepted", *BATCH_KEY)
+
+
+def compact_ingested(spark, path):
+    """Fold the batches of ``stream_ingest``, but each run's newest, into one folder.
+
+    A base counts from the moment its list of batches is written, so readers see every
+    row once. The streams may go on. One folding at a time.
+    """
+    rows = not_folded(spark.read.parquet(path), path)
+    batches = rows.select(*BATCH_KEY).distinct()
+    newest = batches.filter(~F.col("run").startswith("base-")).groupBy("run").agg(
+        F.max("batch_id").alias("batch_id")
+    )
+    old = stored(batches.join(newest, BATCH_KEY, "left_anti"), "fold")
+    if old.isEmpty():
+        return
+    number = folded(spark, path).select("base").distinct().count()
+    whole = rows.join(old, BATCH_KEY, "left_semi").drop(*BATCH_KEY)
+    writer = whole.hint("rebalance", "accepted").write.mode("overwrite").partitionBy("accepted")
+    writer.parquet(batch_folder(path, f"base-{number}", 0))
+    fold(old, f"base-{number}", path)
