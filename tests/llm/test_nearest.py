@@ -15,7 +15,7 @@ def slow_search(rows, step=100, k=10):
         if vec_id is None or vector is None or any(x is None or not math.isfinite(x) for x in vector):
             continue
         ints = tuple(math.floor(1024 * float(np.float32(x))) for x in vector)
-        usable.setdefault(vec_id, set()).add(ints)
+        usable.setdefault(vec_id, []).append(ints)
     found = set()
     for query_id, vectors in usable.items():
         if query_id % step:
@@ -56,6 +56,17 @@ def test_ties_nulls_and_widths(spark):
     assert rows_of(nearest.search_table(few)) == {(0, 1, 1, 1024 * 2048)}
 
 
+def test_repeated_rows_are_found_each(spark):
+    rows = [(0, [1.0]), (7, [3.0]), (7, [3.0]), (7, [2.0]), (9, [3.0]), (100, [0.5])]
+    found = nearest.search_table(spark.createDataFrame(rows, SCHEMA))
+    assert rows_of(found.filter("query_id = 0")) == {
+        (0, n + 1, i, 1024 * 1024 * x // 1) for n, (i, x) in enumerate([(7, 3), (7, 3), (9, 3), (7, 2)])
+    } | {(0, 5, 100, 1024 * 512)}
+    many = [(0, [1.0]), *[(5, [2.0])] * 3000, (6, [1.0])]
+    found = nearest.search_table(spark.createDataFrame(many, SCHEMA)).collect()
+    assert sorted((r["rank"], r.vec_id) for r in found) == [(n, 5) for n in range(1, 11)]
+
+
 def test_blocks_do_not_matter(spark):
     draw = random.Random(6)
     rows = [(i, [draw.gauss(0, 1) for _ in range(8)]) for i in range(400)]

@@ -41,7 +41,6 @@ def integer_vectors(table, scale=SCALE):
             "vec_id",
             F.transform("embedding", lambda x: F.floor(x * scale).cast("long")).alias("vector"),
         )
-        .distinct()
         .withColumn("width", F.size("vector"))
     )
 
@@ -116,7 +115,9 @@ def top_k(vectors, queries, k=K, block_rows=BLOCK_ROWS, block_queries=BLOCK_QUER
     query_blocks = max(1, math.ceil(queries.count() / block_queries))
 
     def block(count):
-        return F.pmod(F.xxhash64("vec_id"), F.lit(count)).cast("int")
+        # By the row, not by its id, of which there may be many.
+        row = F.xxhash64("vec_id", F.monotonically_increasing_id())
+        return F.pmod(row, F.lit(count)).cast("int")
 
     def numbers(count):
         return F.explode(F.sequence(F.lit(0), F.lit(count - 1)))

@@ -167,7 +167,7 @@ def op7_quality_rules(spark, sf_dir):
 
 @registered("""
 WITH vectors AS (
-  SELECT DISTINCT vec_id,
+  SELECT vec_id,
     list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS vector
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
