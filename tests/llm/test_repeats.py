@@ -1,5 +1,6 @@
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -124,3 +125,39 @@ def test_given_documents(given_docs, texts):
         if row.doc_id in short:
             expected = slow_measure(texts[row.doc_id], repeats.MIN_REPEAT)
             assert {name: row[f"__{name}"] for name in expected} == expected
+
+
+def test_memory_grows_with_the_words_alone():
+    draw = np.random.default_rng(4)
+
+    def bytes_a_word(n):
+        half = draw.integers(0, 5000, n // 2, dtype=np.int32)
+        symbols, ends = np.r_[half, half], np.full(n, n, np.int32)
+        tracemalloc.start()
+        longest = repeats.longest_elsewhere(symbols, ends)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert longest[0] == n // 2
+        return peak / n
+
+    small, large = bytes_a_word(20_000), bytes_a_word(320_000)
+    assert large < 110 and large < 1.3 * small
+
+
+def test_wrong_guesses_are_found(monkeypatch):
+    draw = random.Random(7)
+    symbols = np.array([draw.randrange(3) for _ in range(400)])
+    ends = np.full(400, 400)
+    expected = repeats.longest_elsewhere(symbols, ends)
+    guess, calls = repeats.guessed_prefix, []
+
+    def wrong_at_first(*given):
+        common = guess(*given)
+        calls.append(1)
+        if len(calls) < 4:
+            common[len(calls) * 7] += (-1) ** len(calls)
+        return common
+
+    monkeypatch.setattr(repeats, "guessed_prefix", wrong_at_first)
+    assert (repeats.longest_elsewhere(symbols, ends) == expected).all()
+    assert len(calls) == 4

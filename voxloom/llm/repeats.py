@@ -5,7 +5,8 @@ different texts never compare equal, so repeats stay within a text. The longest
 common prefix of neighbours gives the deepest interval that every suffix lies
 in: the longest substring that starts there and occurs elsewhere in the text.
 Those of at least ``MIN_REPEAT`` words are the maximal repeated substrings;
-their spans are united.
+their spans are united. Prefixes are measured by hashes and then compared in the
+order of the text, so they are exact and memory grows with the words of a text.
 
 Base rules are counted beside it. Defined results: a NULL text has no words and
 fails the base rules; repeated rows are judged each; an empty table gives an
@@ -15,80 +16,164 @@ empty result; other columns are left out or, in ``clean``, kept.
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voxloom.llm.shared import byte_list
+from voxloom.llm.shared import byte_list, whole_words
 
 #: A repeated passage has at least this many words.
 MIN_REPEAT = 8
 #: A text fails if repeated passages cover more of its words than this, or if
 #: the longest one is longer than this many words, however long the text is.
 MOST_COVERED, LONGEST_REPEAT = 0.30, 100
-#: The part of a text up to which a longer repeat would be let pass: none.
-LONGEST_SHARE = 0
 #: Base rules: fewest words, and the largest percentage of words in repeated windows.
 MIN_WORDS, WINDOW, MOST_WINDOW_PERCENT = 50, 3, 50
 #: Words whose suffixes are sorted at once; a longer text is sorted alone.
 WORDS_AT_ONCE = 200_000
+#: Modulus of the prefix hashes, tries with other bases, and symbols compared at a time.
+PRIME, ATTEMPTS, COMPARED_AT_ONCE = 2**31 - 1, 20, 1 << 20
 
 SPACES = b" \t\n\r\x0b\x0c"
 SYMBOLS = b"#*$%&|<>"
 CONTINUATION = bytes(range(0x80, 0xC0))
 
 
+def powers_of(base, n):
+    """Powers of ``base`` modulo ``PRIME``, from 0 to ``n``."""
+    import numpy as np
+
+    found = np.ones(1, np.uint64)
+    while len(found) <= n:
+        step = np.uint64(pow(base, len(found), PRIME))
+        found = np.concatenate([found, found * step % np.uint64(PRIME)])[: n + 1]
+    return found
+
+
+def guessed_prefix(symbols, room, left, right, levels, bases):
+    """Length up to ``room`` of the common prefix of suffixes, as two hashes of prefixes see it."""
+    import numpy as np
+
+    prime, n = np.uint64(PRIME), len(symbols)
+    hashes = []
+    for base in bases:
+        powers = powers_of(base, n)
+        terms = (symbols.astype(np.uint64) + np.uint64(1)) % prime * powers[:n] % prime
+        np.cumsum(terms, out=terms)
+        terms %= prime
+        sums = np.zeros(n + 1, np.uint32)
+        sums[1:] = terms
+        hashes.append((sums, powers.astype(np.uint32)))
+        del powers, terms, sums
+    common = np.zeros(len(left), left.dtype)
+    for level in range(levels - 1, -1, -1):
+        step = 1 << level
+        fits = np.flatnonzero(common + step <= room)
+        low = np.minimum(left[fits], right[fits]) + common[fits]
+        high = np.maximum(left[fits], right[fits]) + common[fits]
+        same = np.ones(len(fits), bool)
+        for sums, powers in hashes:
+            first, second = (
+                (sums[at + step].astype(np.uint64) + prime - sums[at]) % prime for at in (low, high)
+            )
+            same &= first * powers[high - low] % prime == second
+        common[fits[same]] += step
+    return common
+
+
+def is_common_prefix(symbols, room, left, right, common):
+    """Whether ``common`` is right for every suffix and the one before it in their order.
+
+    If the suffix at p shares h symbols with the one before it, the one at p + 1 shares at
+    least h - 1 with its own; only what goes beyond is compared, twice the text at most.
+    """
+    import numpy as np
+
+    by_place = np.zeros(len(symbols) + 1, common.dtype)
+    by_place[right + 1] = common
+    sure = np.maximum(by_place[right] - 1, 0)
+    if (common < sure).any():
+        return False
+    goes_on = np.flatnonzero(common < room)
+    goes_on_by = common[goes_on]
+    if (symbols[left[goes_on] + goes_on_by] == symbols[right[goes_on] + goes_on_by]).any():
+        return False
+    until = np.cumsum(common - sure, dtype=np.int64)
+    for start in range(0, int(until[-1]) if len(until) else 0, COMPARED_AT_ONCE):
+        turn = np.arange(start, min(start + COMPARED_AT_ONCE, until[-1]))
+        pair = np.searchsorted(until, turn, side="right")
+        ahead = common[pair] - (until[pair] - turn)
+        if (symbols[left[pair] + ahead] != symbols[right[pair] + ahead]).any():
+            return False
+    return True
+
+
+def common_prefix(symbols, ends, left, right, levels):
+    """Length of the common prefix of neighbours in the order of suffixes, below 2**levels.
+
+    Exact: guessed by hashes, then compared; a wrong guess is made again by other hashes.
+    """
+    import numpy as np
+
+    room = (ends[left] - np.maximum(left, right)).astype(left.dtype)
+    for attempt in range(ATTEMPTS):
+        bases = [pow(7, 100_003 * (2 * attempt + i) + 17, PRIME) for i in (1, 2)]
+        common = guessed_prefix(symbols, room, left, right, levels, bases)
+        if is_common_prefix(symbols, room, left, right, common):
+            return common
+    raise ArithmeticError("no pair of hashes told the suffixes apart")
+
+
 def longest_elsewhere(symbols, ends):
     """For every position, how many symbols from it on occur elsewhere too.
 
-    ``symbols`` are numbers, distinct between texts; ``ends`` holds for every
-    position the end of its text.
+    ``symbols`` are numbers from 0, distinct between texts; ``ends`` holds for every
+    position the end of its text. Memory is a fixed number of arrays as long as the input.
     """
     import numpy as np
 
     n = len(symbols)
-    result = np.zeros(n, np.int64)
+    kind = np.int32 if n < 2**31 - 2 else np.int64
+    result = np.zeros(n, kind)
     if n < 2:
         return result
-    order = np.argsort(symbols, kind="stable")
-    sorted_symbols = symbols[order]
-    index = np.arange(n)
-    new = np.r_[True, sorted_symbols[1:] != sorted_symbols[:-1]]
-    rank = np.empty(n, np.int64)
-    rank[order] = np.maximum.accumulate(np.where(new, index, 0))
-    single = new & np.r_[new[1:], True]
-    active = order[~single]
-    repeated = active
-    # ranks[k] orders the suffixes by their first 2**k symbols.
-    ranks, width = [rank.astype(np.int32)], 1
+    order = np.argsort(symbols, kind="stable").astype(kind)
+    index = np.arange(n, dtype=kind)
+    new = np.r_[True, np.diff(symbols[order]) != 0]
+    rank = np.empty(n, kind)
+    rank[order] = np.maximum.accumulate(np.where(new, index, kind(0)))
+    active = order[~(new & np.r_[new[1:], True])]
+    repeated = np.zeros(n, bool)
+    repeated[active] = True
+    del order, new
+    # ``rank`` orders the suffixes by their first 2**levels symbols.
+    levels = 0
     while len(active):
-        beyond = active + width
+        beyond = active + kind(1 << levels)
         inside = beyond < ends[active]
-        second = np.where(inside, rank[np.minimum(beyond, n - 1)] + 1, 0)
-        by = np.argsort(rank[active] * (n + 2) + second, kind="stable")
+        second = np.where(inside, rank[np.minimum(beyond, n - 1)] + kind(1), kind(0))
+        del beyond, inside
+        both = rank[active] * np.int64(n + 2) + second
+        by = np.argsort(both, kind="stable").astype(kind)
+        del both
         active, second = active[by], second[by]
-        old, place = rank[active], np.arange(len(active))
+        del by
+        old, place = rank[active], index[: len(active)]
         old_new = np.r_[True, old[1:] != old[:-1]]
         new = old_new | np.r_[True, second[1:] != second[:-1]]
-        first_old = np.maximum.accumulate(np.where(old_new, place, 0))
-        first_new = np.maximum.accumulate(np.where(new, place, 0))
-        rank = rank.copy()
-        rank[active] = old + first_new - first_old
+        first_old = np.maximum.accumulate(np.where(old_new, place, kind(0)))
+        first_new = np.maximum.accumulate(np.where(new, place, kind(0)))
+        rank[active] = old + (first_new - first_old)
         active = active[~(new & np.r_[new[1:], True])]
-        width *= 2
-        ranks.append(rank.astype(np.int32))
-    suffixes = np.empty(n, np.int64)
+        levels += 1
+    del active
+    suffixes = np.empty(n, kind)
     suffixes[rank] = index
-    # Longest common prefix of neighbours, from the widest equal prefix down.
-    spots = np.sort(rank[repeated])
+    spots = np.flatnonzero(repeated[suffixes])
     left, right = suffixes[spots[:-1]], suffixes[spots[1:]]
-    near = (spots[1:] == spots[:-1] + 1) & (ranks[0][left] == ranks[0][right])
+    near = (np.diff(spots) == 1) & (symbols[left] == symbols[right])
     left, right = left[near], right[near]
-    common = np.zeros(len(left), np.int64)
-    for level in range(len(ranks) - 1, -1, -1):
-        a, b = left + common, right + common
-        inside = np.maximum(a, b) < np.maximum(ends[left], ends[right])
-        at = ranks[level]
-        same = inside & (at[np.minimum(a, n - 1)] == at[np.minimum(b, n - 1)]) & (a != b)
-        common += np.where(same, 1 << level, 0)
-    np.maximum.at(result, left, common)
-    np.maximum.at(result, right, common)
+    del rank, suffixes, spots, near, repeated, index
+    common = common_prefix(symbols, ends, left, right, levels)
+    # Every suffix is at most once the left and once the right one.
+    result[left] = common
+    result[right] = np.maximum(result[right], common)
     return result
 
 
@@ -113,22 +198,23 @@ def measure(texts, min_repeat=MIN_REPEAT):
     import numpy as np
 
     found = []
-    held, size = [], 0
+    held, known, size = [], {}, 0
 
     def flush():
         if not held:
             return
-        known = {}
-        symbols, starts = [], [0]
-        for words in held:
-            symbols.append(np.fromiter(
-                (known.setdefault(word, len(known)) for word in words), np.int64, len(words)
-            ))
-            starts.append(starts[-1] + len(words))
+        starts = [0, *np.cumsum([len(symbols) for symbols in held]).tolist()]
         n = starts[-1]
-        owner = np.repeat(np.arange(len(held)), np.diff(starts))
-        ends = np.repeat(starts[1:], np.diff(starts))
-        whole = np.concatenate(symbols) + owner * (len(known) + 1)
+        # Texts have numbers of their own.
+        largest = max(n, len(held) * (len(known) + 1))
+        kind = np.int32 if largest < 2**31 else np.int64
+        whole = np.empty(n, kind)
+        for row, symbols in enumerate(held):
+            whole[starts[row] : starts[row + 1]] = symbols
+            whole[starts[row] : starts[row + 1]] += row * (len(known) + 1)
+        held.clear()
+        known.clear()
+        ends = np.repeat(np.array(starts[1:], kind), np.diff(starts))
         longest = longest_elsewhere(whole, ends)
         short = np.flatnonzero(longest >= WINDOW)
         window = covered(short, np.full(len(short), WINDOW), n)
@@ -144,15 +230,18 @@ def measure(texts, min_repeat=MIN_REPEAT):
                 "longest_repeat": int(longest[low:high].max(initial=0)),
                 "repeat_spans": edges.tolist(),
             })
-        held.clear()
 
     for data in texts:
-        words = data.split()
-        if size + len(words) > WORDS_AT_ONCE:
+        # A text has a word per two bytes at most.
+        if size + len(data) // 2 + 1 > WORDS_AT_ONCE:
             flush()
             size = 0
-        held.append(words)
-        size += len(words)
+        parts = [
+            np.fromiter((known.setdefault(w, len(known)) for w in words), np.int32, len(words))
+            for words in whole_words(data)
+        ]
+        held.append(np.concatenate(parts))
+        size += len(held[-1])
     flush()
     for row, data in zip(found, texts, strict=True):
         inked = data.translate(None, SPACES)
@@ -198,11 +287,10 @@ def judge(docs, keep=("doc_id",), min_repeat=MIN_REPEAT, spans=False):
     failed = (words < MIN_WORDS) | (100 * windows > MOST_WINDOW_PERCENT * words)
     covering = F.col("__covered_words") > MOST_COVERED * words
     longest = F.col("__longest_repeat")
-    long = (longest > LONGEST_REPEAT) & (longest > LONGEST_SHARE * words)
     return (
         given.mapInArrow(run, T.StructType(fields))
         .withColumn("__base_failed", failed)
-        .withColumn("__kept", ~failed & ~covering & ~long)
+        .withColumn("__kept", ~failed & ~covering & (longest <= LONGEST_REPEAT))
     )
 
 
