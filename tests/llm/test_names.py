@@ -1,0 +1,76 @@
+"""Columns whose names operators use themselves, or that are no plain words."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from voxloom.llm import language_id, mixing, packing, repeats, simhash
+from voxloom.llm.shared import id_remainder, renamed, window_bytes
+
+NAMES = [
+    "__0", "__1", "__ahead", "__base_failed", "__bucket", "__copies", "__each", "__fingerprint", "__from",
+    "__id", "__kept", "__key", "__lang_pred", "__n_words", "__number", "__order", "__part", "__place",
+    "__position", "__positions", "__rank", "__score", "__size", "__source_size", "__target", "__text_key",
+    "__turn", "__until", "__words", "kept", "score", "size", "component", "a.b", "two words", "`q`", "given_5",
+]
+
+STAGES = {
+    "language": lambda docs: language_id.with_language(docs, id_remainder("doc_id", 5) != 0),
+    "quality": repeats.clean,
+    "copies": simhash.one_of_each,
+    "mix": mixing.mix,
+}
+
+
+@pytest.fixture(scope="module")
+def both(spark, make_docs):
+    draw = random.Random(2)
+    texts = [" ".join("".join(draw.choices("abcdefgh", k=5)) for _ in range(80)) for _ in range(30)]
+    texts += texts[:5] + ["", None, "12 34"]
+    rows = [(i, t, "en" if i % 2 else "fr", f"s{i % 3}") for i, t in enumerate(texts)]
+    extra = {name: f"value {i}" for i, name in enumerate(NAMES)}
+    return make_docs(*rows), make_docs(*rows, **extra), extra
+
+
+@pytest.mark.parametrize("stage", STAGES)
+def test_given_names_change_nothing(both, stage):
+    plain, clashing, extra = both
+    found = STAGES[stage](clashing)
+    assert found.columns == clashing.columns
+    rows = found.collect()
+    assert rows and all(tuple(row)[-len(extra):] == tuple(extra.values()) for row in rows)
+    expected = STAGES[stage](plain).collect()
+    assert sorted(str(tuple(r)[:5]) for r in rows) == sorted(str(tuple(r)) for r in expected)
+
+
+def test_pack_makes_its_columns_anew(spark):
+    pieces = spark.range(20).select(F.col("id").alias("doc_id"), (F.col("id") + 90).alias("length"))
+    own = [F.lit(n).alias(n) for n in ("__from", "__part", "__number", "__rank", "a.b", "offset", "sequence_id")]
+    found = packing.pack(pieces.select("*", *own), 400)
+    plain = packing.pack(pieces, 400)
+    assert found.columns == ["doc_id", "length", "__from", "__part", "__number", "__rank", "a.b",
+                             "sequence_id", "offset"]
+    wanted = {(r.doc_id, r.sequence_id, r.offset) for r in plain.collect()}
+    assert {(r.doc_id, r.sequence_id, r.offset) for r in found.collect()} == wanted
+
+
+def test_renamed_names_come_back(spark):
+    rows = spark.createDataFrame([(1, 2, 3)], "`__a` long, given_0 long, b long")
+    hidden, back = renamed(rows)
+    assert hidden.columns == ["given_0_", "given_0", "b"]
+    assert back(hidden.withColumn("__a", F.lit(9))).first().asDict() == {"__a": 1, "given_0": 2, "b": 3}
+    assert renamed(rows, ("__a",))[0].columns == rows.columns
+
+
+def test_windows_lie_anywhere(spark):
+    texts = [f"{i} " + "aé😀" * 400 + f" {i}" for i in range(60)] + ["short", "", None]
+    table = spark.createDataFrame([(t,) for t in texts], "text string")
+    places = set()
+    for text, window in table.select("text", window_bytes("text", 300).alias("w")).collect():
+        if text is None or len(text) < 10:
+            assert window == text
+            continue
+        assert 292 <= len(window.encode()) <= 300 and window in text
+        places.add("start" if window.startswith(text[:3]) else "end" if text.endswith(window) else "inside")
+    assert "inside" in places

@@ -9,19 +9,20 @@ seen excluded; below all contexts every byte is as likely. Frozen counts make
 that a fixed table of code lengths per context and byte. A text's code length
 under a language is the sum over its bytes; the shortest wins.
 
-The trees come from a bounded sample: the first ``SAMPLE_BYTES`` bytes of
-``SAMPLE_TEXTS`` texts of each language, chosen by the hash of their ids among all
+The trees come from a bounded sample: ``SAMPLE_BYTES`` bytes, from
+any place, of ``SAMPLE_TEXTS`` texts of each language, chosen by the hash of their ids among all
 that have a text.
 
 Defined results: a text that is NULL or has no letter is ``und`` with score 0,
 and so is every text if nothing was learned; ties go to the first language in
-order; repeated rows are judged each; an empty table gives an empty result.
+order; repeated rows are judged each; texts of any length are read whole; other columns
+pass through ``with_language``, whatever their names; an empty table gives an empty result.
 """
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voxloom.llm.shared import byte_list, first_by_hash, first_bytes
+from voxloom.llm.shared import byte_list, first_by_hash, renamed, window_bytes
 from voxloom.session import stored
 
 #: The most bytes of context; scoring looks back over three at most.
@@ -209,7 +210,7 @@ class Identifier:
 
 
 def training_sample(docs, training, texts=SAMPLE_TEXTS, most_bytes=SAMPLE_BYTES):
-    """The start of at most ``texts`` texts of each language, by the hash of their ids.
+    """A window of at most ``texts`` texts of each language, by the hash of their ids.
 
     Rows without id, or whose text is NULL or empty, are not learned from and
     take no other's place. Only ids and the chosen ones' texts move.
@@ -220,7 +221,7 @@ def training_sample(docs, training, texts=SAMPLE_TEXTS, most_bytes=SAMPLE_BYTES)
     chosen = stored(first_by_hash(ids, "lang", texts), "sample")
     # At most ``texts`` rows per language.
     found = written.join(F.broadcast(chosen), ["doc_id", "lang"])
-    return found.groupBy("doc_id", "lang").agg(F.min(first_bytes("text", most_bytes)).alias("text"))
+    return found.groupBy("doc_id", "lang").agg(F.min(window_bytes("text", most_bytes)).alias("text"))
 
 
 def learn(docs, training, order=ORDER, texts=SAMPLE_TEXTS, most_bytes=SAMPLE_BYTES):
@@ -283,6 +284,10 @@ def identify(docs, training, keep=("doc_id",), **given):
 
 
 def with_language(docs, training, **given):
-    """The documents whose language can be told, with the columns of ``docs``."""
-    found = identify(docs, training, docs.columns, **given)
-    return found.filter(F.col("__lang_pred") != UNKNOWN).select(*docs.columns)
+    """The documents whose language can be told, with the columns of ``docs``.
+
+    ``training`` may not use columns whose names begin with two underscores.
+    """
+    rows, back = renamed(docs)
+    found = identify(rows, training, rows.columns, **given)
+    return back(found.filter(F.col("__lang_pred") != UNKNOWN))

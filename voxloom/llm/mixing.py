@@ -9,8 +9,9 @@ demand gives its training position. Copies are then sorted by position.
 
 Defined results: a NULL text has size 0; a NULL source is a source of its own,
 last in order; documents without words are taken 0 words; repeated rows are
-separate documents; an empty table gives an empty result; other columns pass
-through ``mix`` unchanged.
+separate documents; a text of any length is one document; an empty table gives
+an empty result; other columns pass through ``mix`` unchanged, whatever their
+names (a column ``__size`` is the size where there is no ``text``).
 """
 
 import math
@@ -18,7 +19,7 @@ import math
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from voxloom.llm.shared import WORD
+from voxloom.llm.shared import WORD, renamed
 
 #: Weights by turns of the sources in code-point order, NULL last.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -172,9 +173,9 @@ def mix(docs, **given):
 
     Returns the columns of ``docs``. Partitions hold ranges of positions.
     """
-    copies = plan_mix(docs, **given).withColumn("__position", F.explode("__positions"))
-    return (
+    rows, back = renamed(docs, () if "text" in docs.columns else ("__size",))
+    copies = plan_mix(rows, **given).withColumn("__position", F.explode("__positions"))
+    return back(
         copies.repartitionByRange("__position", "doc_id")
         .sortWithinPartitions("__position", "doc_id")
-        .select(*docs.columns)
     )

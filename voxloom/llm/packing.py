@@ -12,12 +12,14 @@ The result is exactly that of packing all pieces one by one.
 
 Defined results: a NULL text is empty and gives one piece, the closing id;
 repeated rows are separate pieces; an empty table gives an empty result; other
-columns of ``pieces`` pass through ``pack``.
+columns of ``pieces`` pass through ``pack``, whatever their names, but for
+``sequence_id`` and ``offset``, which are made anew.
 """
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from voxloom.llm.shared import renamed
 from voxloom.llm.tokens import encoded_slices
 from voxloom.session import stored
 
@@ -145,6 +147,7 @@ def pack(pieces, capacity=CAPACITY):
     is no large group. The numbered pieces are written once.
     """
     spark = pieces.sparkSession
+    pieces, back = renamed(pieces.drop("sequence_id", "offset"))
     within = Window.partitionBy("__part", "length").orderBy(
         *[c for c in ("doc_id", "piece", "start") if c in pieces.columns] or ["length"]
     )
@@ -178,11 +181,12 @@ def pack(pieces, capacity=CAPACITY):
     )
     # The runs are bounded by the capacity, whatever the number of pieces.
     turn = F.col("__rank") - F.col("__from")
-    return placed.join(F.broadcast(runs), fits).select(
+    found = placed.join(F.broadcast(runs), fits).select(
         *pieces.columns,
         (F.col("__sequence") + F.floor(turn / F.col("__each"))).alias("sequence_id"),
         (F.col("__used") + F.pmod(turn, F.col("__each")) * F.col("length")).alias("offset"),
     )
+    return back(found, "sequence_id", "offset")
 
 
 def sequences(packed):

@@ -9,7 +9,7 @@ A filter's weight of a byte at a place is a product of a learned byte embedding
 and the filter. For scoring, the weights of two neighbouring places are added up
 beforehand for all pairs of bytes, so a window of four bytes takes two look-ups.
 
-Training uses the first ``SAMPLE_BYTES`` bytes of at most ``SAMPLE_TEXTS`` labelled
+Training uses ``SAMPLE_BYTES`` bytes, from any place, of at most ``SAMPLE_TEXTS`` labelled
 texts, chosen by the hash of their ids among all that are not NULL.
 
 Defined results: a NULL text counts as empty, and an empty text gets the score
@@ -21,7 +21,7 @@ each; an empty table gives an empty result.
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voxloom.llm.shared import byte_list, first_by_hash, first_bytes
+from voxloom.llm.shared import byte_list, first_by_hash, window_bytes
 from voxloom.session import stored
 
 WIDTH, FILTERS, EMBEDDED, HIDDEN = 4, 16, 8, 16
@@ -235,7 +235,7 @@ def labelled(docs, labels, training):
 
 
 def training_sample(docs, known, texts=SAMPLE_TEXTS, most_bytes=SAMPLE_BYTES):
-    """(start of the text, label) of at most ``texts`` of the ``known`` documents with a text.
+    """(window of the text, label) of at most ``texts`` of the ``known`` documents with a text.
 
     Half of them are of each label if there are as many. They are chosen by the
     hash of their ids; only ids and the chosen ones' texts move.
@@ -244,8 +244,8 @@ def training_sample(docs, known, texts=SAMPLE_TEXTS, most_bytes=SAMPLE_BYTES):
     chosen = stored(first_by_hash(ids, "__label", texts // 2), "sample")
     # At most ``texts`` rows.
     found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    start = F.min(first_bytes("text", most_bytes))
-    return found.groupBy("doc_id", "__label").agg(start.alias("text"))
+    window = F.min(window_bytes("text", most_bytes))
+    return found.groupBy("doc_id", "__label").agg(window.alias("text"))
 
 
 def learn(docs, labels, training, **given):

@@ -10,13 +10,14 @@ order of the text, so they are exact and memory grows with the words of a text.
 
 Base rules are counted beside it. Defined results: a NULL text has no words and
 fails the base rules; repeated rows are judged each; an empty table gives an
-empty result; other columns are left out or, in ``clean``, kept.
+empty result; texts of any length are read whole; other columns are left out or, in
+``clean``, kept, whatever their names.
 """
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voxloom.llm.shared import byte_list, whole_words
+from voxloom.llm.shared import byte_list, renamed, whole_words
 
 #: A repeated passage has at least this many words.
 MIN_REPEAT = 8
@@ -296,4 +297,5 @@ def judge(docs, keep=("doc_id",), min_repeat=MIN_REPEAT, spans=False):
 
 def clean(docs):
     """The documents that pass, with the columns of ``docs``."""
-    return judge(docs, docs.columns).filter("__kept").select(*docs.columns)
+    rows, back = renamed(docs)
+    return back(judge(rows, rows.columns).filter("__kept"))

@@ -1,5 +1,7 @@
 """What several operators share: words, table reading, remainders and samples of ids."""
 
+import re
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -45,13 +47,43 @@ def first_by_hash(rows, key, k):
     )
 
 
-def first_bytes(column, n):
-    """At most ``n`` first bytes of a text column, without a part of a character at the end."""
-    part = F.substring(F.col(column).cast("binary"), 1, n).cast("string")
-    cut = F.rtrim(F.make_valid_utf8(part), F.lit("\ufffd"))
+def window_bytes(column, n):
+    """At most ``n`` bytes of a text column, from a place anywhere in it that its hash chooses.
+
+    Parts of characters at both ends are left out.
+    """
+    places = F.greatest(F.octet_length(column) - n + 1, F.lit(1))
+    start = F.pmod(F.xxhash64(column), places).cast("int") + 1
+    part = F.substring(F.col(column).cast("binary"), start, F.lit(n)).cast("string")
+    cut = F.trim(F.make_valid_utf8(part), F.lit("\ufffd"))
     return F.when(F.octet_length(column) <= n, F.col(column)).otherwise(cut)
 
 
+PLAIN_NAME = re.compile("(?!__)[A-Za-z_][A-Za-z0-9_]*")
+
+
+def renamed(rows, keep=()):
+    """``rows`` without column names that an operator could use itself, and the way back.
+
+    Operators' own columns begin with two underscores. Given columns that do so too, or
+    whose names are no plain words, get other names; those in ``keep`` stay. The second
+    value gives a result's columns of ``rows`` under their names, and others named.
+    """
+    taken = {name.lower() for name in rows.columns}
+    names = []
+    for place, name in enumerate(rows.columns):
+        if not PLAIN_NAME.fullmatch(name) and name not in keep:
+            name = f"given_{place}"
+            while name in taken:
+                name += "_"
+        names.append(name)
+
+    def back(result, *more):
+        return result.select(*names, *more).toDF(*rows.columns, *more)
+
+    return rows.toDF(*names), back
+
+
 def byte_list(column):
     """An Arrow string column as a list of UTF-8 bytes; NULL becomes empty."""
     import pyarrow as pa

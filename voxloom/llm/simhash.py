@@ -17,8 +17,9 @@ Every link is verified by its bit distance.
 
 Defined results: a text without words, or NULL, has fingerprint zero; equal
 fingerprints are linked; a row without id counts as the largest id and its
-component has a NULL id if no other row is in it; an empty table gives an empty
-result.
+component has a NULL id if no other row is in it; texts of any length are read whole;
+other columns pass through ``one_of_each``, whatever their names; an empty table gives
+an empty result.
 """
 
 import math
@@ -28,7 +29,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voxloom.llm.shared import byte_list, whole_words
+from voxloom.llm.shared import byte_list, renamed, whole_words
 from voxloom.session import stored
 
 SHINGLE_WORDS, RADIUS, SEED = 4, 4, 42
@@ -362,13 +363,13 @@ def one_of_each(docs, **given):
     Returns the columns of ``docs``; rows with equal id and fingerprint count as one.
     """
     row = F.min(F.struct("__id", "__fingerprint", "__text_key")).alias("row")
+    docs, back = renamed(docs)
     kept = (
         classified(docs, **given).groupBy("component").agg(row).select("row.__id", "row.__text_key")
     )
     keys = ["__id", "__text_key"]
-    return (
+    return back(
         docs.select("*", known_id(), text_key())
         .join(stored(kept, "kept"), keys, "left_semi")
         .dropDuplicates(keys)
-        .select(*docs.columns)
     )
