@@ -10,7 +10,7 @@ from voxloom.llm.queries import ORACLES, QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
 COLUMNS = {
-    1: "doc_id size source_size target taken",
+    1: "doc_id size source_size target taken position_1 position_2 position_3",
     2: "doc_id fingerprint component_id",
     3: "doc_id held_out score predicted",
     4: "page_id host path rule verdict",

@@ -35,13 +35,37 @@ def registered(sql=None):
     return register
 
 
-@registered("""
+def due_sql(share, knots):
+    """SQL of the time at which a schedule's integral reaches a share of its whole."""
+    def number(x):
+        return f"CAST('{x!r}' AS DOUBLE)"
+
+    pairs = list(zip(knots, knots[1:], strict=False))
+    areas = [(t1 - t0) * (m0 + m1) / 2 for (t0, m0), (t1, m1) in pairs]
+    whole, cases = sum(areas), []
+    for n, ((t0, m0), (t1, m1)) in enumerate(pairs):
+        low, slope = sum(areas[:n]) / whole, (m1 - m0) / (t1 - t0)
+        rest = f"greatest(({share} - {number(low)}) * {number(whole)}, {number(0.0)})"
+        root = f"sqrt(greatest({number(m0 * m0)} + {number(2 * slope)} * {rest}, {number(0.0)}))"
+        time = f"{number(t0)} + 2 * {rest} / ({number(m0)} + {root})"
+        cases.insert(0, f"WHEN {share} >= {number(low)} AND {rest} > 0 THEN {time}")
+        cases.insert(1, f"WHEN {share} >= {number(low)} THEN {number(t0)}")
+    return f"least(CASE {' '.join(cases)} END, {number(1.0)})"
+
+
+DUE = " ".join(
+    f"WHEN {turn} THEN {due_sql('share', knots)}" for turn, knots in enumerate(mixing.SCHEDULES)
+)
+
+
+@registered(f"""
 WITH docs AS (
   SELECT doc_id, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS size,
     CASE WHEN source IS NULL THEN '1' ELSE concat('0', source) END AS k,
     md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
 sources AS (
   SELECT k, CAST(sum(size) AS BIGINT) AS source_size,
+    (row_number() OVER (ORDER BY k) - 1) % 3 AS turn,
     CASE (row_number() OVER (ORDER BY k) - 1) % 3 WHEN 0 THEN CAST(5 AS DOUBLE)
       WHEN 1 THEN CAST(2 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS w
   FROM docs GROUP BY k),
@@ -56,21 +80,28 @@ filled AS (
     after AS (ORDER BY CAST(3 * source_size AS DOUBLE) / w, k
       ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
 targets AS (
-  SELECT k, source_size, least(ceiling, (SELECT max(level) FROM filled) * w) AS target
+  SELECT k, source_size, turn, least(ceiling, (SELECT max(level) FROM filled) * w) AS target
   FROM filled),
 placed AS (
-  SELECT doc_id, size, source_size, target,
-    coalesce(sum(size) OVER (PARTITION BY k ORDER BY h, doc_id, size
-      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + CAST(size AS DOUBLE) / 2 AS middle
-  FROM docs JOIN targets USING (k))
+  SELECT doc_id, size, source_size, target, turn,
+    CAST(coalesce(sum(size) OVER (PARTITION BY k ORDER BY h, doc_id, size
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
+  FROM docs JOIN targets USING (k)),
+due AS (
+  SELECT *, list_transform(
+      list_filter([0, 1, 2], lambda e: start + e * source_size + CAST(size AS DOUBLE) / 2 < target),
+      lambda e: CAST(start + e * source_size AS DOUBLE) / target) AS shares
+  FROM placed),
+timed AS (
+  SELECT *, list_transform(shares, lambda share: CASE turn {DUE} END * words) AS positions
+  FROM due, (SELECT CAST(sum(source_size) AS DOUBLE) AS words FROM sources))
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
-  CAST(size * (CASE WHEN middle < target THEN 1 ELSE 0 END
-    + CASE WHEN middle + source_size < target THEN 1 ELSE 0 END
-    + CASE WHEN middle + 2 * source_size < target THEN 1 ELSE 0 END) AS BIGINT) AS taken
-FROM placed
+  CAST(size * len(positions) AS BIGINT) AS taken,
+  positions[1] AS position_1, positions[2] AS position_2, positions[3] AS position_3
+FROM timed
 """)
 def op1_mixing(spark, sf_dir):
-    """Every document with the words the mix takes of it, in training order."""
+    """Every document with the words the mix takes of it and its copies' training positions."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "source")
     sized = docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("__size"))
     planned = mixing.plan_mix(stored(sized, "sizes"))
@@ -80,6 +111,10 @@ def op1_mixing(spark, sf_dir):
         F.col("__source_size").alias("source_size"),
         F.col("__target").alias("target"),
         (F.col("__size") * F.size("__positions")).alias("taken"),
+        *[
+            F.get("__positions", F.lit(n)).alias(f"position_{n + 1}")
+            for n in range(mixing.MOST_REPEATS)
+        ],
     )
 
 
