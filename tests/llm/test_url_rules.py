@@ -1,5 +1,9 @@
+import re
+
+from pyspark.sql import functions as F
+
 from voxloom.llm import url_rules
-from voxloom.llm.url_rules import Rule, judge_urls, site_rule
+from voxloom.llm.url_rules import Rule, judge_urls, site_rule, wildcard_rule
 
 
 def slow_judge(url):
@@ -73,8 +77,9 @@ def test_index_takes_the_rarest_token(spark):
         Rule("block", "common.*none", ("common", "none"), 0),
         Rule("block", "x*", (), 0),
     ]
-    index = {r.rule_id: r.token for r in url_rules.index_rules(tokens, rules).collect()}
-    assert index == {0: "rare", 1: "none", 2: ""}
+    listed = url_rules.rules_table(spark, rules)
+    index = {r.pattern: r.token for r in url_rules.index_rules(tokens, listed).collect()}
+    assert index == {"common.*rare": "rare", "common.*none": "none", "x*": ""}
 
 
 def test_a_rule_without_tokens_is_tried_on_every_url(spark):
@@ -84,6 +89,69 @@ def test_a_rule_without_tokens_is_tried_on_every_url(spark):
     assert verdicts == {1: "block", 2: "allow"}
 
 
+def many_rules(size=5_000):
+    """Rules on hosts, paths and wildcards, with what they mean: (verdict, host, path)."""
+    given = []
+    for n in range(size):
+        verdict = ("block", "allow")[n % 2]
+        host = ("org", "example.org", f"site{n % 900}.example.com", f"s*{n % 700}.net", "com")[n % 5]
+        path = ("/", f"/en/{n}", f"/*/page{n % 800}*", f"/en/*{n % 50}.html", f"/p{n}*/x")[n * 7 % 5]
+        given.append((verdict, host, path))
+    return sorted(set(given))
+
+
+def test_thousands_of_rules_equal_trying_every_rule(spark):
+    given = many_rules()
+    rules = [wildcard_rule(v, h, p, rank=len(h + p)) for v, h, p in given]
+    urls = [
+        f"http://{'www.' * (n % 2)}{host}{path}"
+        for n in range(120)
+        for host, path in [
+            (
+                ("a.org", "example.org", f"site{n}.example.com", f"sx{n}.net", f"com{n}.com")[n % 5],
+                ("/", f"/en/{n * 5 + 1}", f"/q/page{n}x", f"/en/a{n}.html", f"/p{n}9/x")[n // 5 % 5],
+            )
+        ]
+    ]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rows = judge_urls(pages, url_rules.rules_table(spark, rules)).collect()
+    compiled = [(rule.rank, rule.name, rule.verdict, re.compile(rule.pattern)) for rule in rules]
+    fitted = 0
+    for row in rows:
+        best = max((r[:3] for r in compiled if r[3].search(row.host + row.path)), default=None)
+        assert row.rule == (best and best[1]), urls[row.page_id]
+        assert row.verdict == (best[2] if best else "allow")
+        fitted += best is not None
+    assert len(rows) == len(urls) and 20 < fitted
+
+
+def test_few_expressions_run(spark):
+    """Fetched rules per URL are a small share of thousands."""
+    rules = [wildcard_rule("block", f"host{n}.example.org", f"/dir{n}/*") for n in range(5_000)]
+    urls = [(f"host{n}.example.org/dir{n}/x",) for n in range(0, 5_000, 50)]
+    tokens = spark.createDataFrame(urls, "address string").select(
+        F.explode(url_rules.tokens_of(F.col("address"))).alias("__token")
+    )
+    index = url_rules.index_rules(tokens, url_rules.rules_table(spark, rules))
+    runs = tokens.join(index, F.col("__token") == F.col("token")).count()
+    assert len(urls) <= runs <= 2 * len(urls)
+
+
+def test_a_wildcard_stands_for_any_characters():
+    rule = wildcard_rule("block", "ads*.example.com", "/a*b/c")
+    assert rule.tokens == ("example", "com")
+    fits = re.compile(rule.pattern).search
+    assert fits("x.ads7.example.com/aX/Yb/cd") and fits("ads.example.com/ab/c")
+    assert not fits("ads/7.example.com/ab/c") and not fits("xads.example.com/ab/c")
+
+
+def test_a_row_given_very_often(spark):
+    pages = spark.range(50_000).selectExpr("1L AS page_id", "'http://a.com/de/' AS url")
+    assert [tuple(r) for r in judge_urls(pages).groupBy("rule", "verdict").count().collect()] == [
+        ("com/de/", "block", 50_000)
+    ]
+
+
 def test_literal_tokens_are_whole_tokens_of_what_fits():
     assert site_rule("block", "example.org", "/en/1").tokens == ("example", "org", "en")
     assert site_rule("block", "com", "/DE/").tokens == ("com", "de")

@@ -5,16 +5,23 @@ URL it matches must hold. The tokens of all distinct URLs are counted; each rule
 is filed under the rarest of its tokens. A URL's tokens fetch the rules filed
 under them, and only those rules' expressions run on it.
 
+Rules may be a table: their number is not bounded by the plan, and whether their
+index is broadcast is left to its size.
+
 Defined results: host and path of a NULL URL, or one without ``://``, are empty
-and no rule fits; repeated rows stay repeated; an empty table gives an empty
-result. Other columns are left out: join on the keys to get them back.
+and no rule fits; repeated rows stay repeated; URLs of any length are judged
+whole; an empty table gives an empty result. Other columns are left out: join on
+the keys to get them back. Keys may not begin with two underscores.
 """
 
 import re
 from dataclasses import dataclass
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxloom.session import stored
+
 #: (verdict, host, path) of the contract: fits the host and all its subdomains.
 SITE_RULES = (
     ("allow", "org", "/"),
@@ -33,6 +40,7 @@ PATTERN_RULES = (
     ("block", r"\A([^/]*[.])?spam-[a-z0-9]+[.]", ("spam",)),
 )
 TOKEN = "[a-z0-9]+"
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 @dataclass(frozen=True)
@@ -52,10 +60,22 @@ class Rule:
 def site_rule(verdict, host, path):
     """A rule on a host with its subdomains and the start of the path."""
     pattern = rf"\A([^/]*[.])?{re.escape(host)}{re.escape(path)}"
-    # The path's last token may go on in a longer one, so it is no literal token.
-    whole = re.findall(TOKEN, host) + re.findall(f"{TOKEN}(?![a-z0-9]|$)", path.lower())
     name = f"{host}{path}"
-    return Rule(verdict, pattern, tuple(whole), 1000 + len(name), name)
+    return Rule(verdict, pattern, literal_tokens(name), 1000 + len(name), name)
+
+
+def wildcard_rule(verdict, host, path="/", rank=1):
+    """Like ``site_rule``, but each ``*`` stands for any characters (within the host: but ``/``)."""
+    parts = [("[^/]*", host), ("(?s:.*)", path)]
+    run = "".join(wild.join(map(re.escape, part.split("*"))) for wild, part in parts)
+    name = f"{host}{path}"
+    return Rule(verdict, rf"\A([^/]*[.])?{run}", literal_tokens(name), rank, name)
+
+
+def literal_tokens(address):
+    """The tokens that must stand whole in what fits: none that ``*`` or the end may lengthen."""
+    lower = address.translate(str.maketrans(UPPER, UPPER.lower()))
+    return tuple(re.findall(rf"(?<![*a-z0-9]){TOKEN}(?![*a-z0-9]|\Z)", lower))
 
 
 RULES = tuple(site_rule(*given) for given in SITE_RULES) + tuple(
@@ -66,8 +86,7 @@ RULES = tuple(site_rule(*given) for given in SITE_RULES) + tuple(
 def host_of(url):
     """Between the first ``://`` and ``/``, ``?``, ``#`` or the end; A-Z lower-cased."""
     host = F.regexp_extract(url, r"\A(?s:.*?)://([^/?#]*)", 1)
-    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    return F.coalesce(F.translate(host, upper, upper.lower()), F.lit(""))
+    return F.coalesce(F.translate(host, UPPER, UPPER.lower()), F.lit(""))
 
 
 def path_of(url):
@@ -77,51 +96,61 @@ def path_of(url):
 
 def tokens_of(address):
     """Distinct lower-case runs of ASCII letters and digits, and the empty token."""
-    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    lower = F.translate(address, upper, upper.lower())
+    lower = F.translate(address, UPPER, UPPER.lower())
     return F.array_distinct(F.split(F.concat(lower, F.lit("/")), "[^a-z0-9]+"))
 
 
+def rules_table(spark, rules):
+    """Rules as a table: ``verdict``, ``pattern``, ``rank``, ``name``, ``tokens``."""
+    return spark.createDataFrame(
+        [(r.verdict, r.pattern, r.rank, r.name, list(r.tokens)) for r in rules],
+        "verdict string, pattern string, rank int, name string, tokens array<string>",
+    )
+
+
 def index_rules(tokens, rules):
-    """One row per rule: the rarest of its tokens, by how many addresses hold it.
+    """One row per distinct rule: the rarest of its tokens, by how many addresses hold it.
 
-    ``tokens`` has a column ``__token``. The index is as long as the list of
-    rules, whatever the input. A rule without literal tokens is filed under the
-    empty token, which every address has.
+    ``tokens`` has a column ``__token``, ``rules`` is like ``rules_table``. The
+    index is as long as the list of rules, whatever the input. A rule without
+    literal tokens is filed under the empty token, which every address has.
     """
-    listed = tokens.sparkSession.createDataFrame(
-        [
-            (n, rule.verdict, rule.pattern, rule.rank, rule.name, list(rule.tokens) or [""])
-            for n, rule in enumerate(rules)
-        ],
-        "rule_id int, verdict string, pattern string, rank int, name string, tokens array<string>",
-    ).withColumn("token", F.explode("tokens"))
+    # Stored, so that Spark knows its size and broadcasts it, and what follows from it, or not.
+    listed = stored(
+        rules.withColumn(
+            "token",
+            F.explode(F.when(F.size("tokens") > 0, F.col("tokens")).otherwise(F.array(F.lit("")))),
+        ).drop("tokens"),
+        "rules",
+    )
     # Only the rules' own tokens are counted, so this table is short too.
-    wanted = sorted({token for rule in rules for token in rule.tokens} | {""})
-    counts = tokens.filter(F.col("__token").isin(wanted)).groupBy("__token").count()
+    wanted = listed.select(F.col("token").alias("__token")).distinct()
+    counts = tokens.join(wanted, "__token", "left_semi").groupBy("__token").count()
     rarity = F.struct(F.coalesce("count", F.lit(0)).alias("uses"), "token")
-    return (
+    return stored(
         listed.join(counts, F.col("token") == F.col("__token"), "left")
-        .groupBy("rule_id", "verdict", "pattern", "rank", "name")
-        .agg(F.min(rarity)["token"].alias("token"))
+        .groupBy("verdict", "pattern", "rank", "name")
+        .agg(F.min(rarity)["token"].alias("token")),
+        "rule_index",
     )
 
 
 def judge_urls(pages, rules=RULES, keys=("page_id",), default="allow"):
     """Host, path, best rule and verdict of every row's ``url``.
 
-    Of the fitting rules that of the largest rank wins, ties by name; without
-    any the verdict is ``default``. Rows with equal keys and URL are grouped
-    once and come out as often as they went in.
+    ``rules`` are ``Rule``s or a table like ``rules_table``. Of the fitting
+    rules that of the largest rank wins, ties by name, then by verdict; without
+    any the verdict is ``default``.
     """
-    address = F.concat("__host", "__path")
+    if not isinstance(rules, DataFrame):
+        rules = rules_table(pages.sparkSession, rules)
     addresses = (
         pages.select(*keys, "url")
-        .groupBy(*keys, "url")
-        .agg(F.count("*").cast("int").alias("__copies"))
+        # Equal rows are told apart by their places, so that none is a hot group.
+        .withColumn("__row", F.monotonically_increasing_id())
         .withColumn("__host", host_of(F.col("url")))
         .withColumn("__path", path_of(F.col("url")))
-        .withColumn("__address", address)
+        .withColumn("__address", F.concat("__host", "__path"))
     )
     all_tokens = pages.select(
         F.explode(tokens_of(F.concat(host_of(F.col("url")), path_of(F.col("url")))))
@@ -132,15 +161,13 @@ def judge_urls(pages, rules=RULES, keys=("page_id",), default="allow"):
         F.col("pattern").alias("__pattern"),
         *[F.col(name).alias(f"__{name}") for name in ("verdict", "rank", "name")],
     )
-    # The index has one row per rule, so it is safe to broadcast.
     fits = F.coalesce(F.expr("__address rlike __pattern"), F.lit(False)) & (F.col("__host") != "")
     rule = F.struct("__rank", "__name", "__verdict")
     return (
         addresses.withColumn("__token", F.explode(tokens_of(F.col("__address"))))
-        .join(F.broadcast(index), F.col("__token") == F.col("__filed"), "left")
-        .groupBy(*keys, "url", "__host", "__path", "__copies")
+        .join(index, F.col("__token") == F.col("__filed"), "left")
+        .groupBy("__row", *keys, "url", "__host", "__path")
         .agg(F.max(F.when(fits, rule)).alias("__best"))
-        .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
         .select(
             *keys,
             "url",
