@@ -63,11 +63,11 @@ def held_out(doc_id):
     return zlib.crc32(str("" if doc_id is None else doc_id).encode()) % 5 == 1
 
 
-@pytest.mark.parametrize("order", [1, 2, 3])
-def test_scores_equal_the_recursion(given_docs, texts, order):
+@pytest.mark.parametrize("order, most_parts", [(1, 4096), (2, 4096), (3, 4096), (3, 4), (2, 2)])
+def test_scores_equal_the_recursion(given_docs, texts, order, most_parts):
     model = SlowModel([t for d, t in texts.items() if not held_out(d)], order, 7.0)
     rows = language_model.score(
-        given_docs, id_remainder("doc_id", 5) != 1, order, 7.0, 60_000
+        given_docs, id_remainder("doc_id", 5) != 1, order, 7.0, 60_000, most_parts
     ).collect()
     assert len(rows) == len(texts)
     for row in rows:
@@ -125,7 +125,7 @@ def test_round_trips():
     assert len(language_model.read_keys(language_model.write_keys(keys[:0]))) == 0
     counts = np.array([0, 1, 254, 255, 256, 10**12, 3])
     assert (language_model.read_counts(language_model.write_counts(counts), len(counts)) == counts).all()
-    edges = language_model.split_by_group(keys, 7)
+    edges = language_model.split_keys(keys, 7, 0, 1, 7)
     assert edges[0] == 0 and edges[-1] == len(keys) and (np.diff(edges) > 80).all()
 
 
@@ -133,3 +133,29 @@ def test_shards_grow_with_the_root_of_the_input_within_bounds():
     sizes = [language_model.shard_size(n) for n in (0, 10**9, 10**12 // 2, 10**14)]
     assert sizes[0] == sizes[1] == language_model.LEAST_SHARD
     assert language_model.LEAST_SHARD < sizes[2] < language_model.LARGEST_SHARD == sizes[3]
+
+
+def test_hops_tell_all_shards_apart_with_few_parts():
+    for shards in (8, 9, 64, 4096, 4097, 3_200_000, 4096**2, 4096**2 + 1):
+        hops, parts = language_model.hops_for(shards)
+        assert parts <= language_model.MOST_PARTS and parts**hops >= shards
+        assert hops == 1 or language_model.MOST_PARTS ** (hops - 1) < shards
+    # At 100 TB: rows from shards to ranges, per level and hop.
+    shards = 10**14 // language_model.shard_size(10**14)
+    assert shards * language_model.hops_for(shards)[1] < 10**10
+
+
+def test_equal_rows_are_dealt_apart(spark):
+    """A row given very often, without id or text, fills no shard alone."""
+    docs = spark.range(20_000).selectExpr("CAST(NULL AS long) AS doc_id", "'a b' AS text")
+    place = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(8))
+    assert max(r["count"] for r in docs.groupBy(place.alias("shard")).count().collect()) < 3_000
+    rows = language_model.score(docs, F.lit(True), shard_bytes=8_000).distinct().collect()
+    assert [(r.n_tokens, r.train_tokens) for r in rows] == [(3, 60_000)]
+
+
+def test_the_shards_are_shuffled_once(given_docs):
+    scored = language_model.score(given_docs, F.lit(True), 2, 7.0, 60_000, 4)
+    scored.collect()
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert "ReusedExchange" in plan

@@ -7,16 +7,20 @@ its shorter context weighs PRIOR / (c(h) + PRIOR); the empty state gives every
 word (c + 1/2) / (N + (V + 1) / 2). So the probabilities after any context sum
 to 1, one unknown word included. One walk from left to right carries the state.
 
-No task holds the corpus's n-grams. Documents are dealt to shards by hash. Each
-shard counts its n-grams and sends sorted keys and counts to hash groups; a
-group adds the counts up and answers every shard in the order it asked; the
-shard then builds the part of the automaton that its own documents walk.
-Everything is one plan, in which the shards' shuffle is used twice. n-grams are
-known by 64-bit hashes.
+No task holds the corpus's n-grams. Documents are dealt to shards by their
+places in the table. Each shard counts its n-grams and sends sorted keys and
+counts to key ranges; a range adds the counts up and answers every shard in the
+order it asked; the shard then builds the part of the automaton that its own
+documents walk. A task writes to ``MOST_PARTS`` ranges at most: where there are
+more shards, a range adds up only a bundle of them and asks narrower ranges
+itself, hop by hop, and the answers come back the same way. So what is exchanged
+grows as the input does, times the hops. Everything is one plan, in which each
+shuffle of askers is used twice. n-grams are known by 64-bit hashes.
 
 Defined results: a NULL text is empty, one end token; documents without id count
-as id ''; repeated rows are documents of their own; without training documents
-N and V are 0; an empty table gives an empty result.
+as id ''; repeated rows are documents of their own, dealt apart; a text of any
+length is read whole, by one task; without training documents N and V are 0; an
+empty table gives an empty result. Other columns are left out.
 """
 
 import math
@@ -26,9 +30,11 @@ from pyspark.sql import functions as F
 from voxloom.llm.shared import byte_list, whole_words
 
 ORDER, PRIOR = 2, 1000.0
-#: Bytes of text per shard and per hash group, about, at least and at most, and
-#: the fewest of both; bytes of text for each pair of a shard and a group.
+#: Bytes of text per shard and per key range, about, at least and at most, and
+#: the fewest of both; bytes of text for each pair of a shard and a range.
 LEAST_SHARD, LARGEST_SHARD, FEWEST, PAIR_BYTES = 8 << 20, 32 << 20, 8, 1 << 10
+#: Key ranges that one task writes to, at most.
+MOST_PARTS = 4096
 #: Keys of the end of a text and of what is before its start.
 END, BEGIN = 1, 2
 MASK = (1 << 64) - 1
@@ -154,12 +160,25 @@ class Automaton:
         return self
 
 
-def split_by_group(keys, groups):
-    """Where each hash group begins in sorted keys: groups are ranges of keys."""
+def split_keys(keys, groups, low, step, parts):
+    """Where each of ``parts`` ranges of ``step`` groups from group ``low`` on begins in sorted keys.
+
+    All keys fall into ``groups`` equal ranges.
+    """
     import numpy as np
 
     upper = (keys >> np.uint64(32)).astype(np.int64)
-    return np.searchsorted((upper * groups) >> 32, np.arange(groups + 1))
+    return np.searchsorted((upper * groups) >> 32, low + step * np.arange(parts + 1))
+
+
+def hops_for(shards, most_parts=MOST_PARTS):
+    """(hops, parts): the fewest hops of at most ``most_parts`` parts that tell all shards apart."""
+    hops, parts = 1, shards
+    while parts > most_parts:
+        hops += 1
+        parts = math.ceil(shards ** (1 / hops))
+        parts += parts**hops < shards
+    return hops, parts
 
 
 def write_keys(keys):
@@ -197,14 +216,169 @@ def read_counts(data, length):
 def shard_size(size):
     """Bytes of text per shard for ``size`` bytes in all.
 
-    Every shard writes to every group, so shards grow with the square root of
-    the input, as far as a task's memory lets them: what a pair exchanges stays
-    worth a row.
+    Shards grow with the square root of the input, as far as a task's memory
+    lets them, so that what a pair of a shard and a range exchanges stays worth
+    a row.
     """
     return min(max(LEAST_SHARD, math.isqrt(PAIR_BYTES * size)), LARGEST_SHARD)
 
 
-def score(docs, training, order=ORDER, prior=PRIOR, shard_bytes=None):
+def merged(rows, order):
+    """Per level: the rows that ask, where each begins, their distinct keys, and each key's place.
+
+    ``rows`` have ``level``, ``keys`` and ``length``.
+    """
+    import numpy as np
+
+    result = []
+    for level in range(order):
+        asked = [row for row in rows if row["level"] == level]
+        edges = np.cumsum([0, *[row["length"] for row in asked]])
+        keys = [read_keys(row["keys"]) for row in asked]
+        distinct, at = np.unique(
+            np.concatenate([*keys, np.empty(0, np.uint64)]), return_inverse=True
+        )
+        result.append((asked, edges, distinct, at))
+    return result
+
+
+def added(asked, distinct, at):
+    """Counts of the distinct keys over all rows that ask."""
+    import numpy as np
+
+    counts = [read_counts(row["counts"], row["length"]) for row in asked]
+    counts = np.concatenate([*counts, np.empty(0, np.int64)])
+    return np.bincount(at, counts, len(distinct)).astype(np.int64)
+
+
+def arrow_table(rows, schema):
+    """Rows (tuples) as an Arrow table with the columns of ``schema``."""
+    import pyarrow as pa
+
+    columns = list(zip(*rows, strict=True)) or [()] * len(schema)
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    return pa.table({
+        name: pa.array(column, kinds[kind])
+        for (name, kind), column in zip(schema, columns, strict=True)
+    })
+
+
+#: What goes to the ranges of a bundle, and what comes back to who asked.
+ASKING = [
+    ("bundle", "int"), ("range", "long"), ("asker", "int"), ("level", "int"),
+    ("keys", "binary"), ("counts", "binary"), ("length", "long"),
+]
+ANSWERS = [
+    ("asker", "int"), ("above", "long"), ("level", "int"), ("range", "long"),
+    ("counts", "binary"), ("length", "long"), ("known", "long"), ("tokens", "long"),
+]
+
+
+def as_schema(columns):
+    return ", ".join(f"`{name}` {kind}" for name, kind in columns)
+
+
+class Exchange:
+    """Adds up the shards' counts over ``hops`` hops, each to ``parts`` narrower ranges."""
+
+    def __init__(self, order, hops, parts):
+        self.order, self.hops, self.parts = order, hops, parts
+
+    def questions(self, asker, above, hop, levels):
+        """Rows from an asker of range ``above`` to the narrower ranges of its bundle."""
+        step = self.parts ** (self.hops - hop - 1)
+        rows = []
+        for level, (keys, counts) in enumerate(levels):
+            low = above * self.parts * step
+            edges = split_keys(keys, self.parts**self.hops, low, step, self.parts)
+            for part, (begin, end) in enumerate(zip(edges, edges[1:], strict=False)):
+                # Every range is asked for words: it tells how many it holds.
+                if end > begin or level == 0:
+                    rows.append((
+                        asker // self.parts, above * self.parts + part, asker, level,
+                        write_keys(keys[begin:end]), write_counts(counts[begin:end]),
+                        int(end - begin),
+                    ))
+        return arrow_table(rows, ASKING)
+
+    def replies(self, table, totals_of):
+        """Rows back to all who asked; ``totals_of(level, ...)`` gives totals, words and tokens."""
+        rows = table.to_pylist()
+        made = []
+        for level, (asked, edges, distinct, at) in enumerate(merged(rows, self.order)):
+            if not asked:
+                continue
+            totals, known, tokens = totals_of(level, asked, distinct, at)
+            for row, begin, end in zip(asked, edges, edges[1:], strict=False):
+                made.append((
+                    row["asker"], row["range"] // self.parts, level, row["range"],
+                    write_counts(totals[at[begin:end]]), row["length"], known, tokens,
+                ))
+        return arrow_table(made, ANSWERS)
+
+    def pass_on(self, hop):
+        """A range of a bundle of askers adds up and asks the next narrower ranges."""
+
+        def run(key, table):
+            levels = [
+                (distinct, added(asked, distinct, at))
+                for asked, _, distinct, at in merged(table.to_pylist(), self.order)
+            ]
+            return self.questions(key[0].as_py(), key[1].as_py(), hop, levels)
+
+        return run
+
+    def answer(self, table):
+        """The narrowest ranges hold the counts of the whole corpus."""
+
+        def totals_of(level, asked, distinct, at):
+            totals = added(asked, distinct, at)
+            words = (distinct != BEGIN) & (totals > 0)
+            if level:
+                return totals, 0, 0
+            return totals, int(words.sum()), int(totals[words].sum())
+
+        return self.replies(table, totals_of)
+
+    def relay(self, table, answers):
+        """Wider ranges hand on what the narrower ones answered."""
+        counts, known, tokens = gathered(answers, self.order)
+        return self.replies(
+            table,
+            lambda level, *_: (counts[level], *((0, 0) if level else (known, tokens))),
+        )
+
+    def answers(self, asked):
+        """Answers to the shards, from their questions."""
+        forms = as_schema(ASKING), as_schema(ANSWERS)
+        stages = [asked.groupBy("bundle", "range")]
+        for hop in range(1, self.hops):
+            further = stages[-1].applyInArrow(self.pass_on(hop), forms[0])
+            stages.append(further.groupBy("bundle", "range"))
+        found = stages.pop().applyInArrow(lambda table: self.answer(table), forms[1])
+        for stage in reversed(stages):
+            found = stage.cogroup(found.groupBy("asker", "above")).applyInArrow(
+                lambda table, answers: self.relay(table, answers), forms[1]
+            )
+        return found
+
+
+def gathered(answers, order):
+    """Counts per level in order of keys, distinct words and tokens, from all ranges' answers."""
+    import numpy as np
+
+    rows = sorted(answers.to_pylist(), key=lambda row: (row["level"], row["range"]))
+    counts = [
+        np.concatenate([
+            *[read_counts(r["counts"], r["length"]) for r in rows if r["level"] == level],
+            np.empty(0, np.int64),
+        ])
+        for level in range(order)
+    ]
+    return counts, sum(row["known"] for row in rows), sum(row["tokens"] for row in rows)
+
+
+def score(docs, training, order=ORDER, prior=PRIOR, shard_bytes=None, most_parts=MOST_PARTS):
     """Scores of every text under the model of those for which ``training`` holds.
 
     ``docs`` has ``doc_id`` and ``text``; ``training`` is a Boolean column over
@@ -216,67 +390,26 @@ def score(docs, training, order=ORDER, prior=PRIOR, shard_bytes=None):
     import pyarrow as pa
 
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = groups = max(FEWEST, math.ceil(size / (shard_bytes or shard_size(size))))
+    shards = max(FEWEST, math.ceil(size / (shard_bytes or shard_size(size))))
+    exchange = Exchange(order, *hops_for(shards, most_parts))
+    place = F.xxhash64(F.monotonically_increasing_id())
     dealt = docs.select(
         "doc_id",
         "text",
         training.alias("training"),
-        F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("int").alias("shard"),
+        F.pmod(place, F.lit(shards)).cast("int").alias("shard"),
     )
 
     def read(table):
-        """The shard's n-grams; equal rows make the order of rows unimportant."""
-        by = np.argsort(table.column("doc_id").fill_null(-1).to_numpy(), kind="stable")
-        table = table.take(pa.array(by))
+        """The shard's texts' flags and n-grams; the order of its rows plays no part."""
         texts = [text for chunk in table.column("text").chunks for text in byte_list(chunk)]
         flags = np.array(table.column("training").to_pylist(), bool)
-        return table, flags, Shard(texts, order)
+        return flags, Shard(texts, order)
 
     def ask(key, table):
-        _, flags, shard = read(table)
-        rows = []
-        for level, counts in enumerate(shard.counts(flags)):
-            keys = shard.keys[level]
-            edges = split_by_group(keys, groups)
-            for group, (low, high) in enumerate(zip(edges, edges[1:], strict=False)):
-                if high > low or level == 0:
-                    rows.append((
-                        group, key[0].as_py(), level, write_keys(keys[low:high]),
-                        write_counts(counts[low:high]), int(high - low),
-                    ))
-        columns = zip(*rows, strict=True)
-        names = ["group", "shard", "level", "keys", "counts", "length"]
-        kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64()]
-        return pa.table(
-            {n: pa.array(c, k) for n, c, k in zip(names, columns, kinds, strict=True)}
-        )
-
-    def answer(key, table):
-        rows = table.to_pylist()
-        made = []
-        for level in range(order):
-            asked = [row for row in rows if row["level"] == level]
-            if not asked:
-                continue
-            edges = np.cumsum([0, *[row["length"] for row in asked]])
-            keys = np.concatenate([read_keys(row["keys"]) for row in asked])
-            counts = np.concatenate([read_counts(r["counts"], r["length"]) for r in asked])
-            distinct, at = np.unique(keys, return_inverse=True)
-            totals = np.bincount(at, counts, len(distinct)).astype(np.int64)
-            words = (distinct != BEGIN) & (totals > 0)
-            known = int(words.sum()) if level == 0 else 0
-            tokens = int(totals[words].sum()) if level == 0 else 0
-            for row, low, high in zip(asked, edges, edges[1:], strict=False):
-                made.append((
-                    row["shard"], level, key[0].as_py(), write_counts(totals[at[low:high]]),
-                    row["length"], known, tokens,
-                ))
-        names = ["shard", "level", "group", "counts", "length", "known", "tokens"]
-        kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), *[pa.int64()] * 3]
-        columns = zip(*made, strict=True)
-        return pa.table(
-            {n: pa.array(c, k) for n, c, k in zip(names, columns, kinds, strict=True)}
-        )
+        flags, shard = read(table)
+        levels = list(zip(shard.keys, shard.counts(flags), strict=True))
+        return exchange.questions(key[0].as_py(), 0, 0, levels)
 
     def walk(key, table, answers):
         names = [
@@ -284,16 +417,8 @@ def score(docs, training, order=ORDER, prior=PRIOR, shard_bytes=None):
         ]
         if not table.num_rows:
             return empty.slice(0, 0)
-        table, flags, shard = read(table)
-        rows = sorted(answers.to_pylist(), key=lambda row: (row["level"], row["group"]))
-        counts = [
-            np.concatenate(
-                [read_counts(r["counts"], r["length"]) for r in rows if r["level"] == level]
-            )
-            for level in range(order)
-        ]
-        tokens = sum(row["tokens"] for row in rows)
-        known = sum(row["known"] for row in rows)
+        flags, shard = read(table)
+        counts, known, tokens = gathered(answers, order)
         model = Automaton(shard, counts, tokens, known, prior).prepare()
         words = shard.at[0][: int(shard.lengths.sum())]
         base = np.add.reduceat(model.unigram[words], shard.starts)
@@ -314,16 +439,10 @@ def score(docs, training, order=ORDER, prior=PRIOR, shard_bytes=None):
         **{n: pa.array([], pa.int64()) for n in ("n_tokens", "n_known", "train_tokens")},
         **{n: pa.array([], pa.float64()) for n in ("base_score", "score")},
     })
-    asked = dealt.groupBy("shard").applyInArrow(
-        ask, "group int, shard int, level int, keys binary, counts binary, length long"
-    )
-    answers = asked.groupBy("group").applyInArrow(
-        answer,
-        "shard int, level int, group int, counts binary, length long, known long, tokens long",
-    )
+    asked = dealt.groupBy("shard").applyInArrow(ask, as_schema(ASKING))
     return (
         dealt.groupBy("shard")
-        .cogroup(answers.groupBy("shard"))
+        .cogroup(exchange.answers(asked).groupBy("asker"))
         .applyInArrow(
             walk,
             f"doc_id {kind}, training boolean, n_tokens long, n_known long, "
