@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from voxloom.llm.shared import byte_list, whole_words
 
-ORDER, PRIOR = 2, 1000.0
+ORDER, PRIOR = 3, 300.0
 #: Bytes of text per shard and per key range, about, at least and at most, and
 #: the fewest of both; bytes of text for each pair of a shard and a range.
 LEAST_SHARD, LARGEST_SHARD, FEWEST, PAIR_BYTES = 8 << 20, 32 << 20, 8, 1 << 10
