@@ -78,6 +78,16 @@ def test_given_documents(spark):
         assert unpacked(ENCODER.encode([row.text])[0]) == plain(row.text)
 
 
+def test_counts_by_chunks_over_a_given_table(spark):
+    """Many texts take the chunked way, and all counts are the library's."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    huge = 2_000
+    assert sum(len(text) > huge for text in texts.values()) > 50
+    for row in tokens.count_tokens(docs, PATH, huge=huge).collect():
+        assert row.n_tokens == len(plain(texts[row.doc_id]))
+
+
 def test_huge_documents_go_by_chunks(texts, monkeypatch):
     joined = "\n".join(texts.values())[:150_000]
     small = tokens.Encoder(PATH, huge=1000)

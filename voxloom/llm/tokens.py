@@ -12,7 +12,8 @@ characters in a row, other white space, or a special token's string.
 A huge text is encoded by overlap resynchronisation (``huge_ids``).
 
 Defined results: a NULL text counts as empty, with no token; repeated rows are
-counted each; an empty table gives an empty result.
+counted each; a text of any length is encoded whole; an empty table gives an
+empty result. Columns beside the keys are left out.
 """
 
 import os
@@ -24,8 +25,9 @@ from pyspark.sql import functions as F
 from voxloom.llm.shared import byte_list
 
 VOCABULARY = "byte_bpe_50k.json"
-#: Texts of more characters are encoded in overlapping chunks.
-HUGE_CHARS = 1 << 16
+#: Texts of more characters are encoded in overlapping chunks: where they are
+#: counted, and where their ids are wanted too. Chunks are half as long.
+COUNTED_CHARS, HUGE_CHARS = 1 << 13, 1 << 16
 CHUNK_CHARS, OVERLAP_CHARS = 1 << 15, 1 << 9
 #: Pieces, and words, that a task remembers, and their most characters; beyond
 #: that many it starts afresh.
@@ -139,6 +141,7 @@ class Encoder:
         self.merge = self.tokenizer.model.tokenize
         self.symbols = byte_symbols()
         self.huge, self.remembered, self.known, self.words = huge, remembered, {}, {}
+        self.chunk = min(CHUNK_CHARS, max(huge // 2, 2 * OVERLAP_CHARS))
         self.specials = [
             token.content for token in self.tokenizer.get_added_tokens_decoder().values()
         ]
@@ -176,7 +179,10 @@ class Encoder:
                     parts = [self.piece(first), *map(known.__getitem__, later)]
                     result.append(b"".join(parts))
                     continue
-            ids = huge_ids(self.tokenizer, text) if len(text) > self.huge else self.whole(text)
+            if len(text) > self.huge:
+                ids = huge_ids(self.tokenizer, text, self.chunk)
+            else:
+                ids = self.whole(text)
             result.append(packed(ids))
         return result
 
@@ -201,9 +207,9 @@ def packed(ids):
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
-def encoded_slices(batches, path):
+def encoded_slices(batches, path, huge=HUGE_CHARS):
     """Slices of Arrow batches with the ids of their ``text``; the encoder serves the whole task."""
-    encoder = Encoder(path)
+    encoder = Encoder(path, huge)
     for batch in batches:
         for start in range(0, batch.num_rows, ROWS_AT_ONCE):
             part = batch.slice(start, ROWS_AT_ONCE)
@@ -211,12 +217,12 @@ def encoded_slices(batches, path):
             yield part, texts, encoder.encode([t.decode("utf-8", "replace") for t in texts])
 
 
-def count_tokens(docs, path, limit=512, keys=("doc_id",)):
+def count_tokens(docs, path, limit=512, keys=("doc_id",), huge=COUNTED_CHARS):
     """Bytes and tokens of every text: keys, ``n_bytes``, ``n_tokens``, ``over_limit``."""
     import pyarrow as pa
 
     def count(batches):
-        for part, texts, ids in encoded_slices(batches, path):
+        for part, texts, ids in encoded_slices(batches, path, huge):
             columns = [part.column(key) for key in keys]
             sizes = [pa.array(map(len, texts), pa.int64())]
             counts = [pa.array([len(x) // 4 for x in ids], pa.int64())]
