@@ -1,12 +1,20 @@
 """Clustered layout, label dictionary, kept replies."""
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import feedback_row, moment, rows_of
 from tests.test_tables import plan_of
-from verification import views
-from voxloom.operators import enrich, filters, label_search, replies
+from verification import (
+    dashboard_queries,
+    layout_queries,
+    multilabel_queries,
+    table_queries,
+    views,
+)
+from voxloom.operators import drilldown, enrich, filters, label_search, replies, topk
 from voxloom.sources import clustered, tables
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -71,6 +79,64 @@ def test_every_column_prunes(spark, one_day, tmp_path):
     assert none == 0
 
 
+#: Hexadecimal digits hardly compress, so files tell how often a text is stored.
+DIGITS = "array_join(transform(sequence(0, 300), k -> sha2(concat(doc_id, ' ', k), 256)), '')"
+
+
+@pytest.fixture(scope="module")
+def sharing(spark, tmp_path_factory):
+    """300 events of three days over documents of which one is missing, one doubled, one NULL."""
+    sf_dir = str(tmp_path_factory.mktemp("sharing"))
+    docs = spark.range(10).withColumnRenamed("id", "doc_id").select(
+        F.when(F.col("doc_id") == 9, 8).otherwise(F.col("doc_id")).alias("doc_id"),
+        F.when(F.col("doc_id") != 3, F.expr(DIGITS)).alias("text"),
+        F.lit("en").alias("lang"), F.lit("web").alias("source"), F.lit(1).cast("long").alias("n_chars"),
+    )
+    docs.coalesce(1).write.parquet(f"{sf_dir}/documents.parquet")
+    n = F.col("id")
+    spark.range(300).select(
+        n.alias("event_id"),
+        F.when(n != 50, F.timestamp_add("hour", (n % 72).cast("int"), F.lit(moment(1)).cast("timestamp_ntz"))).alias("ts"),
+        n.alias("user_id"), F.when(n % 2 == 0, "error").otherwise("view").alias("event_type"),
+        (n % 200).cast("double").alias("value"), F.concat(F.lit('{"k": '), (n % 100).cast("string"), F.lit("}")).alias("props"),
+    ).coalesce(1).write.parquet(f"{sf_dir}/events.parquet")
+    return sf_dir
+
+
+def folder_bytes(folder):
+    return sum(f.stat().st_size for f in Path(folder).rglob("*.parquet"))
+
+
+@pytest.mark.parametrize("query", [
+    dashboard_queries.scan_feedback, multilabel_queries.array_only,
+])
+def test_stored_tables_hold_each_text_once(spark, sharing, tmp_path, monkeypatch, query):
+    monkeypatch.setattr(views, "scratch_path", lambda spark, name: str(tmp_path / name))
+    monkeypatch.setattr(layout_queries, "scratch_path", views.scratch_path)
+    monkeypatch.setattr(table_queries, "scratch_path", views.scratch_path)
+    monkeypatch.setattr(views, "WRITTEN", {})
+    if query is multilabel_queries.array_only:
+        want = filters.array_only(views.with_text(views.multilabel(spark, sharing), spark, sharing))
+    else:
+        want = views.with_content(views.feedback(spark, sharing), spark, sharing)
+    if query is layout_queries.clustered_layout:
+        want = want.filter("channel = 'forum' AND sentiment = 'negative'")
+    found = query(spark, sharing)
+    assert texts(found.drop("created_date")) == texts(want) != []
+    days = found.filter("created_date <=> to_date(created_at)").count()
+    assert days == found.count()
+    # With a text in every row each day would hold the documents again.
+    assert folder_bytes(tmp_path) < 2 * folder_bytes(f"{sharing}/documents.parquet")
+
+
+def test_lists_of_stored_rows_are_cut_before_their_texts(spark, sharing):
+    newest = topk.newest_n(views.stored_feedback(spark, sharing), 5)
+    want = topk.newest_n(views.with_content(views.feedback(spark, sharing), spark, sharing), 5)
+    assert texts(newest.select(*want.columns)) == texts(want)
+    trend = plan_of(drilldown.theme_trend(views.stored_feedback(spark, sharing)))
+    assert "text_id" in trend and "text:string" not in trend and "content" not in trend
+
+
 def test_curve_and_ranks(spark, small):
     pairs = spark.range(16).select(F.floor(F.col("id") / 4).cast("int").alias("a"), (F.col("id") % 4).cast("int").alias("b"))
     placed = pairs.select("a", "b", clustered.curve([F.col("a"), F.col("b")], 2).alias("p")).collect()

@@ -11,10 +11,18 @@ from voxloom.sources.daily import load_rollup, overwrite_dates
 DAY = T.StructField("created_date", T.DateType())
 FEEDBACK_BY_DAY = T.StructType([*FEEDBACK, DAY])
 MULTILABEL_BY_DAY = T.StructType([*MULTILABEL, DAY])
+#: Names one of the texts that stand beside a table; its rows hold it in place of the text.
+TEXT_ID = T.StructField("text_id", T.LongType())
+SHARED_TEXTS = T.StructType([TEXT_ID, T.StructField("text", T.StringType())])
 
 
-def scan_feedback(spark, path, by_day=False):
-    """The single-label table; one that ``write_by_day`` stored also has ``created_date``."""
+def scan_feedback(spark, path, by_day=False, shared_texts=False):
+    """The single-label table; one that ``write_by_day`` stored also has ``created_date``.
+
+    With ``shared_texts`` the texts that ``write_shared_texts`` stored are joined on.
+    """
+    if shared_texts:
+        return scan_shared(spark, path, FEEDBACK_BY_DAY if by_day else FEEDBACK, "content")
     if by_day:
         return spark.read.schema(FEEDBACK_BY_DAY).parquet(path)
     # Named batches have folders of their own.
@@ -22,10 +30,44 @@ def scan_feedback(spark, path, by_day=False):
     return whole.parquet(path).select(*FEEDBACK.names)
 
 
-def scan_multilabel(spark, path, by_day=False):
+def scan_multilabel(spark, path, by_day=False, shared_texts=False):
     """The multi-label table, its labels also as an array."""
-    rows = spark.read.schema(MULTILABEL_BY_DAY if by_day else MULTILABEL).parquet(path)
-    return with_label_array(rows)
+    schema = MULTILABEL_BY_DAY if by_day else MULTILABEL
+    if shared_texts:
+        return with_label_array(scan_shared(spark, path, schema, "text"))
+    return with_label_array(spark.read.schema(schema).parquet(path))
+
+
+def scan_shared(spark, path, schema, column):
+    """A table whose rows hold ``text_id`` in place of ``column``, with the texts joined on.
+
+    A query's filters and choice of columns apply below the join: texts are read only
+    where it puts them out, and what is shuffled for it are the narrow rows left and the
+    texts as stored, never a row with its text.
+    """
+    narrow = T.StructType([*[f for f in schema if f.name != column], TEXT_ID])
+    rows = spark.read.schema(narrow).option("recursiveFileLookup", "created_date" not in schema.names)
+    texts = spark.read.schema(SHARED_TEXTS).parquet(texts_path(path))
+    return with_shared_texts(rows.parquet(path), texts, column).select(*schema.names)
+
+
+def with_shared_texts(rows, texts, column):
+    """Put the text that ``text_id`` names in ``column``; rows without one are left out."""
+    named = texts.select("text_id", F.col("text").alias(column))
+    return rows.join(named, "text_id").drop("text_id")
+
+
+def texts_path(table_path):
+    return f"{table_path.rstrip('/')}.texts"
+
+
+def write_shared_texts(texts, path):
+    """Store texts (``text_id``, ``text``) beside the table whose rows name them.
+
+    A text stands there once, however many rows name it, and is not moved when rows are
+    sorted into days or along a curve.
+    """
+    texts.select(*SHARED_TEXTS.names).write.mode("append").parquet(texts_path(path))
 
 
 def with_label_array(multilabel):
