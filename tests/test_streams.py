@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import rows_of
+from tests.test_tables import plan_of
 from verification import views
 from voxloom.operators import rollup
 from voxloom.operators.enrich import classify_sentiment, ingest_enriched
@@ -272,3 +273,18 @@ def test_days_do_not_depend_on_the_session_zone(spark):
         assert str(row.collect()[0]["d"]) == "2024-01-05"
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_rows_of_a_run_stay_in_their_tasks(spark, tmp_path):
+    """Nothing is folded: a join with folded batches would bring a run's rows into one task."""
+    path = str(tmp_path / "rows")
+    records = spark.createDataFrame([("a", "web", "u"), (None, "web", "u")], "text string, source string, user_id string")
+    records.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(records.schema).parquet(str(tmp_path / "in"))
+    enrich = lambda rows: classify_sentiment(rows, "text", views.LISTS)
+    jobs.stream_ingest(stream, path, str(tmp_path / "state"), enrich).awaitTermination()
+    accepted, refused = jobs.ingested(spark, path), jobs.refused(spark, path)
+    assert [r["text"] for r in rows_of(accepted)] == ["a"] and len(rows_of(refused)) == 1
+    for rows in [accepted, refused]:
+        assert "Join" not in plan_of(rows) and "Exchange" not in plan_of(rows)
+    assert rows_of(jobs.folded(spark, path)) == [] and jobs.folded(spark, path).schema.names == jobs.COVERS.names

@@ -80,7 +80,13 @@ def rows_or_none(spark, schema, path):
     """A Parquet table that may not be there yet."""
     if path_exists(spark, path):
         return spark.read.schema(schema).parquet(path)
-    return spark.createDataFrame([], schema)
+    return no_rows(spark, schema)
+
+
+def no_rows(spark, schema):
+    """An empty table that Spark knows to be empty, so that a join with it moves no row."""
+    nulls = [F.lit(None).cast(f.dataType).alias(f.name) for f in schema]
+    return spark.range(0).select(*nulls).filter(F.lit(False))
 
 
 def published(spark, log_path):
