@@ -76,6 +76,29 @@ def test_a_batch_is_appended_once(spark, small, path, tmp_path):
     assert json.loads(refused[0]["record"])["channel"] and len(refused) == 8
 
 
+def test_a_batch_whose_texts_stand_beside_the_table(spark, small, path):
+    shared = spark.createDataFrame([(n, f"long text {n}") for n in range(4)], "text_id long, text string")
+    tables.write_shared_texts(shared, path)
+    n = F.col("id")
+    named = small.drop("content").withColumns({
+        "text_id": F.when(n != 2, n % 4), "channel": F.when(n != 3, F.col("channel"))
+    })
+    for _ in range(2):
+        assert batches.append_batch(named, path, "1", texts=shared) == {"accepted": 6, "refused": 2}
+    plain = named.join(shared, "text_id", "left").withColumnRenamed("text", "content").drop("text_id")
+    batches.append_batch(plain.select(*small.columns), path + "-plain", "1")
+    want = tables.scan_feedback(spark, path + "-plain")
+    assert texts(tables.scan_feedback(spark, path, shared_texts=True)) == texts(want)
+    assert "content" not in spark.read.parquet(f"{path}/batch=1").columns
+
+    def refused(table):
+        rows = rows_of(quarantine.quarantined(spark, quarantine.quarantine_path(table)))
+        return sorted((r["details"], sorted(json.loads(r["record"]).items(), key=str)) for r in rows)
+
+    assert refused(path) == refused(path + "-plain")
+    assert [dict(record)["content"] for _, record in refused(path)] == ["long text 3", None]
+
+
 def test_a_batch_that_broke_off_keeps_its_ids(spark, small, path, monkeypatch):
     bare = small.drop("id")
     finish = batches.finish_batch

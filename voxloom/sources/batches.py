@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from voxloom.operators.enrich import ingest_enriched
 from voxloom.schema import FEEDBACK, FEEDBACK_REQUIRED, RECORD_PAYLOAD, RECORD_REQUIRED
-from voxloom.session import path_exists
+from voxloom.session import path_exists, stored
 from voxloom.sources.ingest import apply_defaults, number_rows, split_required
 from voxloom.sources.ledger import (
     claim_ids,
@@ -31,14 +31,42 @@ from voxloom.sources.quarantine import (
 )
 
 
-def append_batch(batch, path, name, columns=FEEDBACK_REQUIRED):
+def append_batch(batch, path, name, columns=FEEDBACK_REQUIRED, texts=None):
     """Append a named batch of feedback with the defaults for the columns it lacks, once.
 
     Rows without ``id`` column get the next free ids. Gives back how many rows
     were accepted and refused, also where the batch was there before.
+
+    With the ``texts`` (``text_id``, ``text``) that stand beside the table, rows hold the
+    ``text_id`` of their content, NULL where there is none, and are stored so; refused
+    rows are set aside with their text.
     """
-    accepted, rejected = split_required(apply_defaults(batch), columns)
-    return append_once(accepted, missing_rows(rejected), path, name, FEEDBACK.names)
+    if texts is None:
+        accepted, rejected = split_required(apply_defaults(batch), columns)
+        return append_once(accepted, missing_rows(rejected), path, name, FEEDBACK.names)
+    named = apply_defaults(batch.withColumnRenamed("text_id", "content"))
+    accepted, rejected = split_required(named, columns)
+    names = ["text_id" if c == "content" else c for c in FEEDBACK.names]
+    accepted = accepted.withColumnRenamed("content", "text_id")
+
+    def refused():
+        return missing_rows(with_own_text(stored(rejected, "refused"), texts))
+
+    return append_once(accepted, refused, path, name, names)
+
+
+def with_own_text(rows, texts):
+    """Rows whose ``content`` is the id of a text, with the text instead; NULL stays.
+
+    The rows should be ``stored``: if they are few, only their texts are moved.
+    """
+    wanted = rows.select(F.col("content").alias("_text_id")).distinct()
+    named = texts.select(F.col("text_id").alias("_text_id"), F.col("text").alias("_text"))
+    found = named.join(wanted, "_text_id", "left_semi")
+    joined = rows.join(found, F.col("content") == F.col("_text_id"), "left")
+    return joined.select(
+        *[F.col("_text").alias(c) if c == "content" else F.col(c) for c in rows.columns]
+    )
 
 
 def append_lines(spark, source, path, name, enrich=ingest_enriched):
@@ -55,12 +83,15 @@ def append_lines(spark, source, path, name, enrich=ingest_enriched):
 
 
 def append_once(accepted, refused, path, name, names=None, label=None):
-    """Write a batch's accepted rows and set its refused ones aside, unless that is done."""
+    """Write a batch's accepted rows and set its refused ones aside, unless that is done.
+
+    ``refused`` may be a function that prepares them, which is then not called in vain.
+    """
     spark = accepted.sparkSession
     done = finished_batch(spark, path, name)
     if done is not None:
         return done
-    set_aside(refused, quarantine_path(path), name)
+    set_aside(refused() if callable(refused) else refused, quarantine_path(path), name)
     owner = f"batch {name}"
     if "id" not in accepted.columns:
         first = claim_ids(
