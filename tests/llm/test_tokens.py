@@ -129,3 +129,15 @@ def test_counts(make_docs, given_docs, texts):
     rows = sorted((r.doc_id or 0, r.n_bytes, r.n_tokens) for r in tokens.count_tokens(docs, PATH).collect())
     assert rows == [(0, 1, 1), (1, 0, 0), (2, 0, 0), (3, 17, 4), (3, 17, 4), (4, 300_000, 60_001)]
     assert tokens.count_tokens(docs.limit(0), PATH).count() == 0
+
+
+def test_edges_of_words_in_a_stretch():
+    encoding = PLAIN.encode("a first word, \u00e9t\u00e9 2024\n\n  na\u00efve \U0001f600 x" * 20, add_special_tokens=False)
+    words, offsets = encoding.word_ids, encoding.offsets
+    whole = {offsets[i][0]: i for i in range(len(words)) if i == 0 or words[i] != words[i - 1]}
+    for at in [0, 1, 100, 311, 10_000]:
+        assert tokens.first_edges(encoding, at) == {k: i for k, i in whole.items() if k < at}
+        kept = {k: i for k, i in whole.items() if k >= at}
+        assert tokens.last_edges(encoding, at) == (kept or {max(whole): whole[max(whole)]})
+    nothing = PLAIN.encode("", add_special_tokens=False)
+    assert tokens.first_edges(nothing, 5) == tokens.last_edges(nothing, 0) == {}

@@ -68,12 +68,33 @@ def load_tokenizer(path):
     return Tokenizer.from_file(path)
 
 
-def word_edges(encoding):
-    """(character where it starts, index of its first token) of every word of a chunk."""
-    words, offsets = encoding.word_ids, encoding.offsets
-    return {
-        offsets[i][0]: i for i in range(len(words)) if i == 0 or words[i] != words[i - 1]
-    }
+def first_edges(encoding, before):
+    """{character where it starts: index of its first token} of the words that start before one."""
+    edges, earlier = {}, None
+    for i in range(len(encoding)):
+        word = encoding.token_to_word(i)
+        if i == 0 or word != earlier:
+            start = encoding.token_to_chars(i)[0]
+            if start >= before:
+                break
+            edges[start] = i
+        earlier = word
+    return edges
+
+
+def last_edges(encoding, since):
+    """``first_edges`` of the words that start at a character or later, and of the very last word."""
+    edges, last = {}, len(encoding) - 1
+    word = encoding.token_to_word(last) if last >= 0 else None
+    for i in range(last, -1, -1):
+        earlier = encoding.token_to_word(i - 1) if i else None
+        if i == 0 or word != earlier:
+            start = encoding.token_to_chars(i)[0]
+            if start < since and edges:
+                break
+            edges.setdefault(start, i)
+        word = earlier
+    return edges
 
 
 def huge_ids(tokenizer, text, chunk=CHUNK_CHARS, overlap=OVERLAP_CHARS):
@@ -120,15 +141,17 @@ def huge_ids(tokenizer, text, chunk=CHUNK_CHARS, overlap=OVERLAP_CHARS):
 
 def seam(left, left_start, left_end, right, right_start, guard):
     """Token indexes, left and right, of the last proven common word start; None if none."""
-    left_edges, right_edges = word_edges(left), word_edges(right)
+    # Only words in the overlap are looked at: the chunks are many times as long.
+    left_edges = last_edges(left, right_start - left_start)
     if not left_edges:
         return None
     last_word = left_start + max(left_edges)
     limit = min(last_word, left_end - guard)
+    right_edges = first_edges(right, limit - right_start)
     for place in sorted(right_edges, reverse=True):
         at = right_start + place
         # The right chunk's own start is a word start by its cut alone.
-        if at < limit and place > 0 and at - left_start in left_edges:
+        if place > 0 and at - left_start in left_edges:
             return left_edges[at - left_start], right_edges[place]
     return None
 
